@@ -42,9 +42,11 @@ def exact_quantiles(
         F.count("*").alias("_n"), F.percentile_approx("_v", points, accuracy).alias("_b")
     )
     inf = float("inf")
+    # In a group this small a rank is worth more than the slack; all its values are kept.
+    small = F.col("_n") < 4 * accuracy
     for i, p in enumerate(probs):
-        lo = F.lit(-inf) if p - slack <= 0 else F.col("_b")[2 * i]
-        hi = F.lit(inf) if p + slack >= 1 else F.col("_b")[2 * i + 1]
+        lo = F.lit(-inf) if p - slack <= 0 else F.when(small, F.lit(-inf)).otherwise(F.col("_b")[2 * i])
+        hi = F.lit(inf) if p + slack >= 1 else F.when(small, F.lit(inf)).otherwise(F.col("_b")[2 * i + 1])
         sketch = sketch.withColumns({f"_lo{i}": lo, f"_hi{i}": hi})
     sketch = sketch.drop("_b")
     if bounded_groups or not groups:

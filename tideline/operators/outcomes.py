@@ -162,3 +162,20 @@ def date_level_outcomes(
             }
         )
     )
+
+
+def day_grid(cohort: DataFrame, on: Sequence[str], days: DataFrame, horizon_days: int = 30) -> DataFrame:
+    """Entity x day table (one row per day of the horizon) with a 0/1 ``touched`` flag."""
+    grid = cohort.select(*on, F.explode(F.sequence(F.lit(0), F.lit(horizon_days - 1))).alias("day_idx"))
+    marked = days.select(*on, "day_idx").distinct().withColumn("touched", F.lit(1))
+    return grid.join(marked, [*on, "day_idx"], "left").fillna(0, subset=["touched"])
+
+
+def lead_triplets(grid: DataFrame, on: Sequence[str], first: int = 7, last: int = 27) -> DataFrame:
+    """Three consecutive touched days by looking ahead; a window holds one entity's horizon."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*on).orderBy("day_idx")
+    ahead = grid.withColumns({"d1": F.lead("touched", 1, 0).over(w), "d2": F.lead("touched", 2, 0).over(w)})
+    hit = F.col("day_idx").between(first, last) & (F.col("touched") + F.col("d1") + F.col("d2") == 3)
+    return ahead.groupBy(*on).agg(F.sum("touched").alias("n_days"), F.max(flag(hit)).alias("has_run"))
