@@ -105,16 +105,17 @@ def add_lab_features(cohort: DataFrame, labs: DataFrame, on: str = "hadm_id") ->
     return out.withColumns(more).drop(*[f"{b}_first_pre72" for b in BASELINE_LABS.values() if b])
 
 
-def finish_lab_features(df: DataFrame) -> DataFrame:
-    """Impute, then the direction flags (from imputed changes)."""
+def finish_baseline_labs(df: DataFrame) -> DataFrame:
+    """Last value: median; change: 0."""
     last = [f"{b}_last_pre72" for b in BASELINE_LABS.values() if b]
-    traj = [
-        f"{c}_{part}"
-        for c in BASELINE_LABS
-        for part in ("early_last_0_24h", "early_worst_0_24h", "late_last_48_72h", "late_worst_48_72h", "change_early_to_late")
-    ]
-    out = impute_medians(df, last, flags=False).fillna(0.0, subset=[c.replace("_last_", "_change_") for c in last])
-    out = impute_medians(out, traj)
+    out = impute_medians(df, last, flags=False)
+    return out.fillna(0.0, subset=[c.replace("_last_", "_change_") for c in last])
+
+
+def finish_lab_trajectories(df: DataFrame) -> DataFrame:
+    """Impute, then the direction flags (from imputed changes)."""
+    parts = ("early_last_0_24h", "early_worst_0_24h", "late_last_48_72h", "late_worst_48_72h", "change_early_to_late")
+    out = impute_medians(df, [f"{c}_{part}" for c in BASELINE_LABS for part in parts])
     falls = {"platelet"}
     return out.withColumns(
         {
@@ -190,10 +191,13 @@ def add_vital_features(cohort: DataFrame, charted: DataFrame, on: str = "stay_id
     return out.withColumn("bmi_pre72", nb.body_mass_index("weight_kg_pre72", "height_cm_pre72"))
 
 
-def finish_vital_features(df: DataFrame) -> DataFrame:
-    base = [name for _, _, name in BASELINE_VITALS]
+def finish_baseline_vitals(df: DataFrame) -> DataFrame:
+    return impute_medians(df, [name for _, _, name in BASELINE_VITALS])
+
+
+def finish_vital_trajectories(df: DataFrame) -> DataFrame:
     traj = [f"{c}_{w}" for c in TRAJECTORY_VITALS for w in ("0_24h", "48_72h")]
-    out = impute_medians(df, base + traj)
+    out = impute_medians(df, traj)
     out = impute_medians(out, ["bmi_pre72"], default=30.0)
     better = {"map": True, "spo2": True, "temp": False, "rr": False}
     source = {"map": "map", "spo2": "spo2", "temp": "temperature", "rr": "resp_rate"}
