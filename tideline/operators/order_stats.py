@@ -4,6 +4,8 @@
 2. One scan counts rows below each bracket and keeps the distinct values inside it.
 3. Running counts over that sliver pick the two order statistics to interpolate.
 
+One scan sketches, one scan counts; only the sliver is sorted.
+
 The sketch only decides how narrow the sliver is; the ranks are counted, so results are exact.
 """
 
@@ -54,52 +56,33 @@ def exact_quantiles(
     ranked = base.join(sketch, keys)
 
     # Values outside every bracket collapse to one partial row per group and task.
-    in_any = F.lit(False)
-    for i in range(len(probs)):
-        in_any = in_any | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-    below = [F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_c{i}") for i in range(len(probs))]
-    bounds = [F.first(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(probs)) for side in ("lo", "hi")]
+    k = range(len(probs))
+    here = [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in k]
+    in_any = here[0]
+    for h in here[1:]:
+        in_any = in_any | h
+    below = [F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_c{i}") for i in k]
+    bounds = [F.first(f"_{side}{i}").alias(f"_{side}{i}") for i in k for side in ("lo", "hi")]
     sliver = ranked.groupBy(*keys, F.when(in_any, F.col("_v")).alias("_v")).agg(
         F.count("*").alias("_m"), F.first("_n").alias("_n"), *below, *bounds
     )
-    # The counts below each bracket are summed over the sliver rows of the group.
-    totals = sliver.groupBy(*keys).agg(*[F.sum(f"_c{i}").alias(f"_t{i}") for i in range(len(probs))])
-    if bounded_groups or not groups:
-        totals = F.broadcast(totals)
-    inside = sliver.where(F.col("_v").isNotNull()).join(totals, keys)
-    per_prob = inside.select(
-        *keys,
-        "_v",
-        "_m",
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.lit(float(p)).alias("p"),
-                        F.col(f"_t{i}").alias("below"),
-                        F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias("here"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("_q"),
-    ).where("_q.here")
-    upto = Window.partitionBy(*keys, "_q.i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    position = F.col("_q.p") * (F.col("_n") - 1)
-    counted = per_prob.withColumns(
-        {"_cum": F.col("_q.below") + F.sum("_m").over(upto), "_lo_rank": F.floor(position), "_hi_rank": F.ceil(position)}
-    )
-    picked = counted.groupBy(*keys, F.col("_q.i").alias("_i")).agg(
-        F.first("_n").alias("n"),
-        F.min(F.when(F.col("_cum") > F.col("_lo_rank"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.col("_hi_rank"), F.col("_v"))).alias("_z"),
-        F.first(position - F.floor(position)).alias("_w"),
+    # The collapsed row (null value) sorts first; a rank is the count below the bracket plus the
+    # running count inside it.  One window serves all probabilities, and the final aggregate
+    # needs no further shuffle.
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = sliver.withColumns(
+        {f"_r{i}": F.sum(f"_c{i}").over(whole) + F.sum(F.when(here[i], F.col("_m")).otherwise(0)).over(upto) for i in k}
     )
-    quantile = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")
-    out = picked.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, quantile)).alias(name) for i, name in enumerate(names)]
+    aggs = [F.max("_n").alias("n")]
+    position = {i: F.lit(float(p)) * (F.col("_n") - 1) for i, p in enumerate(probs)}
+    for i in k:
+        hit = lambda rank: F.min(F.when(here[i] & (F.col(f"_r{i}") > rank), F.col("_v")))  # noqa: E731, B023
+        aggs += [hit(F.floor(position[i])).alias(f"_a{i}"), hit(F.ceil(position[i])).alias(f"_z{i}")]
+    picked = counted.groupBy(*keys).agg(*aggs)
+    share = {i: F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for i, p in enumerate(probs)}
+    out = picked.select(
+        *keys, "n", *[(F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * share[i]).alias(name) for i, name in enumerate(names)]
     )
     return out if groups else out.drop("_all")
 

@@ -107,11 +107,6 @@ def add_strategies(df: DataFrame, pairs: Sequence[tuple[float, float]] = ((1.0,
     return out, names
 
 
-def _pair_sums(x: Column, w: Column, arm: Column) -> tuple[Column, Column]:
-    ok = arm & x.isNotNull() & w.isNotNull()
-    return F.sum(F.when(ok, w)), F.sum(F.when(ok, w * x))
-
-
 def weighted_average(sw: Column, swx: Column) -> Column:
     """Null when the weights do not add up to something positive."""
     return F.when(sw > 0, swx / sw)
@@ -127,22 +122,26 @@ def effect_table(
 
     ``outcomes`` maps a column to ``risk`` or ``mean``; a weight of None is the plain mean.
     """
-    one, zero = F.col(treat) == 1, F.col(treat) == 0
+    ys = {f"_y{j}": finite(y) for j, y in enumerate(outcomes)}
+    ws = {f"_w{i}": F.lit(1.0) if w is None else finite(w) for i, w in enumerate(weights.values())}
+    slim = df.select(F.col(treat).alias("_a"), *[c.alias(k) for k, c in {**ys, **ws}.items()])
     aggs, rows = [], []
-    for i, (label, w) in enumerate(weights.items()):
-        weight = F.lit(1.0) if w is None else finite(w)
+    for i, label in enumerate(weights):
         for j, (y, kind) in enumerate(outcomes.items()):
-            for tag, arm in (("t", one), ("c", zero)):
-                sw, swx = _pair_sums(finite(y), weight, arm)
-                aggs += [sw.alias(f"{tag}w{i}_{j}"), swx.alias(f"{tag}y{i}_{j}")]
+            aggs += [
+                F.sum(F.when(F.col(f"_y{j}").isNotNull(), F.col(f"_w{i}"))).alias(f"w{i}_{j}"),
+                F.sum(F.col(f"_w{i}") * F.col(f"_y{j}")).alias(f"s{i}_{j}"),
+            ]
             rows.append(
                 F.struct(
                     F.lit(label).alias("analysis"), F.lit(y).alias("outcome"), F.lit(kind).alias("kind"),
-                    weighted_average(F.col(f"tw{i}_{j}"), F.col(f"ty{i}_{j}")).alias("treated"),
-                    weighted_average(F.col(f"cw{i}_{j}"), F.col(f"cy{i}_{j}")).alias("control"),
+                    weighted_average(F.col(f"w{i}_{j}"), F.col(f"s{i}_{j}")).alias("x"),
                 )
             )
-    long = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    arms = slim.groupBy("_a").agg(*aggs).select("_a", F.explode(F.array(*rows)).alias("r")).select("_a", "r.*")
+    long = arms.groupBy("analysis", "outcome", "kind").agg(
+        F.max(F.when(F.col("_a") == 1, F.col("x"))).alias("treated"), F.max(F.when(F.col("_a") == 0, F.col("x"))).alias("control")
+    )
     return with_contrasts(long)
 
 
