@@ -148,7 +148,7 @@ def test_date_site_matches_plain_reading(spark, raw, rows):
 
 def test_date_site_results(spark, raw):
     cfg = sd.DateConfig(**CFG)
-    out = sd.results(sd.build_cohort(raw, cfg), cfg)
+    out = sd.results(sd.build_cohort(raw, cfg), cfg, binary=["sex_male", "comorb"], continuous=["age", "lactate_0_24h"])
     eff = out["effects"].toPandas()
     assert eff.analysis.nunique() == 5 and set(eff.outcome) == set(sd.OUTCOMES)
     assert out["bootstrap"].select("rep").distinct().count() == 3

@@ -192,9 +192,8 @@ def window_coverage(
     per = joined.groupBy(on, concept).agg(*flags)
     wide = per.groupBy(concept).agg(*[F.coalesce(F.sum(w), F.lit(0)).alias(w) for w in windows])
     cells = F.array(*[F.struct(F.lit(w).alias("window"), F.col(w).alias("n_entities")) for w in windows])
-    long = wide.select(concept, F.explode(cells).alias("c")).select(concept, "c.*").withColumn("_k", F.lit(1))
-    total = cohort.agg(F.count("*").alias("cohort_n")).withColumn("_k", F.lit(1))
-    out = long.join(F.broadcast(total), "_k").drop("_k")
+    long = wide.select(concept, F.explode(cells).alias("c")).select(concept, "c.*")
+    out = long.withColumn("cohort_n", F.lit(cohort.count()))
     return out.withColumn("share", F.try_divide(F.col("n_entities").cast("double"), F.col("cohort_n")))
 
 

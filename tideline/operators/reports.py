@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -15,12 +15,10 @@ from .weighting import group_labels
 def group_profile(df: DataFrame, group: str, measures: Mapping[str, Column]) -> DataFrame:
     """Rows per group, share of all rows, and the given aggregates.
 
-    The total is a broadcast one-row table keyed by a constant.
+    The share's window runs over the group rows, not the data.
     """
     per = df.groupBy(group).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in measures.items()])
-    total = per.agg(F.sum("n").alias("_t")).withColumn("_k", F.lit(1))
-    out = per.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-    return out.withColumn("percent", F.col("n") * 100.0 / F.col("_t")).drop("_k", "_t")
+    return per.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
 def duration_summary(df: DataFrame, value: str, treat: str = "A") -> DataFrame:

@@ -195,18 +195,25 @@ def build_cohort(raw: Mapping[str, DataFrame], cfg: DateConfig | None = None) ->
     )
 
 
-def results(cohort: DataFrame, cfg: DateConfig | None = None, truncations=((1.0, 99.0), (2.5, 97.5))) -> dict[str, DataFrame]:
+def results(
+    cohort: DataFrame,
+    cfg: DateConfig | None = None,
+    truncations: Sequence[tuple[float, float]] = ((1.0, 99.0), (2.5, 97.5)),
+    binary: Sequence[str] = BINARY,
+    continuous: Sequence[str] = CONTINUOUS,
+) -> dict[str, DataFrame]:
+    """The result tables of a run."""
     cfg = cfg or DateConfig()
-    fitted = wt.fit_weights(cohort, site_b=(BINARY, CONTINUOUS))
+    fitted = wt.fit_weights(cohort, site_b=(binary, continuous))
     df, weights = wt.add_strategies(fitted.df, truncations)
     df = stage_border(df)
     fitted.df = df
     boot, _ = bootstrap_table(
-        cohort, KEYS, [*BINARY, *CONTINUOUS], OUTCOMES, cfg.reps, cfg.seed, pairs=truncations, overlap=True, prepare="median", binary=BINARY
+        cohort, KEYS, [*binary, *continuous], OUTCOMES, cfg.reps, cfg.seed, pairs=truncations, overlap=True, prepare="median", binary=binary
     )
     boot = stage_border(boot)
     return {
-        "missing_by_arm": wt.missing_by_arm(df, [*BINARY, *CONTINUOUS]),
+        "missing_by_arm": wt.missing_by_arm(df, [*binary, *continuous]),
         "balance": wt.model_balance(fitted, weights),
         "score_distribution": rp.describe_by(df, "A", "ps_den"),
         "weight_summary": wt.weight_summary(df),
