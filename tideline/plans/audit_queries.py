@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import clocks
@@ -9,6 +11,7 @@ from ..functions.text import flag
 from ..operators import audits as au
 from ..operators.intervals import overlap_profile, overlaps
 from ..operators.order_stats import exact_quantiles
+from ..session import shared_dir
 from ..sources import preflight, tables
 from . import roles as ro
 from .registry import query
@@ -321,3 +324,30 @@ def preflight_report(spark, folder):
         row = ro.table(spark, folder, name).agg(F.lit(name).alias("source"), F.count("*").alias("n_rows"))
         counts = row if counts is None else counts.unionByName(row)
     return report.join(F.broadcast(counts), "source", "left").withColumn("n_rows", F.col("n_rows").cast("double"))
+
+
+@query(
+    "csv_round_trip",
+    "S1 S7",
+    """SELECT o_orderstatus, count(*) AS n, count(o_orderdate) AS n_dated, round(sum(o_totalprice), 2) AS total, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_date
+       FROM orders GROUP BY 1""",
+)
+def csv_round_trip(spark, folder):
+    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    order = ro.table(spark, folder, "orders")
+    tables.write_result(order, path)
+    return tables.read_csv(spark, path, order.schema).groupBy("o_orderstatus").agg(
+        F.count("*").alias("n"), F.count("o_orderdate").alias("n_dated"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+        ro.stamp(F.max("o_orderdate")).alias("last_date"),
+    )
+
+
+@query(
+    "cohort_checkpoint",
+    "S8",
+    ro.with_sql(ro.PEOPLE_SQL)
+    + "SELECT c_mktsegment, count(*) AS n, CAST(sum(n_orders) AS BIGINT) AS n_orders FROM people GROUP BY 1",
+)
+def cohort_checkpoint(spark, folder):
+    kept = tables.save_cohort(ro.people(spark, folder), f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}")
+    return kept.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("n_orders").alias("n_orders"))
