@@ -14,6 +14,8 @@ def spark():
         "tests", "local[8]", **{
             "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
+            # Short plans: the second compiler tier costs more than it returns.
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
