@@ -193,12 +193,18 @@ def _iterate(df, design, reps, start, n_rows, live, max_iter, ridge):
 
 def fit_designs(
     df: DataFrame, design: kn.Design, n_rows: np.ndarray, reps: np.ndarray | None = None, max_iter: int = MAX_ITER,
-    valid: np.ndarray | None = None, alpha: float = RIDGE_ALPHA, force_ridge: bool = False,
+    valid: np.ndarray | None = None, alpha: float = RIDGE_ALPHA, force_ridge: bool = False, share: np.ndarray | None = None,
 ) -> Fit:
-    """Fit every replicate of ``design``; those that do not converge get the ridge."""
+    """Fit every replicate of ``design``; those that do not converge get the ridge.
+
+    ``share`` (treated share per replicate) starts the iteration at the intercept-only fit.
+    """
     n_rep = len(n_rows)
     keep = np.ones(n_rep, dtype=bool) if valid is None else valid
     start = np.zeros((n_rep, design.width))
+    if share is not None:
+        inner = np.clip(share, kn.SCORE_FLOOR, kn.SCORE_CEIL)
+        start[:, 0] = np.log(inner / (1.0 - inner))
     live = [] if force_ridge else list(np.flatnonzero(keep))
     beta, done, passes = _iterate(df, design, reps, start, n_rows, live, max_iter, 0.0)
     again = [r for r in np.flatnonzero(keep) if not done[r]]

@@ -144,8 +144,8 @@ def bootstrap_table(
             sd = np.sqrt(np.maximum((s2 + lost * gap * gap) / total - m1 * m1, 0.0))
             mean = centre + m1
         design = build_design(used, is_binary, fill, mean, sd)
-        fit = fit_designs(table, design, n, batch, BOOTSTRAP_MAX_ITER, valid)
         share = treated / np.maximum(n, 1.0)
+        fit = fit_designs(table, design, n, batch, BOOTSTRAP_MAX_ITER, valid, share=share)
         limits = np.zeros((len(batch), len(pairs), 2))
         if pairs:
             probs = [x / 100.0 for pair in pairs for x in pair]

@@ -73,7 +73,7 @@ def fit_weights(
     else:
         design = median_prepared(df, *site_b)
     slim = df.select(F.col(treat).cast("double").alias("A"), *[c for c in design.columns if c != "A"])
-    fit = fit_designs(slim, design, np.array([float(n)]), force_ridge=ridge_only)
+    fit = fit_designs(slim, design, np.array([float(n)]), force_ridge=ridge_only, share=np.array([share]))
     out = add_scores(df, design, fit.beta[0], f"ps_den{suffix}")
     pn = min(max(share, kn.SCORE_FLOOR), kn.SCORE_CEIL)
     out = out.withColumns(
