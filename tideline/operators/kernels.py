@@ -122,11 +122,6 @@ def newton_sums(batches: Iterator[pd.DataFrame], design: Design, beta: np.ndarra
     yield out.iloc[live]
 
 
-def score_rows(batches: Iterator[pd.DataFrame], design: Design, beta: np.ndarray):
-    for pdf in batches:
-        yield pdf.assign(ps_den=_scores(design, _read(pdf, design.columns), beta, 0))
-
-
 @dataclass
 class Series:
     """Values to take replicate quantiles of: raw columns, or the stabilised weight."""

@@ -158,12 +158,6 @@ def effective_size(w: Column) -> Column:
     return F.try_divide(F.pow(F.sum(w), F.lit(2.0)), F.sum(w * w))
 
 
-def _moments(variable: str, x: Column, fill: float, weight: Column, treat: str, centre: float) -> Column:
-    """Struct of filled, centred value for the long table."""
-    value = F.coalesce(x, F.lit(fill)) - F.lit(centre)
-    return F.struct(F.lit(variable).alias("variable"), value.alias("x"))
-
-
 def balance_table(
     df: DataFrame,
     variables: Sequence[str],

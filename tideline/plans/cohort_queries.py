@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import clocks
 from ..functions import lexicon as lx
-from ..functions.text import collapse_spaces
 from ..operators import cohort as co
 from ..operators import intervals as iv
 from ..operators.features import add_treatment_intensity

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clocks
-from ..functions import lexicon as lx
 from ..functions import numbers as nb
 from ..functions.text import flag
 from ..operators import features as ft
 from ..operators import outcomes as oc
 from ..operators import reports as rp
-from ..operators.cohort import add_clocks, classify_treatment
+from ..operators.cohort import classify_treatment
 from ..operators.intervals import longest_run_flag, touched_bins
 from ..operators.points import complete_triplets, inside, measure, window_measures
 from ..operators.weighting import effect_table

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clocks
 from ..operators import phenotype
 from ..operators.cohort import add_clocks
 from ..operators.intervals import prepare_coverage
