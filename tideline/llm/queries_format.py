@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_schema
+from . import chat_schema, piece_codec
 from .common import ship, table
 from .registry import llm_query
 
+#: The vocabulary file is a parameter; it is read on the driver and sent along.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 SAID = "</s>[INST] ok [/INST]"
 
 _ESCAPED = r"(<\\*\|im_start\|>|<\\*\|im_sep\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*\|system\|>|<\\*\|user\|>|<\\*\|assistant\|>|<\\*\|eot_id\|>|<\\*\|start_header_id\|>|<\\*\|end_header_id\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>)"
@@ -38,3 +41,11 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], rows.schema)
     out = chat_schema.digests(chat_schema.format_records(chat_schema.conversation_records(rows.unionByName(extra)), "record"))
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "layout")
+
+
+@llm_query("op7_piece_codec")
+def op7_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole document, whether they decode to the text and whether sentencepiece agrees."""
+    ship("piece_codec")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return piece_codec.code(docs, PIECE_MODEL, results=("n_tokens", "ids", "round_trip", "parity")).drop("text")
