@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence
+from . import divergence, nearest_votes
 from .common import fold, ship, table
+from .labelled import FOLD_MODULUS, HELD_FOLD
 from .registry import llm_query
 
 
@@ -20,3 +21,13 @@ def op4_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "char_distance", "word_distance"
     )
+
+
+@llm_query("op9_nearest_votes")
+def op9_nearest_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples."""
+    ship("textkit", "vote_index", "nearest_votes")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = nearest_votes.fit(docs, table(spark, folder, "labels"))
+    held = (fold("doc_id", FOLD_MODULUS) == HELD_FOLD).alias("held_out")
+    return nearest_votes.score(docs, model).select("doc_id", held, "score", "predicted", "evidence")
