@@ -26,7 +26,7 @@ from .labelled import SAMPLE_PER_LABEL, labelled_sample
 
 THRESHOLD = 0.5
 #: Terms of the vectors: at most so many, of at least so many sample documents and so large a likelihood ratio.
-MAX_TERMS, MIN_DOCUMENTS, MIN_RATIO = 4_096, 4, 12.0
+MAX_TERMS, MIN_DOCUMENTS, MIN_RATIO = 4_096, 4, 20.0
 RESULT = "score double, predicted int, evidence array<struct<doc_id:long,cosine:double,share:double>>"
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import prob_minhash
+from . import prob_minhash, string_tiling
 from .common import ship, table
 from .registry import llm_query
 
@@ -15,3 +16,13 @@ def op5_prob_minhash(spark: SparkSession, folder: str) -> DataFrame:
     ship("textkit", "prob_sketch", "prob_minhash")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return prob_minhash.near_duplicates(docs).select("doc_id", "class_id", "kept")
+
+
+@llm_query("op2_string_tiling")
+def op2_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document against every benchmark item: items it covers, and how much of the best."""
+    ship("textkit", "tiling")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = string_tiling.contamination(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    best = F.coalesce(F.array_max(F.col("matches.coverage")), F.lit(0.0))
+    return out.select("doc_id", "contaminated", F.array_sort(F.col("matches.item_id")).alias("item_ids"), best.alias("coverage"))

@@ -54,23 +54,25 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def run_keys(points: np.ndarray, table: np.ndarray, head: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_keys(points: np.ndarray, table: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, starts and ends of the maximal runs of code points that ``table`` marks.
 
-    With ``head``, of the first so many code points of the runs longer than that.
+    With ``heads``, keys also of the first so many code points of the runs longer than that, apart from those of runs
+    spelt so; starts and ends remain those of the runs.
     """
     inside = np.zeros(len(points) + 2, np.int8)
     inside[1:-1] = table.take(points, mode="clip")
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if head:
-        longer = ends - starts > head
-        starts, ends = starts[longer], starts[longer] + head
     powers, inverses = _series(len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=sums[1:])
-    keys = (sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)
-    return mix(keys), starts, ends
+    between = lambda a, z: mix((sums[z] - sums[a]) * inverses[a] + (z - a).astype(np.uint64))
+    parts = [between(starts, ends)]
+    for head in heads:
+        longer = starts[ends - starts > head]
+        parts.append(~between(longer, longer + head))
+    return np.concatenate(parts) if heads else parts[0], starts, ends
 
 
 def run_word_keys(points: np.ndarray) -> np.ndarray:
@@ -89,9 +91,9 @@ def plain_word_keys(text: str | None) -> np.ndarray:
     return run_keys(code_points(text.lower()), _PLAIN_CLASS)[0] if text else np.empty(0, np.uint64)
 
 
-def plain_heads(text: str | None, head: int) -> np.ndarray:
-    """Keys of the first ``head`` code points of longer plain words, apart from the keys of words that are spelt so."""
-    return ~run_keys(code_points(text.lower()), _PLAIN_CLASS, head)[0] if text else np.empty(0, np.uint64)
+def plain_keys_and_heads(text: str | None, heads: tuple[int, ...]) -> np.ndarray:
+    """The same with the keys of the words' heads."""
+    return run_keys(code_points(text.lower()), _PLAIN_CLASS, heads)[0] if text else np.empty(0, np.uint64)
 
 
 def plain_words(text: str | None) -> list[str]:

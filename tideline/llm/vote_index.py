@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textkit import plain_heads, plain_word_keys
+from .textkit import plain_keys_and_heads
 
-HEAD = 5
+#: Words that share a stem share a head.
+HEADS = (4, 5, 6, 7)
 BLOCK = 128
 NEIGHBOURS = 15
 #: Added to the cosine distance before it is inverted to a vote's weight.
@@ -15,7 +16,7 @@ SOFTEN = 0.05
 
 def features(text: str | None) -> np.ndarray:
     """Keys of the words and of the heads of longer words, one for each time they stand in the text."""
-    return np.concatenate([plain_word_keys(text), plain_heads(text, HEAD)])
+    return plain_keys_and_heads(text, HEADS)
 
 
 def vector(text: str | None, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
