@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,19 @@ def item_blocks(items: DataFrame, item: str, text: str, block_chars: int) -> Ite
         yield sorted(((r["item"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+def matcher(shared: Broadcast, min_match: int, min_coverage: float):
+    """Vectorised function from a text to its matches among the items of one block."""
+
+    @F.pandas_udf(MATCH)
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = tiling.TestItems(shared.value, min_match)
+        names = ("item_id", "coverage", "tiles", "longest")
+        for batch in batches:
+            yield pd.Series([[dict(zip(names, m, strict=True)) for m in index.matches(t, min_coverage)] for t in batch])
+
+    return match
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH,
     min_coverage: float = MIN_COVERAGE, block_chars: int = BLOCK_CHARS,
@@ -47,13 +61,6 @@ def contamination(
     found = []
     for block in item_blocks(items, item, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf(MATCH)
-        def match(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = tiling.TestItems(shared.value, min_match)
-            for batch in batches:
-                yield pd.Series([[dict(zip(("item_id", "coverage", "tiles", "longest"), m, strict=True)) for m in index.matches(t, min_coverage)] for t in batch])
-
-        found.append(match(F.col(text)))
+        found.append(matcher(shared, min_match, min_coverage)(F.col(text)))
     matched = docs.withColumn("_found", F.concat(*found) if len(found) > 1 else found[0])
     return matched.select(*docs.columns, (F.size("_found") > 0).alias("contaminated"), F.col("_found").alias("matches"))
