@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_border
 
-__all__ = ["fold", "row_key", "ship", "stage", "table"]
+__all__ = ["fold", "row_key", "ship", "small", "stage", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,3 +36,12 @@ def ship(*names: str) -> None:
     """Send these modules of the package inside the task, so executors need not have it installed."""
     for name in names:
         cloudpickle.register_pickle_by_value(importlib.import_module(f"{__package__}.{name}"))
+
+
+#: Bytes up to which a counted table is sent to every task.
+SMALL_BYTES = 24 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A staged table with a broadcast hint if its counted rows are few enough; else it is joined by shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prob_minhash, string_tiling
+from . import line_templates, prob_minhash, string_tiling
 from .common import ship, table
+from .line_templates_sql import LINE_SQL
 from .registry import llm_query
 
 
+@llm_query("op1_line_templates", LINE_SQL)
+def op1_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines whose template stands in an earlier document too."""
+    return line_templates.drop_recurring(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_dropped", "text")
+
+
 @llm_query("op5_prob_minhash")
 def op5_prob_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document; the class id is the least document id in it."""
