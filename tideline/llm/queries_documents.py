@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, nearest_votes
+from . import additive_pairs, divergence, nearest_votes
 from .common import fold, ship, table
 from .labelled import FOLD_MODULUS, HELD_FOLD
 from .registry import llm_query
@@ -31,3 +31,13 @@ def op9_nearest_votes(spark: SparkSession, folder: str) -> DataFrame:
     model = nearest_votes.fit(docs, table(spark, folder, "labels"))
     held = (fold("doc_id", FOLD_MODULUS) == HELD_FOLD).alias("held_out")
     return nearest_votes.score(docs, model).select("doc_id", held, "score", "predicted", "evidence")
+
+
+@llm_query("op8_additive_pairs")
+def op8_additive_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by the additive model."""
+    ship("textkit", "gam", "additive_pairs")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = additive_pairs.fit(docs, table(spark, folder, "labels"))
+    held = (fold("doc_id", FOLD_MODULUS) == HELD_FOLD).alias("held_out")
+    return additive_pairs.score(docs, model).select("doc_id", held, "score", "predicted")
