@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_pairs, divergence, nearest_votes
+from . import additive_pairs, deleted_interpolation, divergence, nearest_votes
 from .common import fold, ship, table
 from .labelled import FOLD_MODULUS, HELD_FOLD
 from .registry import llm_query
@@ -41,3 +41,10 @@ def op8_additive_pairs(spark: SparkSession, folder: str) -> DataFrame:
     model = additive_pairs.fit(docs, table(spark, folder, "labels"))
     held = (fold("doc_id", FOLD_MODULUS) == HELD_FOLD).alias("held_out")
     return additive_pairs.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
+@llm_query("op6_deleted_interpolation")
+def op6_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probabilities of every document under the interpolated model of all learning documents."""
+    ship("textkit", "gram_counts", "interpolation", "deleted_interpolation")
+    return deleted_interpolation.score_documents(table(spark, folder, "documents").select("doc_id", "text"))
