@@ -1,6 +1,6 @@
 """All registered operator queries and the pipeline."""
 
-from . import queries_copies, queries_documents, queries_format  # noqa: F401
+from . import queries_copies, queries_documents, queries_format, queries_pages  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
