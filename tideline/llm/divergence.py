@@ -7,7 +7,7 @@ only judged if the document has enough characters or words for its distance to m
 
 Defined cases: a null text is an empty one: no words, base rules fail, not kept; null languages form a language of
 their own; rows are judged alone, so repeated rows get equal results; an empty table gives an empty result; other input
-columns pass through untouched.
+columns pass through untouched, those named as a result give way.
 """
 
 from __future__ import annotations
@@ -194,5 +194,7 @@ def judge(docs: DataFrame, refs: list[tuple[str, str, str, int]], text: str = "t
 
     failed = (F.col("m.n_words") < MIN_BASE_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_SHARE * F.col("m.n_words"))
     far = F.coalesce(F.col("m.char_distance") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("m.word_distance") > MAX_WORD_DISTANCE, F.lit(False))
+    made = {c.split()[0] for c in MEASURES.split(", ")} | {"m", "base_failed", "kept"}
+    docs = docs.drop(*[c for c in docs.columns if c in made and c != text])
     held = docs.withColumn("m", measure(F.col(text)))
     return held.select(*docs.columns, "m.*", failed.alias("base_failed"), (~failed & ~far).alias("kept"))

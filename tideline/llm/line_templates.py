@@ -77,8 +77,8 @@ def recurring_lines(
 def drop_recurring(docs: DataFrame, doc: str = "doc_id", text: str = "text", **settings: float) -> DataFrame:
     """``docs`` with ``text`` without its recurring lines, and ``n_dropped`` (an input column of that name gives way)."""
     docs = docs.drop("n_dropped") if text != "n_dropped" else docs
-    drops = stage(recurring_lines(docs, doc, text, **settings)).withColumnRenamed("row", "_row").withColumnRenamed("drops", "_drops")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_drops", i)), "\n")
-    out = docs.withColumn("_row", row_key(doc, text)).join(small(drops, 160), "_row", "left")
-    cols = [F.when(F.col("_drops").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return out.select(*cols, F.coalesce(F.size("_drops"), F.lit(0)).alias("n_dropped"))
+    drops = stage(recurring_lines(docs, doc, text, **settings)).withColumnRenamed("row", "_tideline_row").withColumnRenamed("drops", "_tideline_drops")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_tideline_drops", i)), "\n")
+    out = docs.withColumn("_tideline_row", row_key(doc, text)).join(small(drops, 160), "_tideline_row", "left")
+    cols = [F.when(F.col("_tideline_drops").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return out.select(*cols, F.coalesce(F.size("_tideline_drops"), F.lit(0)).alias("n_dropped"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prob_sketch
-from .common import row_key, stage
+from .common import row_key, small, stage
 from .textkit import plain_word_keys
 
 SIMILARITY = 0.8
@@ -145,3 +145,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     classes = named.groupBy("label").agg(least)
     out = named.join(classes, "label")
     return out.select(F.col("doc").alias(doc), "row", F.col("first.doc").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that are kept; of rows equal in id and text one stays."""
+    marked = stage(near_duplicates(docs, doc, text, similarity))
+    gone = stage(marked.where(~F.col("kept")).select(F.col("row").alias("_tideline_row")).distinct())
+    twice = stage(marked.where("kept").groupBy("row").count().where("count > 1").select(F.col("row").alias("_tideline_row")))
+    keyed = docs.withColumn("_tideline_row", row_key(doc, text)).join(small(gone, 16), "_tideline_row", "left_anti")
+    again = small(twice, 16)
+    kept = keyed.join(again, "_tideline_row", "left_anti").unionByName(keyed.join(again, "_tideline_row", "left_semi").dropDuplicates(["_tideline_row"]))
+    return kept.select(*docs.columns)
