@@ -152,11 +152,11 @@ class References:
         known = [words for _, words, _ in by.values()]
         self.words = np.sort(np.array([*{w for words in known for w in words}], np.int64).view(np.uint64))
         names = self.words.view(np.int64).tolist()
-        self.mask = np.array([[w in words for w in names] for words in known], float).reshape(len(by), -1)
-        named = np.array([[words.get(w, 0) for w in names] for words in known], float).reshape(len(by), -1)
+        self.mask = np.array([[w in words for w in names] for words in known], float).reshape(len(by), len(names))
+        named = np.array([[words.get(w, 0) for w in names] for words in known], float).reshape(len(by), len(names))
         totals = np.array([total[0] for _, _, total in by.values()], float)
-        self.word_refs = np.column_stack([named, totals - named.sum(axis=1)]) / totals[:, None] if by else named
-        self.char_refs = np.array([chars / chars.sum() for chars, _, _ in by.values()])
+        self.word_refs = np.column_stack([named, totals - named.sum(axis=1)]) / totals[:, None]
+        self.char_refs = np.array([chars / chars.sum() for chars, _, _ in by.values()]).reshape(len(by), len(CLASSES))
         self.word_info, self.char_info = _information(self.word_refs), _information(self.char_refs)
 
     def compare(self, text: str, points: np.ndarray) -> tuple[str | None, float | None, float | None]:

@@ -29,4 +29,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     taken = known.withColumn("share", share).where(draw < F.col("share"))
     # Bounded: some 2 * per_label rows of an id and a label.
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(F.broadcast(taken.withColumnRenamed(doc, "doc")), "doc")
-    return rows.select("doc", "text", "label", (1.0 / F.col("share")).alias("weight"))
+    return rows.select("doc", "text", "label", F.try_divide(F.lit(1.0), F.col("share")).alias("weight"))
