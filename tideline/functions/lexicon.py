@@ -144,6 +144,18 @@ CULTURE_GROUPS = {
     "fungal": "fung",
     "afb_mycobacterial": "afb|mycobacter",
 }
+LINKAGE_CULTURE_GROUPS = {
+    "blood": "blood culture",
+    "urine": "urine culture",
+    "respiratory": "respir|sputum",
+    "wound": "wound",
+    "tissue": "tissue",
+    "csf": "csf",
+    "fungal": "fung",
+    "afb_mycobacterial": "afb|mycobact",
+    "stool": "stool",
+    "other_fluid": "fluid",
+}
 SUSCEPTIBILITY_WORDS = ("susceptib", "sensitivity", "minimum inhibitory", " mic ")
 ORGANISM_WORDS = ("organism", "isolate", "identification")
 SIBLING_CLASSES = {

@@ -6,19 +6,21 @@ of replicates and columns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 
-# Integer-hash multipliers and Poisson(1) cumulative probabilities.
+# Integer-hash multipliers.
 MASK32 = 0xFFFFFFFF
 WEYL = 0x9E3779B9
 MIX = 0x45D9F3B
-POISSON_CDF = (
-    0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152, 0.9999167589, 0.9999897508,
-)
+# Cumulative Poisson(1) probabilities that a 32-bit draw can tell from one: counts go up to 12, the next one is rarer
+# than a step of the draw.
+POISSON_CDF = tuple(x for x in accumulate(math.exp(-1.0) / math.factorial(k) for k in range(16)) if x < 1.0 - 2.0**-32)
 ETA_LIMIT = 35.0
 SCORE_FLOOR, SCORE_CEIL = 0.001, 0.999
 
@@ -191,12 +193,10 @@ def sliver_rows(batches, series: Series, reps, lo: np.ndarray, hi: np.ndarray, b
                     at = bin_index(v[inside], a, b, bins)
                     keep = (at >= first[s, r, k]) & (at <= last[s, r, k])
                     if keep.any():
-                        yield pd.DataFrame(
-                            {
-                                "s": np.int32(s), "r": np.int32(r), "k": np.int32(k),
-                                "v": v[inside][keep], "m": w[inside][keep].astype("int64"),
-                            }
-                        )
+                        # Equal values leave the task as one row.
+                        found, back = np.unique(v[inside][keep], return_inverse=True)
+                        times = np.bincount(back, w[inside][keep], minlength=len(found)).astype("int64")
+                        yield pd.DataFrame({"s": np.int32(s), "r": np.int32(r), "k": np.int32(k), "v": found, "m": times})
 
 
 def effect_sums(

@@ -170,10 +170,11 @@ def culture_row(name: Column | str) -> Column:
     return n.contains("culture") & ~n.startswith("ua w culture if ind.") & ~n.contains("culture if indicated")
 
 
-def culture_group(name: Column | str) -> Column:
+def culture_group(name: Column | str, groups: Mapping[str, str] | None = None) -> Column:
+    """First group whose pattern fits; positivity counts and linkage rules order the groups differently."""
     n = F.lower(text(name))
     out = None
-    for label, pattern in lx.CULTURE_GROUPS.items():
+    for label, pattern in (lx.CULTURE_GROUPS if groups is None else groups).items():
         out = F.when(n.rlike(pattern), F.lit(label)) if out is None else out.when(n.rlike(pattern), F.lit(label))
     return out.otherwise(F.lit("other_culture"))
 

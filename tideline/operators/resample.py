@@ -118,7 +118,9 @@ def bootstrap_table(
     is_binary = [(c in binary) if binary is not None else prof.binary[c] for c in used]
     centre = np.array([prof.mean[c] or 0.0 for c in used])
     p = 1 + len(used)
-    size = max(1, min(reps, TASK_BUDGET // max(p * p, len(pairs) * 2 * BINS, 1)))
+    # 0/1 columns are filled with 0 whatever their median is.
+    spread = [j for j, zero_one in enumerate(is_binary) if not zero_one] if prepare == "median" else []
+    size = max(1, min(reps, TASK_BUDGET // max(p * p, len(pairs) * 2 * BINS, len(spread) * BINS, 1)))
     strategies = ["stabilized"] + (["overlap"] if overlap else []) + [f"trunc_{lo:g}_{hi:g}" for lo, hi in pairs]
     parts, methods, failed = [], [], 0
     for at in range(0, reps, size):
@@ -134,10 +136,12 @@ def bootstrap_table(
         sd = np.sqrt(np.maximum(s2 / safe - (s1 / safe) ** 2, 0.0))
         fill = mean
         if prepare == "median" and used:
-            series = kn.Series(used)
-            lo, hi = (np.array([v if v is not None else 0.0 for v in (d[c] for c in used)]) for d in (prof.low, prof.high))
-            fill = replicate_quantiles(table, series, batch, [0.5], lo, hi)[:, :, 0].T
-            fill = np.where(np.isnan(fill), 0.0, fill)
+            fill = np.zeros((len(batch), len(used)))
+            if spread:
+                series = kn.Series([used[j] for j in spread])
+                lo, hi = (np.array([v if v is not None else 0.0 for v in (d[used[j]] for j in spread)]) for d in (prof.low, prof.high))
+                found = replicate_quantiles(table, series, batch, [0.5], lo, hi)[:, :, 0].T
+                fill[:, spread] = np.where(np.isnan(found), 0.0, found)
             gap, lost = fill - centre, n[:, None] - seen
             total = np.maximum(n[:, None], 1.0)
             m1 = (s1 + lost * gap) / total

@@ -193,17 +193,21 @@ def parser_comparison(spark, folder):
     )
 
 
+# Fixed value: rows of a ranked candidate map.
+MAP_ROWS = 100
+
+
 @query(
     "candidate_maps",
     "Q9 A13 O6",
     """SELECT p_brand, p_type, count(*) AS n, count(DISTINCT l_orderkey) AS n_entities, count(*) FILTER (WHERE l_discount > 0.05) AS n_valued
-       FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING count(*) >= 11 ORDER BY n DESC, p_brand, p_type LIMIT 40""",
+       FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING count(*) >= 11 ORDER BY n DESC, p_brand, p_type LIMIT 100""",
 )
 def candidate_maps(spark, folder):
     part = ro.table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
     rows = ro.table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     extra = {"n_entities": F.countDistinct("l_orderkey"), "n_valued": F.count_if(F.col("l_discount") > 0.05)}
-    return au.frequent_values(rows, ["p_brand", "p_type"], extra, top=40)
+    return au.frequent_values(rows, ["p_brand", "p_type"], extra, top=MAP_ROWS)
 
 
 @query(
@@ -218,7 +222,10 @@ def category_topk(spark, folder):
     return au.category_counts(ro.table(spark, folder, "orders"), ["o_orderpriority", "o_orderstatus", "o_custkey"])
 
 
-PROFILED = ("orders", "documents", "labels")
+RESULT_TYPES = {
+    "patid": "bigint", "encounterid": "bigint", "raw_lab_name": "string", "loinc": "int", "specimen_source": "string", "specimen_date": "date",
+    "specimen_time": "int", "order_date": "date", "result_date": "date", "result_qual": "string", "raw_result": "string",
+}
 
 
 @query(
@@ -226,14 +233,12 @@ PROFILED = ("orders", "documents", "labels")
     "S10 S3",
     ro.with_sql(ro.RESULTS_SQL)
     + " UNION ALL ".join(
-        f"SELECT 'results' AS source, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, round((count(*) - count({c})) / count(*), 6) AS null_fraction FROM results"
-        for c in ("patid", "encounterid", "raw_lab_name", "specimen_source", "specimen_time", "result_qual", "raw_result")
+        f"SELECT 'results' AS source, '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS n_null, round((count(*) - count({c})) / count(*), 6) AS null_fraction FROM results"
+        for c, t in RESULT_TYPES.items()
     ),
 )
 def schema_profile(spark, folder):
-    cols = ["patid", "encounterid", "raw_lab_name", "specimen_source", "specimen_time", "result_qual", "raw_result"]
-    out = au.schema_profile(ro.results(spark, folder).select(*cols), "results")
-    return out.drop("data_type").withColumn("null_fraction", F.round("null_fraction", 6))
+    return au.schema_profile(ro.results(spark, folder), "results").withColumn("null_fraction", F.round("null_fraction", 6))
 
 
 @query(
@@ -274,13 +279,13 @@ def semi_filtered_scan(spark, folder):
 @query(
     "view_sql_counts",
     "S6 A13",
-    """SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) >= 11 ORDER BY n DESC, 1, 2 LIMIT 10""",
+    """SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) >= 11""",
 )
 def view_sql_counts(spark, folder):
     tables.register_views({"tideline_orders": ro.table(spark, folder, "orders")})
     return spark.sql(
         """SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM tideline_orders
-           GROUP BY 1, 2 HAVING count(*) >= 11 ORDER BY n DESC, 1, 2 LIMIT 10"""
+           GROUP BY 1, 2 HAVING count(*) >= 11"""
     )
 
 

@@ -108,19 +108,15 @@ def landmark_strict_vs_lenient(spark, folder):
     "landmark_date_ambiguity",
     "C33",
     """SELECT count(*) AS anchored,
-              count(*) FILTER (WHERE CAST(lst AS DATE) = CAST(o_orderdate + INTERVAL 96 DAY AS DATE)) AS discharge_on_landmark_date,
+              count(*) FILTER (WHERE CAST(lst AS DATE) = CAST(mn + INTERVAL 96 DAY AS DATE)) AS discharge_on_landmark_date,
               count(*) FILTER (WHERE CAST(o_orderdate AS DATE) = CAST(mn + INTERVAL 96 DAY AS DATE)) AS death_on_landmark_date
        FROM (SELECT *, min(o_orderdate) OVER (PARTITION BY o_custkey) AS mn, max(o_orderdate) OVER (PARTITION BY o_custkey) AS lst FROM orders)""",
 )
 def landmark_date_ambiguity(spark, folder):
     order = ro.table(spark, folder, "orders")
     span = order.groupBy("o_custkey").agg(F.min("o_orderdate").alias("mn"), F.max("o_orderdate").alias("lst"))
-    rows = order.join(span, "o_custkey")
-    return rows.agg(
-        F.count("*").alias("anchored"),
-        F.count_if(F.to_date("lst") == F.to_date(clocks.plus("o_orderdate", days=96))).alias("discharge_on_landmark_date"),
-        F.count_if(F.to_date("o_orderdate") == F.to_date(clocks.plus("mn", days=96))).alias("death_on_landmark_date"),
-    )
+    rows = order.join(span, "o_custkey").withColumns({"discharge": F.to_date("lst"), "death": F.to_date("o_orderdate")})
+    return co.landmark_ambiguity(rows, F.to_date(clocks.plus("mn", days=96)), "discharge", "death")
 
 
 @query(

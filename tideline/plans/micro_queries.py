@@ -11,6 +11,7 @@ from ..operators import audits as au
 from ..operators import linkage as lk
 from ..operators import micro as mi
 from ..operators import phenotype as ph
+from ..session import stage_border
 from . import roles as ro
 from .registry import query
 
@@ -130,12 +131,13 @@ def diagnostic_intensity(spark, folder):
 
 
 # ---- linkage over laboratory result rows ----
-def _linkage_rows(spark, folder):
-    rows = ro.results(spark, folder)
+def _linkage_rows(spark, folder, groups=lx.LINKAGE_CULTURE_GROUPS):
+    # Cultures and three follow-up levels read one staged scan.
+    rows = stage_border(ro.results(spark, folder))
     source = F.coalesce("specimen_source", F.lit(lk.MISSING))
     cultures = (
         rows.where(ph.culture_row("raw_lab_name")).dropna(subset=["patid", "specimen_date"])
-        .withColumns({"culture_group": ph.culture_group("raw_lab_name"), "specimen_source": source})
+        .withColumns({"culture_group": ph.culture_group("raw_lab_name", groups), "specimen_source": source})
     )
     blank = (F.trim(text("raw_result")) == "") & (F.trim(text("result_qual")) == "")
     follow = rows.withColumns(
@@ -144,11 +146,15 @@ def _linkage_rows(spark, folder):
     return cultures, follow
 
 
-CULTURES = """cultures AS (SELECT patid, encounterid, specimen_date, specimen_time, order_date, result_qual, raw_result, raw_lab_name, loinc,
+def cultures_sql(groups):
+    cases = " ".join(f"WHEN regexp_matches(lower(raw_lab_name), '{p}') THEN '{g}'" for g, p in groups.items())
+    return f"""cultures AS (SELECT patid, encounterid, specimen_date, specimen_time, order_date, result_qual, raw_result, raw_lab_name, loinc,
     coalesce(specimen_source, '<MISSING>') AS specimen_source,
-    CASE WHEN raw_lab_name LIKE '%blood culture%' THEN 'blood' WHEN raw_lab_name LIKE '%urine culture%' THEN 'urine' WHEN raw_lab_name LIKE '%respir%' THEN 'respiratory'
-      WHEN raw_lab_name LIKE '%wound%' THEN 'wound' ELSE 'other_culture' END AS culture_group
+    CASE {cases} ELSE 'other_culture' END AS culture_group
   FROM results WHERE raw_lab_name LIKE '%culture%' AND raw_lab_name NOT LIKE 'ua w culture if ind.%' AND raw_lab_name NOT LIKE '%culture if indicated%')"""
+
+
+CULTURES, POSITIVITY_CULTURES = cultures_sql(lx.LINKAGE_CULTURE_GROUPS), cultures_sql(lx.CULTURE_GROUPS)
 FOLLOW = """follow AS (SELECT *, CASE WHEN raw_lab_name LIKE '%susceptib%' THEN 'susceptibility_or_mic' ELSE 'organism_or_identification' END AS followup_type,
     coalesce(specimen_source, '<MISSING>') AS source2,
     CASE WHEN trim(coalesce(raw_result, '')) <> '' OR trim(coalesce(result_qual, '')) <> '' THEN 1 ELSE 0 END AS has_nonblank_result
@@ -228,7 +234,7 @@ FOUND = "EXISTS (SELECT 1 FROM follow f WHERE " + WITHIN.format(k=7) + SAME + "
 @query(
     "exists_flags",
     "J9 Q14 P18",
-    ro.with_sql(ro.RESULTS_SQL, CULTURES, FOLLOW)
+    ro.with_sql(ro.RESULTS_SQL, POSITIVITY_CULTURES, FOLLOW)
     + f"""SELECT culture_group, direct_class, has_followup_signal, has_organism_signal, has_susceptibility_signal, count(*) AS n FROM (
       SELECT c.culture_group, {DIRECT} AS direct_class,
         CAST({FOUND.format(cond=f"f.has_nonblank_result = 1 AND NOT regexp_matches(lower(trim(coalesce(f.raw_result, ''))), '{NEG}')")} AS INTEGER) AS has_followup_signal,
@@ -237,7 +243,7 @@ FOUND = "EXISTS (SELECT 1 FROM follow f WHERE " + WITHIN.format(k=7) + SAME + "
       FROM cultures c) GROUP BY ALL""",
 )
 def exists_flags(spark, folder):
-    cultures, follow = _linkage_rows(spark, folder)
+    cultures, follow = _linkage_rows(spark, folder, lx.CULTURE_GROUPS)
     cultures = cultures.withColumn("direct_class", ph.direct_result("result_qual", "raw_result"))
     clean = ~F.lower(F.trim(text("raw_result"))).rlike(NEG)
     facts = {
@@ -252,13 +258,13 @@ def exists_flags(spark, folder):
 @query(
     "exists_null_tolerant",
     "J10",
-    ro.with_sql(ro.RESULTS_SQL, CULTURES, FOLLOW)
+    ro.with_sql(ro.RESULTS_SQL, POSITIVITY_CULTURES, FOLLOW)
     + f"""SELECT culture_group, count(*) AS culture_rows, CAST(sum(hit) AS BIGINT) AS rows_with_followup FROM (
       SELECT c.culture_group, CAST(EXISTS (SELECT 1 FROM follow f WHERE {WITHIN.format(k=7)}
         AND (f.encounterid = c.encounterid OR c.encounterid IS NULL OR f.encounterid IS NULL)) AS INTEGER) AS hit FROM cultures c) GROUP BY 1""",
 )
 def exists_null_tolerant(spark, folder):
-    cultures, follow = _linkage_rows(spark, folder)
+    cultures, follow = _linkage_rows(spark, folder, lx.CULTURE_GROUPS)
     out = lk.exists_null_tolerant(cultures, follow, "patid", "encounterid", "result_date", 7, "hit")
     return out.groupBy("culture_group").agg(F.count("*").alias("culture_rows"), F.sum("hit").alias("rows_with_followup"))
 

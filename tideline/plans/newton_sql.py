@@ -113,9 +113,9 @@ def replicate_score(
     med = "avg" if fill == "avg" else "median"
     # Expanded rows (m copies) give replicate medians; weighted sums would do for means.
     expanded = f"{name}_x AS MATERIALIZED (SELECT r.rep, u.* FROM (SELECT rep, unit, unnest(range(m)) AS copy FROM rp) r JOIN {base} u USING (unit))"
-    f_cols = ", ".join(f"{med}({c}) AS f_{c}" for c in continuous)
+    f_cols = ", ".join(f"{med}({c}) AS f_{c}" for c in continuous) or "count(*) AS one"
     if fill == "avg":
-        k_cols = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in continuous)
+        k_cols = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in continuous) or "count(*) AS uno"
     else:
         k_cols = ", ".join(f"avg(coalesce({c}, f_{c})) AS m_{c}, stddev_pop(coalesce({c}, f_{c})) AS s_{c}" for c in continuous)
     z = ["1.0::DOUBLE AS z0"]

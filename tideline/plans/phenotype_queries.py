@@ -230,7 +230,7 @@ def exact_label_items(spark, folder):
 
 @query(
     "name_include_exclude",
-    "P15 J16",
+    "P15",
     """SELECT p_type, count(*) FILTER (WHERE (strpos(lower(p_name), 'ring') > 0 OR strpos(lower(p_name), 'gear') > 0)
         AND NOT (strpos(lower(p_name), 'small') > 0 OR strpos(lower(p_name), 'hot') > 0)) AS n_kept, count(*) AS n FROM part GROUP BY 1""",
 )

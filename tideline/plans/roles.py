@@ -134,7 +134,10 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     line, order, part = (table(spark, folder, n) for n in ("lineitem", "orders", "part"))
     noun = F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2))
     kind = (
-        F.when(noun == "ring", "blood culture").when(noun == "widget", "urine culture").when(noun == "plate", "wound culture")
+        F.when((noun == "ring") & (F.col("p_size") % 5 == 0), "AFB stool culture")
+        .when((noun == "widget") & (F.col("p_size") % 3 == 0), "Sputum culture")
+        .when((noun == "plate") & (F.col("p_size") % 3 == 0), "Fungal fluid culture")
+        .when(noun == "ring", "blood culture").when(noun == "widget", "urine culture").when(noun == "plate", "wound culture")
         .when(noun == "bolt", "organism identification").when(noun == "gear", "susceptibility panel")
         .when(noun == "gizmo", "gram stain").otherwise(F.concat(F.lit("other "), noun))
     )
@@ -165,10 +168,13 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 RESULTS_SQL = """
 results AS (
   SELECT o.o_custkey AS patid, CASE WHEN l.l_orderkey % 7 <> 0 THEN l.l_orderkey END AS encounterid,
-         lower(p.p_type) || '|' || CASE split_part(lower(p.p_name), ' ', 2)
+         lower(p.p_type) || '|' || CASE WHEN split_part(lower(p.p_name), ' ', 2) = 'ring' AND p.p_size % 5 = 0 THEN 'AFB stool culture'
+           WHEN split_part(lower(p.p_name), ' ', 2) = 'widget' AND p.p_size % 3 = 0 THEN 'Sputum culture'
+           WHEN split_part(lower(p.p_name), ' ', 2) = 'plate' AND p.p_size % 3 = 0 THEN 'Fungal fluid culture'
+           ELSE CASE split_part(lower(p.p_name), ' ', 2)
            WHEN 'ring' THEN 'blood culture' WHEN 'widget' THEN 'urine culture' WHEN 'plate' THEN 'wound culture'
            WHEN 'bolt' THEN 'organism identification' WHEN 'gear' THEN 'susceptibility panel'
-           WHEN 'gizmo' THEN 'gram stain' ELSE 'other ' || split_part(lower(p.p_name), ' ', 2) END AS raw_lab_name,
+           WHEN 'gizmo' THEN 'gram stain' ELSE 'other ' || split_part(lower(p.p_name), ' ', 2) END END AS raw_lab_name,
          p.p_size AS loinc, CASE WHEN p.p_size % 4 <> 0 THEN p.p_type END AS specimen_source,
          CAST(o.o_orderdate AS DATE) AS specimen_date,
          CASE WHEN l.l_suppkey % 6 <> 0 THEN CAST(l.l_suppkey % 24 AS INTEGER) END AS specimen_time,

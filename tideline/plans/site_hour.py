@@ -222,6 +222,7 @@ def results(t: Mapping[str, DataFrame], stages: Mapping[str, DataFrame], cfg: Ho
         cohort, ["hadm_id"], vars_, OUTCOMES, cfg.reps, cfg.seed, pairs=cfg.truncations, overlap=True
     )
     boot = stage_border(boot)
+    rows_boot = se.Boot(("hadm_id",), cfg.reps, cfg.seed)
     subsets = {
         "Narrowed/non-broad only vs continued broad": se.subtype_contrast(cohort, lx.NARROWED),
         "Stopped all observed systemic antibiotics vs continued broad": se.subtype_contrast(cohort, lx.STOPPED),
@@ -242,8 +243,8 @@ def results(t: Mapping[str, DataFrame], stages: Mapping[str, DataFrame], cfg: Ho
         "intervals": interval_table(boot, cfg.reps),
         "bootstrap": boot,
         "strategies": wt.strategy_table(df, vars_, weights, "death_by_horizon"),
-        "progressive": se.progressive_models(cohort, cfg.models, "death_by_horizon"),
-        "sensitivity": se.sensitivity_set(cohort, subsets, vars_, "death_by_horizon"),
+        "progressive": se.progressive_models(cohort, cfg.models, "death_by_horizon", boot=rows_boot),
+        "sensitivity": se.sensitivity_set(cohort, subsets, vars_, "death_by_horizon", boot=rows_boot),
         "stop_fill": stop_fill_table(t, stages, cfg),
         "durations": rp.duration_summary(df, "antibiotic_days"),
         "subtypes": rp.group_profile(cohort, "deescalation_type", {c: F.avg(c) for c in OUTCOMES}),

@@ -214,10 +214,10 @@ def worst_covariate(spark, folder):
 @query(
     "top_imbalanced",
     "O7 O1",
-    BALANCE_SQL + "SELECT weighting, variable, after FROM bal ORDER BY after DESC, variable, weighting LIMIT 5",
+    BALANCE_SQL + "SELECT weighting, variable, after FROM bal ORDER BY after DESC, variable, weighting LIMIT 25",
 )
 def top_imbalanced(spark, folder):
-    return _balance(spark, folder).select("weighting", "variable", "after").orderBy(F.desc("after"), "variable", "weighting").limit(5)
+    return _balance(spark, folder).select("weighting", "variable", "after").orderBy(F.desc("after"), "variable", "weighting").limit(25)
 
 
 @query(
@@ -332,12 +332,12 @@ def crude_rates(spark, folder):
     "duplicate_covariates",
     "M29",
     ro.with_sql(ro.UNITS_SQL)
-    + """, b AS (SELECT price, coalesce(balance, (SELECT avg(balance) FROM units)) AS balance, price AS price_copy, closed, 1 - closed AS opened, closed AS closed_copy FROM units),
-      names AS (SELECT unnest(['price', 'balance', 'price_copy', 'closed', 'opened', 'closed_copy']) AS v, unnest(range(6)) AS i)
-      SELECT x.v AS variable_1, y.v AS variable_2 FROM names x JOIN names y ON x.i < y.i WHERE NOT EXISTS (SELECT 1 FROM (UNPIVOT (SELECT row_number() OVER () AS id, price::DOUBLE AS price, balance::DOUBLE AS balance, price_copy::DOUBLE AS price_copy,
-        closed::DOUBLE AS closed, opened::DOUBLE AS opened, closed_copy::DOUBLE AS closed_copy FROM b) ON price, balance, price_copy, closed, opened, closed_copy INTO NAME v VALUE val) p
-        JOIN (UNPIVOT (SELECT row_number() OVER () AS id, price::DOUBLE AS price, balance::DOUBLE AS balance, price_copy::DOUBLE AS price_copy,
-        closed::DOUBLE AS closed, opened::DOUBLE AS opened, closed_copy::DOUBLE AS closed_copy FROM b) ON price, balance, price_copy, closed, opened, closed_copy INTO NAME v VALUE val) q ON p.id = q.id WHERE p.v = x.v AND q.v = y.v AND p.val <> q.val)""",
+    + """, b AS MATERIALIZED (SELECT unit, price, coalesce(balance, (SELECT avg(balance) FROM units)) AS balance, price AS price_copy, closed, 1 - closed AS opened, closed AS closed_copy FROM units),
+      names AS (SELECT unnest(['price', 'balance', 'price_copy', 'closed', 'opened', 'closed_copy']) AS v, unnest(range(6)) AS i),
+      tall AS MATERIALIZED (SELECT unit, v, val FROM (SELECT unit, price::DOUBLE AS price, balance::DOUBLE AS balance, price_copy::DOUBLE AS price_copy,
+        closed::DOUBLE AS closed, opened::DOUBLE AS opened, closed_copy::DOUBLE AS closed_copy FROM b) UNPIVOT INCLUDE NULLS (val FOR v IN (price, balance, price_copy, closed, opened, closed_copy)))
+      SELECT x.v AS variable_1, y.v AS variable_2 FROM names x JOIN names y ON x.i < y.i JOIN tall p ON p.v = x.v JOIN tall q ON q.v = y.v AND q.unit = p.unit
+      GROUP BY ALL HAVING count(*) FILTER (p.val IS DISTINCT FROM q.val) = 0""",
 )
 def duplicate_covariates(spark, folder):
     rows = ro.units(spark, folder).withColumns(
@@ -381,19 +381,35 @@ SUMMARY_COLS = [
 
 def _summary(df):
     whole = {"analysis", "n", "n_treated", "n_control", "n_vars_used", "status"}
-    keep = SUMMARY_COLS + (["status"] if "status" in df.columns else [])
+    keep = SUMMARY_COLS + [c for c in (*se.INTERVALS, "status") if c in df.columns]
     return df.select(*[c if c in whole else F.round(c, 4 if c.startswith("ess") else 6).alias(c) for c in keep])
 
 
+REPS, SEED = 6, 20260426
+LIMITS = {"rd_lower_95": ("difference", 0.025), "rd_upper_95": ("difference", 0.975), "rr_lower_95": ("ratio", 0.025), "rr_upper_95": ("ratio", 0.975)}
+
+
+def intervals_sql(label: str, base: str, cont: list[str], bins: list[str]) -> str:
+    """One row: the bootstrap limits of a model fitted on ``base``."""
+    limits = ", ".join(f"round(quantile_cont({x}, {q}), 6) AS {c}" for c, (x, q) in LIMITS.items())
+    t, c = _risk("m * SW_A", "y", 1), _risk("m * SW_A", "y", 0)
+    parts = [replicates(base, "unit", SEED, REPS), replicate_score(base, cont, bins, SEED, REPS)]
+    return f"SELECT * FROM (WITH {', '.join(parts)} SELECT '{label}' AS analysis, {limits} FROM (SELECT {t} - ({c}) AS difference, ({t}) / ({c}) AS ratio FROM w GROUP BY rep))"
+
+
 @query(
     "progressive_models",
     "M22",
     ro.with_sql(ro.UNITS_SQL, *[score("units", cont, bins, name=f"w{m}") for m, (bins, cont) in MODELS.items()])
-    + " UNION ALL ".join(summary_sql(m, f"w{m}", {v: FILLED[v] for v in [*cont, *bins]}) for m, (bins, cont) in MODELS.items()),
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(summary_sql(m, f"w{m}", {v: FILLED[v] for v in [*cont, *bins]}) for m, (bins, cont) in MODELS.items())
+    + ") JOIN ("
+    + " UNION ALL ".join(intervals_sql(m, "units", cont, bins) for m, (bins, cont) in MODELS.items())
+    + ") USING (analysis)",
 )
 def progressive_models(spark, folder):
     models = {m: [*cont, *bins] for m, (bins, cont) in MODELS.items()}
-    return _summary(se.progressive_models(ro.units(spark, folder), models, "y"))
+    return _summary(se.progressive_models(ro.units(spark, folder), models, "y", boot=se.Boot(("unit",), REPS, SEED)))
 
 
 def centred(source: str) -> dict:
@@ -417,11 +433,14 @@ SUBSETS = {
     ro.with_sql(
         ro.UNITS_SQL, *[f"s_{k} AS MATERIALIZED ({v})" for k, v in SUBSETS.items()], *[score(f"s_{k}", CONT, BINS, name=f"w_{k}") for k in SUBSETS]
     )
+    + "SELECT * FROM ("
     + " UNION ALL ".join(
         f"SELECT * REPLACE (n_treated::DOUBLE AS n_treated, n_control::DOUBLE AS n_control, n_vars_used::DOUBLE AS n_vars_used), 'ok' AS status FROM ({summary_sql(k, f'w_{k}', centred(f's_{k}'))})"
         for k in SUBSETS
     )
-    + " UNION ALL SELECT 'tiny', NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_run' FROM units WHERE unit < 0",
+    + " UNION ALL SELECT 'tiny', NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_run' FROM units WHERE unit < 0) LEFT JOIN ("
+    + " UNION ALL ".join(intervals_sql(k, f"s_{k}", CONT, BINS) for k in SUBSETS)
+    + ") USING (analysis)",
 )
 def subtype_contrasts(spark, folder):
     u = ro.units(spark, folder)
@@ -432,7 +451,7 @@ def subtype_contrasts(spark, folder):
         "restricted": u.where("building = 0"),
         "tiny": u.where("unit < 0"),
     }
-    out = _summary(se.sensitivity_set(u, subsets, COVS, "y"))
+    out = _summary(se.sensitivity_set(u, subsets, COVS, "y", boot=se.Boot(("unit",), REPS, SEED)))
     return out.withColumns({c: F.col(c).cast("double") for c in ("n_treated", "n_control", "n_vars_used")})
 
 
@@ -484,7 +503,6 @@ def robustness_variants(spark, folder):
 
 
 # ---- bootstrap ----
-REPS, SEED = 6, 20260426
 BOOT = ro.with_sql(ro.UNITS_SQL, replicates("units", "unit", SEED, REPS), replicate_score("units", CONT, BINS, SEED, REPS))
 BOOT_T = """, e AS MATERIALIZED (SELECT w.*, CASE WHEN A = 1 THEN 1 - ps_den ELSE ps_den END AS OW_A FROM (SELECT rep, m, unit, A, y, yc, ps_den, SW_A FROM w) w),
   q AS MATERIALIZED (SELECT rep, quantile_cont(SW_A, 0.01) AS q1, quantile_cont(SW_A, 0.99) AS q2, quantile_cont(SW_A, 0.025) AS q3, quantile_cont(SW_A, 0.975) AS q4

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -40,18 +39,23 @@ def build_session(app_name: str = "tideline", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-_LOCAL_DIR: dict[str, str] = {}
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for stage borders: ``spark.checkpoint.dir``, else the session's warehouse; both are shared on a cluster.
+
+    A run has one folder of its own in it, which is removed when the application ends.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    run = f"{top.rstrip('/')}/tideline-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUNS.add(run)
+    return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for stage borders: the one the cluster names, a scratch folder only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    return _LOCAL_DIR.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+_RUNS: set[str] = set()
 
 
 def stage_border(df: DataFrame) -> DataFrame:
@@ -61,6 +65,6 @@ def stage_border(df: DataFrame) -> DataFrame:
     a lost executor costs a re-read rather than a rebuild.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
