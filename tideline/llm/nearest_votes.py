@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are plain words and the heads of longer ones that stand clearly more often in label 1 of the sample (likelihood
-ratio).  Every document is compared with the labelled examples by the exact cosine of TF-IDF vectors over these terms in
+Terms are plain words and the heads of longer ones that tell of label 1: the share of label 1 among the sample documents
+with the term is several times the sample's share, or over a half, beyond chance (likelihood ratio).  Every document is compared with the labelled examples by the exact cosine of TF-IDF vectors over these terms in
 a block-max inverted index; the nearest vote by distance, votes are calibrated on leave-one-out votes, and the nearest
 examples are given as evidence.
 
@@ -26,7 +26,7 @@ from .labelled import SAMPLE_PER_LABEL, labelled_sample
 
 THRESHOLD = 0.5
 #: Terms of the vectors: at most so many, of at least so many sample documents and so large a likelihood ratio.
-MAX_TERMS, MIN_DOCUMENTS, MIN_RATIO = 4_096, 4, 20.0
+MAX_TERMS, MIN_DOCUMENTS, MIN_RATIO, MIN_LIFT = 4_096, 4, 20.0, 4.0
 RESULT = "score double, predicted int, evidence array<struct<doc_id:long,cosine:double,share:double>>"
 
 
@@ -51,11 +51,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     sample = stage(labelled_sample(docs, labels, label, per_label, doc, text))
     sums = {r["label"]: r["w"] for r in sample.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     yes_all, no_all = F.lit(sums.get(1, 0.0)), F.lit(sums.get(0, 0.0))
-    expected = (F.col("yes") + F.col("no")) / (yes_all + no_all)
-    part = lambda seen, e: F.when(seen > 1e-9, seen * F.log(seen / e)).otherwise(0.0)
+    rate = sums.get(1, 0.0) / max(sum(sums.values()), 1.0)
+    expected = (F.col("yes") + F.col("no")) / F.lit(max(sum(sums.values()), 1.0))
+    part = lambda seen, e: F.when((seen > 1e-9) & (e > 0), seen * F.log(F.try_divide(seen, e))).otherwise(0.0)
     cells = ((F.col("yes"), yes_all * expected), (F.col("no"), no_all * expected), (yes_all - F.col("yes"), yes_all * (1 - expected)), (no_all - F.col("no"), no_all * (1 - expected)))
     ratio = 2 * sum((part(seen, e) for seen, e in cells), F.lit(0.0))
-    over = F.col("yes") > 2 * yes_all * expected
+    over = F.col("yes") > min(0.5, MIN_LIFT * rate) * (F.col("yes") + F.col("no"))
     best = term_counts(sample).where((F.col("docs") >= MIN_DOCUMENTS) & over).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
     rows = sorted(best.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", "yes", "no").collect(), key=lambda r: r["term"] % 2**64)
     terms = np.array([r["term"] for r in rows], np.int64).view(np.uint64)

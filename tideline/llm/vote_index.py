@@ -47,11 +47,12 @@ class VoteIndex:
         weight = np.concatenate([v[1] for v in self.vectors]) if self.n else np.empty(0)
         order = np.lexsort((who, term))
         self.who, self.weight = who[order], weight[order]
+        self.within = self.who % BLOCK
         cell = term[order] * max(self.blocks, 1) + self.who // BLOCK
         self.start = np.searchsorted(cell, np.arange(n_terms * max(self.blocks, 1) + 1)).reshape(-1)
         self.most = np.zeros(n_terms * max(self.blocks, 1))
         np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, -1)
+        self.most = self.most.reshape(n_terms, max(self.blocks, 1))
 
     def nearest(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest vectors with a term in common, exactly; ties go to the lower position.
@@ -64,11 +65,11 @@ class VoteIndex:
             # Equal bounds are opened too, or a tie at a lower position could be missed.
             if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-12:
                 break
+            cell = which * self.blocks + block
             score = np.zeros(BLOCK)
-            for t, w in zip(which, weight, strict=True):
-                cell = t * self.blocks + block
-                a, z = self.start[cell], self.start[cell + 1]
-                score[self.who[a:z] - block * BLOCK] += w * self.weight[a:z]
+            for w, a, z in zip(weight, self.start[cell].tolist(), self.start[cell + 1].tolist(), strict=True):
+                if z > a:
+                    score[self.within[a:z]] += w * self.weight[a:z]
             hit = np.flatnonzero(score > 0)
             best_at, best = np.concatenate([best_at, hit + block * BLOCK]), np.concatenate([best, score[hit]])
             order = np.lexsort((best_at, -np.round(best, 12)))[:k]
