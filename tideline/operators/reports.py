@@ -49,7 +49,7 @@ def outcome_summary(df: DataFrame, binary: Sequence[str], continuous: Sequence[s
 DESCRIBE_PROBS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
-def describe_by(df: DataFrame, group: str, value: str, bounded: bool = True) -> DataFrame:
+def describe_by(df: DataFrame, group: str, value: str, bounded: bool = False) -> DataFrame:
     """count, mean, std, min, nine percentiles and max per group."""
     basic = df.groupBy(group).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),

@@ -120,7 +120,7 @@ def clock_pair_offsets(spark, folder):
 def anchor_clock_offsets(spark, folder):
     rows = ro.labs(spark, folder).join(ro.users(spark, folder), "subject")
     rows = rows.select("concept", clocks.boundaries_crossed("hour", "anchor_time", "charttime").alias("h"))
-    out = exact_quantiles(rows, ["concept"], "h", [0.05, 0.5, 0.95], ["p05_hours", "median_hours", "p95_hours"], bounded_groups=True)
+    out = exact_quantiles(rows, ["concept"], "h", [0.05, 0.5, 0.95], ["p05_hours", "median_hours", "p95_hours"])
     return out.withColumns({c: F.round(c, 6) for c in ("p05_hours", "p95_hours")})
 
 
