@@ -23,7 +23,7 @@ def carried(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not reject."""
-    ship("textkit", "vote_index", "nearest_votes")
+    ship(spark, "textkit", "vote_index", "nearest_votes")
     model = nearest_votes.fit(docs, table(spark, sf_dir, "labels"))
     return nearest_votes.score(carried(docs), model).where("predicted = 0").select("_doc.*")
 
@@ -37,20 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the least id."""
-    ship("textkit", "prob_sketch", "prob_minhash")
+    ship(spark, "textkit", "prob_sketch", "prob_minhash")
     return prob_minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    ship("textkit", "tiling")
+    ship(spark, "textkit", "tiling")
     found = string_tiling.contamination(carried(docs), table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select("_doc.*")
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether they decode to the text and agree with sentencepiece."""
-    ship("piece_codec")
+    ship(spark, "piece_codec")
     return piece_codec.code(docs, PIECE_MODEL, results=("n_tokens", "ids", "round_trip", "parity"))
 
 

@@ -32,8 +32,14 @@ def row_key(doc: str, text: str) -> Column:
     return F.xxhash64(F.col(doc), F.col(text))
 
 
-def ship(*names: str) -> None:
-    """Send these modules of the package inside the task, so executors need not have it installed."""
+#: Rows and bytes of an Arrow batch: documents can be long, and a batch is held by the JVM and the Python worker alike.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def ship(spark: SparkSession, *names: str) -> None:
+    """Bound Arrow batches, and send these modules inside the task, so executors need not have the package installed."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     for name in names:
         cloudpickle.register_pickle_by_value(importlib.import_module(f"{__package__}.{name}"))
 

@@ -61,8 +61,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> Dat
                 yield pd.DataFrame(rows, columns=["content", "marks"])
 
     texts = docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    # Equal rows share a key: the first set of a content stands for all.
-    return texts.join(wanted, "row").select("content", "text").mapInPandas(run, "content binary, marks array<long>").dropDuplicates(["content"])
+    return texts.join(wanted, "row").select("content", "text").mapInPandas(run, "content binary, marks array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -94,7 +93,10 @@ def links(docs: DataFrame, sketched: DataFrame, doc: str, text: str, similarity:
     members = stage(contents.where("bands is not null").select("content", "row", F.explode("bands").alias("bucket")))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("content").alias("pivot")).where("n > 1")
     members = stage(members.join(sizes, "bucket"))
-    texts = stage(shingle_sets(docs, members.select("row", "content").distinct(), doc, text))
+    sets = shingle_sets(docs, members.select("row", "content").distinct(), doc, text)
+    # Rows equal in id and text are found again under one key: then one set of a content stands for all.
+    repeated = not sketched.groupBy("row").count().where("count > 1").isEmpty()
+    texts = stage(sets.dropDuplicates(["content"]) if repeated else sets)
     found: DataFrame | None = None
     labels: DataFrame | None = None
     tested: list[DataFrame] = []

@@ -20,7 +20,7 @@ def op1_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op5_prob_minhash")
 def op5_prob_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document; the class id is the least document id in it."""
-    ship("textkit", "prob_sketch", "prob_minhash")
+    ship(spark, "textkit", "prob_sketch", "prob_minhash")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return prob_minhash.near_duplicates(docs).select("doc_id", "class_id", "kept")
 
@@ -28,7 +28,7 @@ def op5_prob_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op2_string_tiling")
 def op2_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """Every document against every benchmark item: items it covers, and how much of the best."""
-    ship("textkit", "tiling")
+    ship(spark, "textkit", "tiling")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     out = string_tiling.contamination(docs, table(spark, folder, "benchmark").select("item_id", "text"))
     best = F.coalesce(F.array_max(F.col("matches.coverage")), F.lit(0.0))

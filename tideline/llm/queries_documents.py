@@ -14,7 +14,7 @@ from .registry import llm_query
 @llm_query("op4_quality_divergence")
 def op4_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """All documents against the language references of the same corpus."""
-    ship("textkit", "divergence")
+    ship(spark, "textkit", "divergence")
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     refs = [tuple(r) for r in divergence.references(docs).collect()]
     out = divergence.judge(docs.select("doc_id", "text"), refs)
@@ -26,7 +26,7 @@ def op4_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op9_nearest_votes")
 def op9_nearest_votes(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document by its nearest labelled examples."""
-    ship("textkit", "vote_index", "nearest_votes")
+    ship(spark, "textkit", "vote_index", "nearest_votes")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = nearest_votes.fit(docs, table(spark, folder, "labels"))
     held = (fold("doc_id", FOLD_MODULUS) == HELD_FOLD).alias("held_out")
@@ -36,7 +36,7 @@ def op9_nearest_votes(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op8_additive_pairs")
 def op8_additive_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by the additive model."""
-    ship("textkit", "gam", "additive_pairs")
+    ship(spark, "textkit", "gam", "additive_pairs")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = additive_pairs.fit(docs, table(spark, folder, "labels"))
     held = (fold("doc_id", FOLD_MODULUS) == HELD_FOLD).alias("held_out")
@@ -46,5 +46,5 @@ def op8_additive_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op6_deleted_interpolation")
 def op6_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     """log10 probabilities of every document under the interpolated model of all learning documents."""
-    ship("textkit", "gram_counts", "interpolation", "deleted_interpolation")
+    ship(spark, "textkit", "gram_counts", "interpolation", "deleted_interpolation")
     return deleted_interpolation.score_documents(table(spark, folder, "documents").select("doc_id", "text"))

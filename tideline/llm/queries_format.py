@@ -36,7 +36,7 @@ FROM said
 @llm_query("op10_chat_format", CHAT_SQL)
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and conversation -1 through the schema-fingerprint formatter, read back from its output."""
-    ship("chat_schema")
+    ship(spark, "chat_schema")
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], rows.schema)
     out = chat_schema.digests(chat_schema.format_records(chat_schema.conversation_records(rows.unionByName(extra)), "record"))
@@ -46,6 +46,6 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op7_piece_codec")
 def op7_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole document, whether they decode to the text and whether sentencepiece agrees."""
-    ship("piece_codec")
+    ship(spark, "piece_codec")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return piece_codec.code(docs, PIECE_MODEL, results=("n_tokens", "ids", "round_trip", "parity")).drop("text")
