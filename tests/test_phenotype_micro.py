@@ -84,3 +84,16 @@ def test_micro_category_precedence(spark):
     assert [r["strict_culture_exclusion_reason"] for r in mi.classify(df).collect()] == [
         "screen_or_surveillance", "non_culture_diagnostic_test", "not_excluded_from_strict_culture", "test_name_not_culture",
     ]
+
+
+def test_culture_groups_of_positivity_and_linkage(spark):
+    from tideline.functions import lexicon as lx
+    from tideline.operators import phenotype as ph
+
+    names = {
+        "Sputum Culture": ("other_culture", "respiratory"), "Fungal fluid culture": ("other_fluid", "fungal"), "AFB stool culture": ("stool", "afb_mycobacterial"),
+        "Blood culture": ("blood", "blood"), "Culture": ("other_culture", "other_culture"),
+    }
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = df.select("name", ph.culture_group("name").alias("a"), ph.culture_group("name", lx.LINKAGE_CULTURE_GROUPS).alias("b")).collect()
+    assert {r["name"]: (r["a"], r["b"]) for r in rows} == names

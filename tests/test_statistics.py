@@ -198,3 +198,18 @@ def test_design_profile_drops_useless_columns(spark, frame):
     design, _ = lg.mean_prepared(df, ["k", "x1", "e", "x2"])
     assert design.columns == ["x1", "x2"]
     assert [r["type"] for r in lg.standardisation_table(design)] == ["continuous_standardized", "binary"]
+
+
+def test_counts_reach_the_resolution_of_the_draw():
+    assert len(kn.POISSON_CDF) == 12 and 1 - kn.POISSON_CDF[-1] > 2.0**-32
+    m = kn.multiplicities(np.arange(200_000), np.arange(200_000)[::-1].copy(), np.arange(3))
+    assert abs(m.mean() - 1) < 0.01 and abs(m.var() - 1) < 0.02
+
+
+def test_small_cohort_is_fitted_without_a_row_guard(spark, frame):
+    from tideline.operators import sensitivity as se
+
+    few = to_spark(spark, frame.head(80))
+    got = se.guarded_summary(few, ["x2"], "few", "y", boot=se.Boot(("id",), 20, 1)).first()
+    assert got["status"] == "ok" and got["n"] == 80 and got["rd_lower_95"] <= got["rd_upper_95"] and got["rr_lower_95"] <= got["rr_upper_95"]
+    assert se.sensitivity_set(few, {"few": few}, ["x2"], "y").first()["status"] == "not_run"
