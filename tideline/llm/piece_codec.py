@@ -16,7 +16,6 @@ other input columns pass through untouched.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import struct
@@ -93,7 +92,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [pair for _, _, pair in sorted(pairs)]
 
 
-def build_tokenizer(model: dict):
+def build_tokenizer(model: dict, cache: int = 10_000):
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     pieces = model["pieces"]
@@ -102,7 +101,7 @@ def build_tokenizer(model: dict):
         core = models.Unigram([(p, s) for p, s, _ in pieces], model["unk"], byte_fallback=model["byte_fallback"])
     else:
         core = models.BPE(
-            {p: i for i, (p, _, _) in enumerate(pieces)}, merges(pieces), unk_token=unknown, fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=200_000
+            {p: i for i, (p, _, _) in enumerate(pieces)}, merges(pieces), unk_token=unknown, fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=cache
         )
     tok = Tokenizer(core)
     steps = [normalizers.Precompiled(model["charsmap"])] if model["charsmap"] else []
@@ -127,21 +126,23 @@ class Codec:
     distinct segment is encoded, verified and decoded once; else whole texts are.
     """
 
-    def __init__(self, data: bytes, threads: int = THREADS, remember: int = 500_000) -> None:
+    def __init__(self, data: bytes, threads: int = THREADS, remember: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
         from tokenizers import decoders, normalizers
 
         self.model, self.threads, self.limit = parse_model(data), threads, remember
-        self.tokenizer, self.pieces = build_tokenizer(self.model), build_tokenizer(self.model)
+        self.tokenizer, self.pieces = build_tokenizer(self.model), build_tokenizer(self.model, 0)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.splits = self.tokenizer.pre_tokenizer is not None
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.plain = not self.model["charsmap"] and not self.model["strip"] and self.model["escape"] and self.model["dummy_prefix"]
         self.opens = np.array([p[:1] == MARK for p, _, _ in self.model["pieces"]])
-        self.known: dict[str, tuple[list[int], str, bool]] = {}
+        #: Ids of the segments met so far, packed; decoded text and parity of those that do not decode to themselves.
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, tuple[str, bool]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Whole texts through the rebuilt tokenizer."""
@@ -158,17 +159,19 @@ class Codec:
         texts = ["".join(g) for g in groups]
         own, theirs = self._both(texts)
         for group, ids, expected, decoded in zip(groups, own, theirs, self.pieces.decode_batch(theirs, skip_special_tokens=False), strict=True):
-            words = decoded.split(" ")[1:]
-            starts = np.flatnonzero(self.opens[np.array(expected)]).tolist()
-            if ids != expected or len(starts) != len(group) or len(words) != len(group):
+            flat = np.array(expected, np.int32)
+            starts = np.flatnonzero(self.opens[flat])
+            if ids != expected or len(starts) != len(group) or decoded != "".join(group).replace(MARK, " "):
                 one_by_one += group
                 continue
-            for s, a, z, w in zip(group, starts, [*starts[1:], len(expected)], words, strict=True):
-                self.known[s] = (expected[a:z], " " + w, True)
+            packed, cuts = flat.tobytes(), [*(starts * 4).tolist(), len(flat) * 4]
+            self.known.update((s, packed[a:z]) for s, a, z in zip(group, cuts, cuts[1:], strict=False))
         own, theirs = self._both(one_by_one)
         decoded = self.pieces.decode_batch(theirs, skip_special_tokens=False)
         for s, i, e, d in zip(one_by_one, own, theirs, decoded, strict=True):
-            self.known[s] = (e, d, i == e)
+            self.known[s] = np.array(e, np.int32).tobytes()
+            if i != e or d != s.replace(MARK, " "):
+                self.odd[s] = (d, i == e)
 
     def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of marked texts by either library."""
@@ -178,11 +181,11 @@ class Codec:
         theirs = self.reference.encode(raw, num_threads=self.threads)
         return own, [e if r or t != MARK else [self.reference.piece_to_id(MARK)] for e, r, t in zip(theirs, raw, texts, strict=True)]
 
-    def convert(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
+    def convert(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
         """(ids, decoded text, parity) of each text; the ids are those of sentencepiece if the two differ."""
         if not self.splits:
             ids, expected = self.encode(texts), self.reference.encode(texts, num_threads=self.threads)
-            yield from zip(expected, self.decode(expected), [a == b for a, b in zip(ids, expected, strict=True)], strict=True)
+            yield from zip([np.array(e, np.int32) for e in expected], self.decode(expected), [a == b for a, b in zip(ids, expected, strict=True)], strict=True)
             return
         if self.plain:
             normal = [(MARK + t).replace(" ", MARK) if t else "" for t in texts]
@@ -192,14 +195,17 @@ class Codec:
         fresh = set().union(*chains).difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
             self.known.clear()
+            self.odd.clear()
             fresh = set().union(*chains)
         if fresh:
             self._learn(list(fresh))
-        for chain in chains:
-            found = [self.known[s] for s in chain]
-            ids = list(itertools.chain.from_iterable(f[0] for f in found))
-            text = "".join([f[1] for f in found])
-            yield ids, text[1:] if self.model["dummy_prefix"] and text[:1] == " " else text, all(f[2] for f in found)
+        for chain, text in zip(chains, normal, strict=True):
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, chain)), np.int32)
+            parity, text = True, text.replace(MARK, " ")
+            if self.odd and not self.odd.keys().isdisjoint(chain):
+                found = [self.odd.get(s) or (s.replace(MARK, " "), True) for s in chain]
+                text, parity = "".join([d for d, _ in found]), all(p for _, p in found)
+            yield ids, text[1:] if self.model["dummy_prefix"] and text[:1] == " " else text, parity
 
 
 def model_bytes(path: str) -> bytes:
@@ -232,7 +238,7 @@ def code(docs: DataFrame, model_path: str, text: str = "text", results: tuple[st
                 ids, decoded, parity = zip(*codec.convert(part), strict=True)
                 lengths = np.fromiter(map(len, ids), np.int32, len(ids))
                 offsets = pa.array(np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)]))
-                flat = pa.array(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())))
+                flat = pa.array(np.concatenate(ids))
                 made = {
                     "n_tokens": pa.array(lengths.astype(np.int64)), "ids": pa.ListArray.from_arrays(offsets, flat), "decoded": pa.array(decoded, pa.string()),
                     "round_trip": pa.array([a == b for a, b in zip(part, decoded, strict=True)]), "parity": pa.array(parity, pa.bool_()),
