@@ -135,14 +135,26 @@ def prepared_columns(design: kn.Design) -> dict[str, Column]:
 _VEC = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
 
+#: Groups of tasks whose vectors are added before the rest.
+TASK_GROUPS = 32
+
+
+def _added(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Element-wise sums of ``vec`` per key: whole vectors move, not their elements."""
+    listed = parts.groupBy(*keys).agg(F.collect_list("vec").alias("all"))
+    later = F.slice("all", 2, F.size("all"))
+    total = F.aggregate(later, F.col("all")[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return listed.select(*keys, total.alias("vec"))
+
+
 def summed_vectors(df: DataFrame, kernel, reps: np.ndarray | None, n_rep: int) -> np.ndarray:
-    """Add the tasks' vectors element by element on Spark; returns (replicates, length)."""
-    parts = df.mapInPandas(kernel, _VEC).select("rep", F.posexplode("vec").alias("pos", "x"))
-    rows = parts.groupBy("rep", "pos").agg(F.sum("x").alias("x")).toPandas()
+    """Add the tasks' vectors on Spark, first within groups of tasks; returns (replicates, length)."""
+    parts = df.mapInPandas(kernel, _VEC).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)))
+    rows = _added(_added(parts, ["rep", "part"]), ["rep"]).collect()
     at = {int(r): i for i, r in enumerate(range(n_rep) if reps is None else reps)}
-    width = int(rows["pos"].max()) + 1 if len(rows) else 0
-    out = np.zeros((n_rep, width))
-    out[rows["rep"].map(at).to_numpy(int), rows["pos"].to_numpy(int)] = rows["x"].to_numpy(float)
+    out = np.zeros((n_rep, len(rows[0]["vec"]) if rows else 0))
+    for row in rows:
+        out[at[row["rep"]]] = row["vec"]
     return out
 
 
