@@ -75,8 +75,8 @@ def slices(held: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 chunk = open_chunk(row)
-                keys = chunk.keys()
-                core, dev = chunk.counts(keys)
+                keys = chunk.keys
+                core, dev = chunk.counts()
                 cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
                 cuts = [0, *cuts.tolist(), len(keys)]
                 rows = [
@@ -117,7 +117,7 @@ def joined(held: DataFrame, counted: DataFrame, total: int, types: int) -> DataF
         right = right.sort_values("bucket")
         core, dev = (np.concatenate([G.unpack(x, np.uint64) for x in right[c]]) for c in ("core", "dev"))
         chunk = open_chunk(row)
-        cells = I.held_out_table(chunk, chunk.keys(), core, total, types, G.DEV)
+        cells = I.held_out_table(chunk, core, total, types, G.DEV)
         return pd.DataFrame([row._asdict() | {"counts": G.pack(core + dev), "cells": [c.tolist() for c in cells]}]).drop(columns="Index")
 
     kind = "chunk string, ids array<long>, roles array<int>, lengths array<long>, vocabulary binary, places binary, counts binary, cells array<array<long>>"
@@ -142,7 +142,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for row in batch.itertuples():
                 chunk = open_chunk(row)
-                found = I.score(chunk, chunk.keys(), G.unpack(row.counts, np.uint64), total, types, weights)
+                found = I.score(chunk, G.unpack(row.counts, np.uint64), total, types, weights)
                 yield pd.DataFrame({doc: pd.array(list(row.ids), "Int64"), "held_out": chunk.roles == G.HELD, **found, "train_tokens": total})
 
     kind = f"{doc} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -43,24 +43,22 @@ class Chunk:
         firsts = np.cumsum(lengths) - lengths
         before[firsts] = START
         # Odd keys are words, even keys are pairs.
-        self.word = tokens | np.uint64(1)
-        self.before = before | np.uint64(1)
-        self.pair = mix(mix(before) * _PAIR + tokens) & ~np.uint64(1)
-        self.role = np.repeat(roles, lengths)
-        self.firsts = firsts
-
-    def keys(self) -> np.ndarray:
-        """Distinct keys in order."""
-        return np.unique(np.concatenate([self.word, self.pair, np.array([START | np.uint64(1)])]))
-
-    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word, pair = tokens | np.uint64(1), mix(mix(before) * _PAIR + tokens) & ~np.uint64(1)
+        self.role, self.firsts = np.repeat(roles, lengths), firsts
+        #: Distinct keys in order, and the place of each token's word, pair and context among them.
+        self.keys, place = np.unique(np.concatenate([word, pair, np.array([START | np.uint64(1)])]), return_inverse=True)
+        self.word_at, self.pair_at, self.start_at = place[: len(tokens)], place[len(tokens) : -1], int(place[-1])
+        self.before_at = np.empty_like(self.word_at)
+        self.before_at[1:] = self.word_at[:-1]
+        self.before_at[firsts] = self.start_at
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each key stands in core and in development texts; the start counts once a text."""
         out = []
         for role in (CORE, DEV):
             mine = self.role == role
-            at = np.searchsorted(keys, np.concatenate([self.word[mine], self.pair[mine]]))
-            n = np.bincount(at, minlength=len(keys))
-            n[np.searchsorted(keys, START | np.uint64(1))] += np.count_nonzero(self.roles == role)
+            n = np.bincount(self.word_at[mine], minlength=len(self.keys)) + np.bincount(self.pair_at[mine], minlength=len(self.keys))
+            n[self.start_at] += np.count_nonzero(self.roles == role)
             out.append(n.astype(np.uint32))
         return out[0], out[1]
 

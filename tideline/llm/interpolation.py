@@ -14,11 +14,9 @@ def bucket_of(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(count + 1.0).astype(np.int64), BUCKETS - 1)
 
 
-def estimates(chunk: Chunk, keys: np.ndarray, counts: np.ndarray, total: int, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Context bucket, pair and word estimates of each token, and the uniform estimate."""
-    word = counts[np.searchsorted(keys, chunk.word)].astype(float)
-    pair = counts[np.searchsorted(keys, chunk.pair)].astype(float)
-    context = counts[np.searchsorted(keys, chunk.before)].astype(float)
+def estimates(chunk: Chunk, counts: np.ndarray, total: int, types: int, mine: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Context bucket, pair and word estimates of the tokens ``mine``, and the uniform estimate."""
+    word, pair, context = (counts[at[mine]].astype(float) for at in (chunk.word_at, chunk.pair_at, chunk.before_at))
     by_pair = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
     return bucket_of(context), by_pair, word / max(total, 1), 1.0 / (types + 1.0)
 
@@ -28,11 +26,10 @@ def rounded(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(np.log(np.maximum(p, 1e-300)) / STEP), 1).astype(np.int64)
 
 
-def held_out_table(chunk: Chunk, keys: np.ndarray, core: np.ndarray, total: int, types: int, role: int) -> np.ndarray:
+def held_out_table(chunk: Chunk, core: np.ndarray, total: int, types: int, role: int) -> np.ndarray:
     """(bucket, pair step, word step, tokens) of the development tokens under core counts."""
-    mine = chunk.role == role
-    bucket, by_pair, by_word, _ = estimates(chunk, keys, core, total, types)
-    rows = np.column_stack([bucket[mine], rounded(by_pair[mine]), rounded(by_word[mine])])
+    bucket, by_pair, by_word, _ = estimates(chunk, core, total, types, chunk.role == role)
+    rows = np.column_stack([bucket, rounded(by_pair), rounded(by_word)])
     found, n = np.unique(rows, axis=0, return_counts=True)
     return np.column_stack([found, n])
 
@@ -61,11 +58,11 @@ def fit_weights(table: np.ndarray, types: int, steps: int = 200) -> np.ndarray:
     return weights
 
 
-def score(chunk: Chunk, keys: np.ndarray, counts: np.ndarray, total: int, types: int, weights: np.ndarray) -> dict[str, np.ndarray]:
+def score(chunk: Chunk, counts: np.ndarray, total: int, types: int, weights: np.ndarray) -> dict[str, np.ndarray]:
     """Per document: tokens, known tokens, add-one and interpolated log10 probabilities."""
-    bucket, by_pair, by_word, uniform = estimates(chunk, keys, counts, total, types)
+    bucket, by_pair, by_word, uniform = estimates(chunk, counts, total, types)
     mixed = weights[bucket, 0] * by_pair + weights[bucket, 1] * by_word + weights[bucket, 2] * uniform
-    word = counts[np.searchsorted(keys, chunk.word)].astype(float)
+    word = counts[chunk.word_at].astype(float)
     base = np.log10((word + 1.0) / (total + types + 1.0))
     add = lambda v: np.add.reduceat(v, chunk.firsts)
     return {"n_tokens": chunk.lengths, "n_known": add((word > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(mixed))}
