@@ -12,6 +12,7 @@ from ..operators import linkage as lk
 from ..operators import micro as mi
 from ..operators import phenotype as ph
 from ..session import stage_border
+from ..sources import tables
 from . import roles as ro
 from .registry import query
 
@@ -374,7 +375,7 @@ def micro_field_completeness(spark, folder):
 
 @query(
     "join_key_diagnostic",
-    "J17 J18",
+    "J17",
     ro.with_sql(ro.RESULTS_SQL)
     + """, c AS (SELECT o_custkey AS patid, o_orderkey AS encounterid FROM orders WHERE o_orderstatus = 'F')
       SELECT 'patid_encounter' AS join_rule, count(DISTINCT c.encounterid) AS any_row, count(DISTINCT CASE WHEN try_cast(r.raw_result AS DOUBLE) IS NOT NULL THEN c.encounterid END) AS numeric_row
@@ -393,6 +394,20 @@ def join_key_diagnostic(spark, folder):
     return au.join_key_diagnostic(ro.results(spark, folder), cohort, rules, "encounterid", flags)
 
 
+@query(
+    "one_to_one_merge",
+    "J18",
+    """SELECT c_mktsegment AS segment, count(*) AS n, count(c_custkey) AS n_matched, round(sum(o_totalprice), 2) AS total
+       FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1""",
+)
+def one_to_one_merge(spark, folder):
+    cust = ro.table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("found"), "c_mktsegment")
+    rows = tables.one_to_one(ro.table(spark, folder, "orders").select("o_custkey", "o_totalprice"), cust, ["o_custkey"])
+    return rows.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count("*").alias("n"), F.count("found").alias("n_matched"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
+
+
 @query(
     "nesting_check",
     "J19 J8 Q7",
