@@ -2,11 +2,16 @@
 
 1. Each document gets a content key (its words in order) and ProbMinHash bands of its weighted five-word shingles.
    Documents with one content key are copies; only one of them goes on.
-2. Contents that share a band key are candidates.  Within a bucket every content meets one pivot, the least content.
-   Pairs are verified by the Jaccard similarity of their whole shingle sets; links give connected components.
-3. A bucket whose contents are all in one component is settled: no pair in it can change a class.  The others go on with
-   eight times as many pivots, chosen by hash, until they are settled or every content has been a pivot, which is every
-   pair.  So buckets of copies cost one comparison per content, and no candidate pair is dropped.
+2. Contents that share a band key are candidates.  Within a bucket every content meets one pivot P, the one with the
+   fewest shingles, and the pair is verified by the Jaccard similarity of the whole shingle sets.  Contents linked to P
+   are one class.
+3. A content Y that is not linked to P may still be linked to another content M of the bucket.  Y and M share at most
+   |Y and P| shingles of P, and M has at least as many shingles as P; so a linked Y and M share a certain number of
+   shingles that P lacks.  Pairs are therefore sought by those shingles alone, of which near copies have few, and of
+   them only a prefix in a common order (as many as could all be missing but one).  No pair is tried without one.
+4. These pairs are verified too; links give connected components.
+
+So a group of copies costs one comparison per content and pivot, and no linked pair of a bucket is lost.
 
 Defined cases: null and empty texts are copies of each other; other texts without words are copies if equal; a text of
 fewer than five words is one shingle; a row with a null id is a document as any other, classes take the least id that is
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prob_sketch
@@ -29,21 +34,20 @@ from .textkit import plain_word_keys
 SIMILARITY = 0.8
 #: Characters whose documents a task sketches at once.
 SKETCH_CHARS = 1_500_000
-GROWTH = 8
 
 
 def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, row, content, bands) of every row."""
+    """(doc, row, content, bands, size) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held = batch["text"].str.len().fillna(0).cumsum() // SKETCH_CHARS
             for _, part in batch.groupby(held, sort=False):
-                contents, bands = prob_sketch.sketch(part["text"].tolist())
-                yield pd.DataFrame({"doc": part["doc"], "row": part["row"], "content": contents, "bands": bands})
+                contents, bands, sizes = prob_sketch.sketch(part["text"].tolist())
+                yield pd.DataFrame({"doc": part["doc"], "row": part["row"], "content": contents, "bands": bands, "size": sizes})
 
     cols = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    return cols.mapInPandas(run, f"doc {docs.schema[doc].dataType.simpleString()}, row long, content binary, bands array<long>")
+    return cols.mapInPandas(run, f"doc {docs.schema[doc].dataType.simpleString()}, row long, content binary, bands array<long>, size long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
@@ -82,54 +86,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def chance(content: str) -> Column:
-    """A number in [0, 1) fixed by the content."""
-    return F.shiftrightunsigned(F.xxhash64(content), 11) / F.lit(float(2**53))
-
-
-def links(docs: DataFrame, sketched: DataFrame, doc: str, text: str, similarity: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links (a, b) between contents, and the components of their nodes."""
-    contents = sketched.groupBy("content").agg(F.min(F.struct("row", "bands")).alias("one")).select("content", "one.*")
-    members = stage(contents.where("bands is not null").select("content", "row", F.explode("bands").alias("bucket")))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("content").alias("pivot")).where("n > 1")
-    members = stage(members.join(sizes, "bucket"))
+def links(docs: DataFrame, sketched: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
+    """Verified links (a, b) between contents; they connect all contents that linked pairs within buckets connect."""
+    contents = sketched.groupBy("content").agg(F.min(F.struct("row", "size", "bands")).alias("one")).select("content", "one.*")
+    members = stage(contents.where("bands is not null").select("content", "row", "size", F.explode("bands").alias("bucket")))
+    pivots = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("size", "content")).alias("pivot")).where("n > 1")
+    members = stage(members.join(pivots, "bucket").select("content", "row", F.col("pivot.content").alias("pivot")).distinct())
     sets = shingle_sets(docs, members.select("row", "content").distinct(), doc, text)
     # Rows equal in id and text are found again under one key: then one set of a content stands for all.
     repeated = not sketched.groupBy("row").count().where("count > 1").isEmpty()
     texts = stage(sets.dropDuplicates(["content"]) if repeated else sets)
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    tested: list[DataFrame] = []
-    pivots = 1
-    open_members = members
-    while True:
-        if pivots == 1:
-            pairs = open_members.where("content <> pivot").select(F.col("content").alias("a"), F.col("pivot").alias("b"))
-        else:
-            chosen = open_members.where((F.col("content") == F.col("pivot")) | (chance("content") * F.col("n") < pivots))
-            right = chosen.select("bucket", F.col("content").alias("b"), F.col("label").alias("right"))
-            left = open_members.select("bucket", F.col("content").alias("a"), "label")
-            # Pairs within one component change no class.
-            met = left.join(right, "bucket").where("label <> right")
-            pairs = met.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
-        pairs = pairs.distinct()
-        for seen in tested:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        tested.append(pairs)
-        one = texts.select(F.col("content").alias("a"), F.col("marks").alias("x"))
-        two = texts.select(F.col("content").alias("b"), F.col("marks").alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        near = pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-        found = stage(near if found is None else found.unionByName(near))
-        labels = components(found)
-        named = members.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
-        spread = named.groupBy("bucket").agg(F.count_distinct("label").alias("parts")).where("parts > 1").select("bucket")
-        # A bucket is done when every content of it has been a pivot.
-        open_members = stage(named.where(F.col("n") > pivots + 1).join(spread, "bucket", "left_semi"))
-        if open_members.isEmpty():
-            return found, labels
-        pivots *= GROWTH
+    one = texts.select(F.col("content").alias("a"), F.col("marks").alias("x"))
+    two = texts.select(F.col("content").alias("b"), F.col("marks").alias("y"))
+
+    pairs = members.where("content <> pivot").select(F.col("content").alias("a"), F.col("pivot").alias("b"))
+    shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    # Shingles outside the pivot that a linked pair of its bucket must share at least; none if the pivot is linked.
+    owed = F.ceil(similarity / (1.0 + similarity) * both - F.col("shared") - 1e-9)
+    met = pairs.join(one, "a").join(two, "b").withColumn("shared", shared).withColumn("linked", F.col("shared") >= similarity * (both - F.col("shared")))
+    rest = F.array_except("x", "y")
+    # Marks stand in one order in every set, so a prefix of the rest is a prefix in the common order.
+    first = F.when(F.col("linked"), rest).otherwise(F.slice(rest, 1, F.greatest(F.size(rest) - F.greatest(owed, F.lit(1)) + 1, F.lit(0)).cast("int")))
+    met = stage(met.select("a", "b", "linked", first.alias("rest")))
+    near = met.where("linked").select("a", "b")
+
+    unsettled = met.where("not linked").select("b").distinct()
+    spread = stage(met.join(unsettled, "b", "left_semi").select("a", "b", "linked", F.explode("rest").alias("mark")).select("a", "linked", F.xxhash64("b", "mark").alias("key")))
+    outside = spread.where("not linked").select("key", F.col("a").alias("o"))
+    found = outside.join(spread, "key").where("o <> a").select(F.least("o", "a").alias("a"), F.greatest("o", "a").alias("b")).distinct()
+    again = stage(found).join(one, "a").join(two, "b").where(shared >= similarity * (both - shared)).select("a", "b")
+    return near.unionByName(again)
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -139,7 +125,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     carry the same mark.
     """
     sketched = stage(sketches(docs, doc, text))
-    _, labels = links(docs, sketched, doc, text, similarity)
+    labels = components(links(docs, sketched, doc, text, similarity))
     named = sketched.select("doc", "row", "content").join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
     named = stage(named.select("doc", "row", "label"))
     # Least id that is not null, and the row that has it.

@@ -58,19 +58,20 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], list[np.ndarray | None]]:
-    """Content keys and band keys of a few documents; no bands for a text without words."""
-    contents, parts, who = [], [], []
+def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], list[np.ndarray | None], list[int]]:
+    """Content keys, band keys and numbers of distinct shingles of a few documents; no bands for a text without words."""
+    contents, parts, who, sizes = [], [], [], [0] * len(texts)
     for i, t in enumerate(texts):
         keys = plain_word_keys(t)
         contents.append(content_key(t, keys))
         if len(keys):
             parts.append(weighted(keys))
             who.append(i)
+            sizes[i] = len(parts[-1][0])
     found: list[np.ndarray | None] = [None] * len(texts)
     if parts:
         doc = np.repeat(np.arange(len(parts)), [len(m) for m, _ in parts])
         sign = signatures(np.concatenate([m for m, _ in parts]), np.concatenate([w for _, w in parts]), doc, len(parts), bands * rows)
         for i, b in zip(who, band_keys(sign, bands), strict=True):
             found[i] = b
-    return contents, found
+    return contents, found, sizes
