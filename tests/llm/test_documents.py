@@ -133,6 +133,29 @@ def test_nearest_is_exact():
         assert np.allclose(cosine, want) and np.allclose(dense[at] @ query, cosine)
 
 
+def test_vectors_hold_all_terms_of_the_sample(spark):
+    """Evidence is the exact cosine over every term of the labelled texts, of whichever label and however rare."""
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 0][:12]
+    said = [f"common words for all {'vile' if n % 3 == 0 else 'kind'} once{n} rare{n} pair{n // 2}" for n in range(12)]
+    docs = spark.createDataFrame([*zip(learnt, said), (900, "once5 pair2"), (901, "nothing known")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n % 3 == 0)) for n, i in enumerate(learnt)], "doc_id long, toxic int")
+    model = nearest_votes.fit(docs, labels)
+    bags = [Counter(vote_index.features(t).tolist()) for t in said]
+    idf = {k: 1 + math.log(13 / (1 + sum(k in b for b in bags))) for b in bags for k in b}
+    assert set(model.terms.tolist()) == set(idf)
+
+    def cosine(a, b):
+        a, b = ({k: (1 + math.log(n)) * idf[k] for k, n in x.items() if k in idf} for x in (a, b))
+        size = lambda v: math.sqrt(sum(w * w for w in v.values()))
+        return sum(w * b.get(k, 0.0) for k, w in a.items()) / (size(a) * size(b))
+
+    out = {r["doc_id"]: r["evidence"] for r in nearest_votes.score(docs, model).collect()}
+    query = Counter(vote_index.features("once5 pair2").tolist())
+    want = sorted(((cosine(query, b), -i) for i, b in zip(learnt, bags)), reverse=True)[:3]
+    assert [e["doc_id"] for e in out[900]] == [-i for _, i in want] and np.allclose([e["cosine"] for e in out[900]], [c for c, _ in want])
+    assert out[901] == [] and all(out[i][0]["doc_id"] == i and math.isclose(out[i][0]["cosine"], 1.0) for i in learnt)
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [("op9_nearest_votes", "toxic", 0.93), ("op8_additive_pairs", "quality", 0.95)])
 def test_held_out_accuracy(spark, query, label, least):
     folder = "/root/testdata/sf0.01"

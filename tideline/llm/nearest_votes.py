@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are plain words and the heads of longer ones that tell of label 1: the share of label 1 among the sample documents
-with the term is several times the sample's share, or over a half, beyond chance (likelihood ratio).  Every document is compared with the labelled examples by the exact cosine of TF-IDF vectors over these terms in
-a block-max inverted index; the nearest vote by distance, votes are calibrated on leave-one-out votes, and the nearest
-examples are given as evidence.
+Terms are all plain words of the labelled sample and the heads of longer ones, rare ones and those of either label.
+Every document is compared with every labelled example by the exact cosine of TF-IDF vectors over these terms in an
+inverted index; the nearest vote by distance, leave-one-out votes choose the number of voters and calibrate, and the
+nearest examples are given as evidence.
 
 Defined cases: null and empty texts, and texts without a term, get the share of label 1 among examples without a term;
 equal examples are one vector with their votes summed, ties are broken by a fixed order of vectors; without labels every
@@ -25,62 +25,52 @@ from .common import stage
 from .labelled import SAMPLE_PER_LABEL, labelled_sample
 
 THRESHOLD = 0.5
-#: Terms of the vectors: at most so many, of at least so many sample documents and so large a likelihood ratio.
-MAX_TERMS, MIN_DOCUMENTS, MIN_RATIO, MIN_LIFT = 4_096, 4, 20.0, 4.0
 RESULT = "score double, predicted int, evidence array<struct<doc_id:long,cosine:double,share:double>>"
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, yes, no): sample documents of either label with the term, weighted."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [np.unique(vote_index.features(t)) for t in batch["text"]]
-            sizes = [len(f) for f in found]
-            keys = np.concatenate([*found, np.empty(0, np.uint64)])
-            label, weight = np.repeat(batch["label"].to_numpy(), sizes), np.repeat(batch["weight"].to_numpy(), sizes)
-            terms, back = np.unique(keys, return_inverse=True)
-            total = lambda w, at=back, n=len(terms): np.bincount(at, w, minlength=n)
-            yield pd.DataFrame({"term": terms.view(np.int64), "docs": total(np.ones(len(keys))), "yes": total(weight * label), "no": total(weight * (1 - label))})
-
-    return sample.mapInPandas(count, "term long, docs double, yes double, no double").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "yes", "no")])
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, doc: str = "doc_id", text: str = "text") -> vote_index.VoteModel:
-    """Learns from about ``per_label`` rows of each class; only they and their few chosen terms reach the driver."""
+    """Learns from about ``per_label`` rows of each class; only they reach the driver, as keys and counts of their terms."""
     sample = stage(labelled_sample(docs, labels, label, per_label, doc, text))
-    sums = {r["label"]: r["w"] for r in sample.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
-    yes_all, no_all = F.lit(sums.get(1, 0.0)), F.lit(sums.get(0, 0.0))
-    rate = sums.get(1, 0.0) / max(sum(sums.values()), 1.0)
-    expected = (F.col("yes") + F.col("no")) / F.lit(max(sum(sums.values()), 1.0))
-    part = lambda seen, e: F.when((seen > 1e-9) & (e > 0), seen * F.log(F.try_divide(seen, e))).otherwise(0.0)
-    cells = ((F.col("yes"), yes_all * expected), (F.col("no"), no_all * expected), (yes_all - F.col("yes"), yes_all * (1 - expected)), (no_all - F.col("no"), no_all * (1 - expected)))
-    ratio = 2 * sum((part(seen, e) for seen, e in cells), F.lit(0.0))
-    over = F.col("yes") > min(0.5, MIN_LIFT * rate) * (F.col("yes") + F.col("no"))
-    best = term_counts(sample).where((F.col("docs") >= MIN_DOCUMENTS) & over).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
-    rows = sorted(best.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term", "yes", "no").collect(), key=lambda r: r["term"] % 2**64)
-    terms = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
-    idf = 1.0 + np.log((1.0 + sums.get(1, 0.0) + sums.get(0, 0.0)) / (1.0 + np.array([r["yes"] + r["no"] for r in rows], float)))
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [vote_index.vector(t, terms, idf) for t in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc"], "which": [w for w, _ in found], "parts": [p for _, p in found], "label": batch["label"], "weight": batch["weight"]})
-
-    kept = sample.mapInPandas(vectors, "doc long, which array<long>, parts array<double>, label int, weight double").collect()
-    return vote_index.VoteModel(terms, idf, [(r["doc"], r["which"], r["parts"], r["label"], r["weight"]) for r in kept])
+            found = [np.unique(vote_index.features(t), return_counts=True) for t in batch["text"]]
+            # Counts in as few bytes as the largest of the document needs.
+            keys, times = [k.tobytes() for k, _ in found], [n.astype(np.min_scalar_type(n.max(initial=0))).tobytes() for _, n in found]
+            yield pd.DataFrame({"doc": batch["doc"], "keys": keys, "times": times, "label": batch["label"], "weight": batch["weight"]})
+
+    # Partition by partition, as the driver's JVM would hold all rows at once beside Python.
+    rows, terms, new = [], np.empty(0, np.uint64), []
+    for r in sample.mapInPandas(count, "doc long, keys binary, times binary, label int, weight double").toLocalIterator():
+        rows.append((r["doc"], bytes(r["keys"]), bytes(r["times"]), r["label"], r["weight"]))
+        new.append(np.frombuffer(rows[-1][1], np.uint64))
+        if len(new) == 500:
+            terms, new = np.unique(np.concatenate([terms, *new])), []
+    terms = np.unique(np.concatenate([terms, *new]))
+    # One order in every run, or the sums of weights would differ in their last bits.
+    rows.sort(key=lambda r: r[:4])
+    seen, total = np.zeros(len(terms)), 0.0
+    examples = []
+    while rows:
+        who, keys, times, label, weight = rows.pop()
+        which = np.searchsorted(terms, np.frombuffer(keys, np.uint64)).astype(np.int32)
+        seen[which] += weight
+        total += weight
+        examples.append((who, which, np.frombuffer(times, f"u{len(times) // max(len(which), 1) or 1}"), label, weight))
+    idf = 1.0 + np.log((1.0 + total) / (1.0 + seen))
+    return vote_index.VoteModel(terms, idf, examples)
 
 
 def score(docs: DataFrame, model: vote_index.VoteModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score, predicted and evidence to ``docs``; input columns of these names give way."""
-    # Bounded: the sample's distinct vectors.
+    # Bounded: the sample's terms and distinct vectors.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            found = [known.score(t) for t in batch]
+            found = known.score_all(batch.tolist())
             evidence = [[{"doc_id": i, "cosine": c, "share": s} for i, c, s in e] for _, e in found]
             yield pd.DataFrame({"score": [p for p, _ in found], "predicted": [int(p >= threshold) for p, _ in found], "evidence": evidence})
 

@@ -1,15 +1,22 @@
-"""Block-max inverted index over labelled examples, and votes of the nearest (numpy, inside tasks)."""
+"""Inverted index over labelled examples, and votes of the nearest (numpy, inside tasks)."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .textkit import plain_keys_and_heads
 
 #: Words that share a stem share a head.
 HEADS = (4, 5, 6, 7)
-BLOCK = 128
+#: Terms that more than this share of the vectors have are dense rows, the commonest so many at most; the others are postings.
+COMMON, MAX_DENSE = 0.1, 1_000
+#: Texts that are scored at once.
+TOGETHER = 64
+#: Examples that may vote, and the numbers of voters that leave-one-out votes choose from.
 NEIGHBOURS = 15
+VOTERS = (3, 5, 8, 11, NEIGHBOURS)
 #: Added to the cosine distance before it is inverted to a vote's weight.
 SOFTEN = 0.05
 
@@ -25,56 +32,72 @@ def vector(text: str | None, terms: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     if not len(keys) or not len(terms):
         return np.empty(0, np.int64), np.empty(0)
     at = np.minimum(np.searchsorted(terms, keys), len(terms) - 1)
-    which, times = np.unique(at[terms[at] == keys], return_counts=True)
-    weight = (1.0 + np.log(times)) * idf[which]
+    return unit(*np.unique(at[terms[at] == keys], return_counts=True), idf)
+
+
+def unit(which: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and weights of the unit vector of terms and their counts."""
+    weight = (1.0 + np.log(times, dtype=np.float64)) * idf[which]
     return which, weight / np.sqrt(np.sum(weight**2)) if len(weight) else weight
 
 
 class VoteIndex:
-    """Distinct vectors in blocks; for each term the postings by block and the largest weight in each block."""
+    """Distinct vectors as postings by term; the commonest terms as dense rows, since nearly every text meets them."""
 
     def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray, float, float, int]]) -> None:
-        """vectors: term positions, weights, weight of label 1, weight of label 0, example id; sorted for a fixed order."""
-        # Vectors with the same terms lie together, so that blocks differ in their largest weights.
-        self.vectors = sorted(vectors, key=lambda v: (v[0].tolist(), v[1].tolist()))
+        """vectors: term positions, weights, weight of label 1, weight of label 0, example id; sorted by it."""
+        self.vectors = sorted(vectors, key=lambda v: v[4])
         self.n = len(self.vectors)
-        self.blocks = -(-self.n // BLOCK)
         self.yes = np.array([v[2] for v in self.vectors])
         self.total = np.array([v[2] + v[3] for v in self.vectors])
         self.ids = [v[4] for v in self.vectors]
-        who = np.repeat(np.arange(self.n), [len(v[0]) for v in self.vectors])
-        term = np.concatenate([v[0] for v in self.vectors]) if self.n else np.empty(0, np.int64)
-        weight = np.concatenate([v[1] for v in self.vectors]) if self.n else np.empty(0)
-        order = np.lexsort((who, term))
-        self.who, self.weight = who[order], weight[order]
-        self.within = self.who % BLOCK
-        cell = term[order] * max(self.blocks, 1) + self.who // BLOCK
-        self.start = np.searchsorted(cell, np.arange(n_terms * max(self.blocks, 1) + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * max(self.blocks, 1))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, max(self.blocks, 1))
+        held = np.zeros(n_terms, np.int64)
+        for v in self.vectors:
+            held[v[0]] += 1
+        common = np.argsort(-held, kind="stable")[:MAX_DENSE]
+        common = common[held[common] > COMMON * self.n]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        held[common] = 0
+        self.start = np.concatenate([[0], np.cumsum(held)])
+        self.who, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
+        free = self.start[:-1].copy()
+        for i, (which, weight, *_) in enumerate(self.vectors):
+            row = self.row[which]
+            self.dense[row[row >= 0], i] = weight[row >= 0]
+            which, weight = which[row < 0], weight[row < 0]
+            self.who[free[which]], self.weight[free[which]] = i, weight
+            free[which] += 1
+
+    def cosines(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of a few unit vectors with all vectors of the index; no term and no vector is left out."""
+        out, common = np.zeros((len(texts), self.n)), np.zeros((len(texts), len(self.dense)))
+        for score, part, (which, weight) in zip(out, common, texts, strict=True):
+            row = self.row[which]
+            part[row[row >= 0]] = weight[row >= 0]
+            which, weight = which[row < 0], weight[row < 0]
+            first, sizes = self.start[which], self.start[which + 1] - self.start[which]
+            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            score += np.bincount(self.who[at], np.repeat(weight, sizes) * self.weight[at], minlength=self.n)
+        out += common @ self.dense
+        # Sums differ in their last bits by the texts beside them; equal texts get equal cosines.
+        return np.round(out, 12, out=out)
+
+    def nearest_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the positions and cosines of the k nearest vectors with a term in common, exactly; ties go to the lower position."""
+        found = []
+        for lead in range(0, len(texts), TOGETHER):
+            for score in self.cosines(texts[lead : lead + TOGETHER]):
+                least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+                at = np.flatnonzero((score >= least) & (score > 0))
+                at = at[np.lexsort((at, -score[at]))[:k]]
+                found.append((at, score[at]))
+        return found
 
     def nearest(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest vectors with a term in common, exactly; ties go to the lower position.
-
-        Blocks are opened from the highest upper bound down until no unopened block can hold one of the k nearest.
-        """
-        bound = weight @ self.most[which] if len(which) else np.zeros(self.blocks)
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            # Equal bounds are opened too, or a tie at a lower position could be missed.
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-12:
-                break
-            cell = which * self.blocks + block
-            score = np.zeros(BLOCK)
-            for w, a, z in zip(weight, self.start[cell].tolist(), self.start[cell + 1].tolist(), strict=True):
-                if z > a:
-                    score[self.within[a:z]] += w * self.weight[a:z]
-            hit = np.flatnonzero(score > 0)
-            best_at, best = np.concatenate([best_at, hit + block * BLOCK]), np.concatenate([best, score[hit]])
-            order = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        """The same for one text."""
+        return self.nearest_all([(which, weight)], k)[0]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray, prior: float, without: int = -1, label: float = 0.0, one: float = 0.0) -> float:
         """Distance-weighted share of label 1, drawn to the prior by one vote at distance 1.
@@ -108,46 +131,88 @@ def fit_platt(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
     return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
 
 
+def squash(slope: float, offset: float, raw: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(slope * np.log(raw / (1 - raw)) + offset, -30, 30)))
+
+
 class VoteModel:
-    """Terms, index, calibration and the share of label 1 among examples without a term."""
+    """Terms, examples, number of voters, calibration and the share of label 1 among examples without a term.
+
+    Terms and their counts travel to the tasks, which build the index from them: weights would be several times as large.
+    """
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, list[int], list[float], int, float]]) -> None:
-        """examples: id, term positions, weights, label, weight of the example."""
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int, float]]) -> None:
+        """examples: id, term positions, their counts, label, weight of the example."""
         self.terms, self.idf = terms, idf
+        examples = sorted(examples, key=lambda e: e[0])
         groups: dict = {}
         none_yes = none_total = yes = total = 0.0
-        for who, which, weight, label, one in sorted(examples, key=lambda e: e[0]):
+        names = []
+        for who, which, times, label, one in examples:
             yes, total = yes + one * label, total + one
+            weight = unit(which, times, idf)[1]
+            names.append(hashlib.blake2b(np.asarray(which, np.int64).tobytes() + np.round(weight, 12).tobytes(), digest_size=16).digest())
             if not len(which):
                 none_yes, none_total = none_yes + one * label, none_total + one
                 continue
-            key = (tuple(which), tuple(np.round(weight, 12)))
-            y, n, first = groups.get(key, (0.0, 0.0, who))
-            groups[key] = (y + one * label, n + one * (1 - label), first)
+            w, n, y, z, first = groups.get(names[-1], (which, times, 0.0, 0.0, who))
+            groups[names[-1]] = (w, n, y + one * label, z + one * (1 - label), first)
         self.prior = (yes + 0.5) / (total + 1.0)
         self.blank = (none_yes + self.prior) / (none_total + 1.0)
-        self.index = VoteIndex(len(terms), [(np.array(t, np.int64), np.array(w), y, n, first) for (t, w), (y, n, first) in groups.items()])
-        self.slope, self.offset = self._calibrate(examples)
-
-    def _calibrate(self, examples: list) -> tuple[float, float]:
-        """On leave-one-out votes of a fixed part of the examples."""
-        place = {(tuple(v[0].tolist()), tuple(np.round(v[1], 12))): i for i, v in enumerate(self.index.vectors)}
-        held = [e for e in sorted(examples, key=lambda e: (e[0] * 2654435761) % 2**32) if len(e[1])][:2000]
+        self.examples = list(groups.values())
+        self.index = self._index()
+        place = {name: i for i, name in enumerate(groups)}
+        held = [(place[name], *e[1:]) for e, name in sorted(zip(examples, names, strict=True), key=lambda x: (x[0][0] * 2654435761) % 2**32) if len(e[1])][:2000]
+        self.voters, self.slope, self.offset = self._calibrate(held)
+
+    def _index(self) -> VoteIndex:
+        # Examples stand in the order of their ids, which the index keeps.
+        index = VoteIndex(len(self.terms), [(e[0], unit(e[0], e[1], self.idf)[1], *e[2:]) for e in self.examples])
+        index.vectors = []
+        return index
+
+    def __getstate__(self) -> dict:
+        which, times, yes, no, ids = ([e[i] for e in self.examples] for i in range(5))
+        sizes = [len(w) for w in which]
+        flat = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (which, times)]
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")} | {"packed": (*flat, sizes, yes, no, ids)}
+
+    def __setstate__(self, state: dict) -> None:
+        which, times, sizes, *rest = state.pop("packed")
+        self.__dict__.update(state)
+        cuts = np.cumsum(sizes)[:-1] if sizes else []
+        self.examples = [(w, n, *r) for w, n, *r in zip(np.split(which, cuts), np.split(times, cuts), *rest, strict=True)] if sizes else []
+        self.index = self._index()
+
+    def _calibrate(self, held: list) -> tuple[int, float, float]:
+        """Voters, slope and offset with the least log loss, on leave-one-out votes of a fixed part of the examples."""
         if not held:
-            return 1.0, 0.0
-        found = []
-        for _, which, weight, label, one in held:
-            at, cosine = self.index.nearest(np.array(which, np.int64), np.array(weight), NEIGHBOURS + 1)
-            found.append(self.index.vote(at, cosine, self.prior, place[tuple(which), tuple(np.round(weight, 12))], label, one))
-        return fit_platt(np.array(found), np.array([e[3] for e in held], float), np.array([e[4] for e in held]))
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
-        """Calibrated score, and the three nearest examples: id, cosine, share of label 1."""
-        which, weight = vector(text, self.terms, self.idf)
-        if not len(which) or not self.index.n:
-            return self.blank, []
-        at, cosine = self.index.nearest(which, weight)
-        raw = self.index.vote(at, cosine, self.prior)
-        p = 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.log(raw / (1 - raw)) + self.offset, -30, 30)))
-        share = self.index.yes / self.index.total
-        return float(p), [(self.index.ids[i], float(min(1.0, c)), float(share[i])) for i, c in zip(at[:3], cosine[:3], strict=True)]
+            return NEIGHBOURS, 1.0, 0.0
+        label, one = np.array([e[3] for e in held], float), np.array([e[4] for e in held])
+        near = self.index.nearest_all([unit(e[1], e[2], self.idf) for e in held], NEIGHBOURS + 1)
+        best = None
+        for voters in VOTERS:
+            found = []
+            for e, (at, cosine) in zip(held, near, strict=True):
+                # The example's own vector votes only if other examples share it.
+                lone = (at == e[0]) & (self.index.total[at] - e[4] <= 1e-9)
+                at, cosine = at[~lone][:voters], cosine[~lone][:voters]
+                found.append(self.index.vote(at, cosine, self.prior, e[0], e[3], e[4]))
+            slope, offset = fit_platt(np.array(found), label, one)
+            p = squash(slope, offset, np.array(found))
+            loss = -float(np.sum(one * np.log(np.where(label == 1, p, 1 - p))))
+            if best is None or loss < best[0] - 1e-9:
+                best = (loss, voters, slope, offset)
+        return best[1:]
+
+    def score_all(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float, float]]]]:
+        """For each text the calibrated score, and the three nearest examples: id, cosine, share of label 1."""
+        vectors = [vector(t, self.terms, self.idf) for t in texts]
+        out: list = [(self.blank, [])] * len(texts)
+        known = [i for i, v in enumerate(vectors) if len(v[0])] if self.index.n else []
+        for i, (at, cosine) in zip(known, self.index.nearest_all([vectors[i] for i in known]), strict=True):
+            raw = self.index.vote(at[: self.voters], cosine[: self.voters], self.prior)
+            share = self.index.yes[at[:3]] / self.index.total[at[:3]]
+            evidence = [(self.index.ids[j], float(min(1.0, c)), float(s)) for j, c, s in zip(at[:3], cosine[:3], share, strict=True)]
+            out[i] = (float(squash(self.slope, self.offset, np.array([raw]))[0]), evidence)
+        return out
