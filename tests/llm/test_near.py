@@ -70,6 +70,20 @@ def test_classes_of_given_documents(spark):
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(docs)
 
 
+def test_near_copies_with_a_repeated_block(spark):
+    """How often a text repeats a passage does not count in the set Jaccard, so it must not hide a pair from the bands."""
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for i in range(0, 48, 2):
+        block, rest = [word() for _ in range(20)], [word() for _ in range(80)]
+        changed = [*rest[:40], word(), *rest[41:]] if i % 4 else rest
+        docs += [(i, " ".join(block * 2 + rest)), (i + 1, " ".join(block * 1000 + changed))]
+    out = P.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert brute_classes(docs) == {i: i - i % 2 for i, _ in docs}
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(docs)
+
+
 def test_registers_estimate_probability_jaccard():
     keys = plain_word_keys(" ".join(f"w{i}" for i in range(3000)))
     pick = np.random.default_rng(1)

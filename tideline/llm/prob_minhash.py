@@ -1,6 +1,6 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-1. Each document gets a content key (its words in order) and ProbMinHash bands of its weighted five-word shingles.
+1. Each document gets a content key (its words in order) and ProbMinHash bands of its distinct five-word shingles.
    Documents with one content key are copies; only one of them goes on.
 2. Contents that share a band key are candidates.  Within a bucket every content meets one pivot P, the one with the
    fewest shingles, and the pair is verified by the Jaccard similarity of the whole shingle sets.  Contents linked to P
@@ -61,7 +61,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> Dat
                 for content, t in zip(part["content"], part["text"], strict=True):
                     keys = plain_word_keys(t)
                     if prob_sketch.content_key(t, keys) == bytes(content):
-                        rows.append((content, prob_sketch.weighted(keys)[0].view(np.int64)))
+                        rows.append((content, prob_sketch.distinct(keys).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["content", "marks"])
 
     texts = docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text"))

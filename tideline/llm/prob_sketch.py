@@ -18,10 +18,10 @@ def content_key(text: str | None, keys: np.ndarray) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def weighted(keys: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their weights 1 + ln(count)."""
-    marks, counts = np.unique(shingles(keys, size), return_counts=True)
-    return marks, 1.0 + np.log(counts)
+def distinct(keys: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Distinct shingles, sorted.  All weigh the same in the sketch: then registers agree with the set Jaccard by which
+    pairs are verified, however often a text repeats a passage."""
+    return np.unique(shingles(keys, size))
 
 
 def signatures(marks: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -65,13 +65,13 @@ def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tup
         keys = plain_word_keys(t)
         contents.append(content_key(t, keys))
         if len(keys):
-            parts.append(weighted(keys))
+            parts.append(distinct(keys))
             who.append(i)
-            sizes[i] = len(parts[-1][0])
+            sizes[i] = len(parts[-1])
     found: list[np.ndarray | None] = [None] * len(texts)
     if parts:
-        doc = np.repeat(np.arange(len(parts)), [len(m) for m, _ in parts])
-        sign = signatures(np.concatenate([m for m, _ in parts]), np.concatenate([w for _, w in parts]), doc, len(parts), bands * rows)
+        doc = np.repeat(np.arange(len(parts)), [len(m) for m in parts])
+        sign = signatures(np.concatenate(parts), np.ones(len(doc)), doc, len(parts), bands * rows)
         for i, b in zip(who, band_keys(sign, bands), strict=True):
             found[i] = b
     return contents, found, sizes
