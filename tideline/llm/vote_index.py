@@ -216,3 +216,7 @@ class VoteModel:
             evidence = [(self.index.ids[j], float(min(1.0, c)), float(s)) for j, c, s in zip(at[:3], cosine[:3], share, strict=True)]
             out[i] = (float(squash(self.slope, self.offset, np.array([raw]))[0]), evidence)
         return out
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
+        """The same for one text."""
+        return self.score_all([text])[0]
