@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import queries_copies, queries_documents, queries_format, queries_manifest, queries_pages  # noqa: F401
+from . import queries_copies, queries_documents, queries_format, queries_manifest, queries_pages, queries_search  # noqa: F401
 from .registry import QUERIES, SQL
 
 QUERIES["pipeline"] = corpus_pipeline.run

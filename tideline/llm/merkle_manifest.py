@@ -28,7 +28,7 @@ from .common import small, stage
 
 FAN = 8
 #: Nodes of a window partition: whole runs of one level.
-BLOCK = FAN**4
+BLOCK = FAN**2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
