@@ -4,7 +4,7 @@
 2. Linked sets share one of the first shingles of each in any common order (as many as may be missing, and one).  The
    order is rarest first, by a count sketch of fixed size over all documents, so few sets meet and what many documents
    share hardly counts.  The sketch only orders: whatever its errors, no linked pair is lost.
-3. The sets that meet under a shingle are points of an R-tree (``count_tree``): their elements hashed into groups, the
+3. The sets that meet under a shingle and in a band of sizes are points of an R-tree (``count_tree``): their elements hashed into groups, the
    overlap bounded by the sum of coordinate minima.  Sets that the bound leaves together make families.  A family holds
    every link of its members, and only members of families are read again, once each.
 4. A family's sets go through the tree again; pairs that the bound leaves are verified on the whole sets.  A set already
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, small, stage
@@ -96,25 +96,26 @@ def prefix(marks: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, doc: str, text: str, shared: Broadcast, percent: int, words: int) -> DataFrame:
-    """(doc, row, set, size, keys) of every row; no set and keys without words."""
+    """(doc, row, set, size, keys, point) of every row; no set, keys and point without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, keys, spots = [], [], [], []
             for t in batch["text"]:
                 marks = shingle_set(t, words)
                 sizes.append(len(marks))
                 names.append(set_name(marks) if len(marks) else None)
                 keys.append(prefix(marks, counts, percent).view(np.int64) if len(marks) else None)
-            yield pd.DataFrame({"doc": batch["doc"], "row": batch["row"], "set": names, "size": sizes, "keys": keys})
+                spots.append(point(marks) if len(marks) else None)
+            yield pd.DataFrame({"doc": batch["doc"], "row": batch["row"], "set": names, "size": sizes, "keys": keys, "point": spots})
 
     cols = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    return cols.mapInPandas(run, f"doc {docs.schema[doc].dataType.simpleString()}, row long, set binary, size long, keys array<long>")
+    return cols.mapInPandas(run, f"doc {docs.schema[doc].dataType.simpleString()}, row long, set binary, size long, keys array<long>, point binary")
 
 
-def points(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int) -> DataFrame:
-    """(set, size, point, marks) of the wanted (row, set): rows are found again by their key, sets by their name."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int) -> DataFrame:
+    """(set, marks) of the wanted (row, set): rows are found again by their key, sets by their name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,24 +123,23 @@ def points(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int)
             for name, t in zip(batch["set"], batch["text"], strict=True):
                 marks = shingle_set(t, words)
                 if set_name(marks) == bytes(name):
-                    rows.append((name, len(marks), point(marks), marks.tobytes()))
-            yield pd.DataFrame(rows, columns=["set", "size", "point", "marks"])
+                    rows.append((name, marks.tobytes()))
+            yield pd.DataFrame(rows, columns=["set", "marks"])
 
     texts = docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    found = texts.join(wanted, "row").select("set", "text").mapInPandas(run, "set binary, size long, point binary, marks binary")
-    return found.dropDuplicates(["set"])
+    return texts.join(small(wanted, 100), "row").select("set", "text").mapInPandas(run, "set binary, marks binary").dropDuplicates(["set"])
 
 
-def cells(rows: DataFrame, group: str, percent: int) -> DataFrame:
-    """Adds ``cell`` and ``side``: a group is a cell, a large one a cell per pair of blocks that can hold links.
+def size_band(percent: int) -> Column:
+    """Logarithm of the size to the base of the largest ratio of linked sizes: only neighbouring bands can be linked."""
+    return F.floor(F.log("size") / math.log(100 / percent) + 1e-9)
 
-    The band of a size is its logarithm to the base of the largest ratio of linked sizes, so only neighbouring bands
-    can be linked.
-    """
-    band = F.floor(F.log("size") / math.log(100 / percent) + 1e-9)
+
+def cells(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """Adds ``cell`` and ``side``: a group is a cell, a large one a cell per pair of blocks that can hold links."""
     share = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_MARKS))
     figures = [F.count("*").alias("rows"), F.sum("size").alias("held")]
-    banded = rows.withColumn("band", band)
+    banded = rows.withColumn("band", size_band(percent))
     large = banded.groupBy(group).agg(*figures).where((F.col("rows") > BLOCK_ROWS) | (F.col("held") > BLOCK_MARKS)).select(group, F.lit(True).alias("large"))
     blocks = banded.groupBy(group, "band").agg(*figures).select(group, "band", share.alias("blocks"))
     near = lambda step: blocks.select(group, (F.col("band") - step).alias("band"), F.col("blocks").alias(f"blocks{step % 3}"))
@@ -210,22 +210,28 @@ def _tasks(rows: int) -> int:
 
 def links(docs: DataFrame, known: DataFrame, doc: str, text: str, percent: int, words: int) -> DataFrame:
     """Verified links (a, b) between different shingle sets; they connect whatever all links connect."""
-    one = known.where("set is not null").groupBy("set").agg(F.min(F.struct("row", "size", "keys")).alias("one"))
-    keyed = stage(one.select("set", "one.*")).select("set", "row", "size", F.explode("keys").alias("key"))
-    # Shingles under which the same sets meet say the same: one of them stands for all.
+    one = known.where("set is not null").groupBy("set").agg(F.min(F.struct("row", "size", "keys", "point")).alias("one"))
+    sets = stage(one.select("set", "one.*"))
+    keyed = sets.select("set", "size", F.explode("keys").alias("key"))
+    shared = stage(keyed.groupBy("key").count().where("count > 1").select("key"))
+    # A set stands in its band and the next, so linked sets stand in one band together.
+    band = size_band(percent)
+    met = keyed.join(small(shared, 16), "key").select("set", "size", F.explode(F.array(band, band + 1)).alias("band"), "key")
+    met = stage(met.select("set", "size", F.xxhash64("key", "band").alias("meeting")))
+    # Meetings of the same sets say the same: one of them stands for all.
     who = [F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"h{k}") for k in range(2)]
-    meeting = keyed.groupBy("key").agg(F.count("*").alias("n"), *who).where("n > 1")
-    chosen = stage(meeting.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key"))
-    met = stage(keyed.join(small(chosen, 16), "key"))
-    found = stage(points(docs, met.select("row", "set").distinct(), doc, text, words))
-
-    dealt = stage(cells(met.select("set", "size", F.col("key").cast("string").alias("meeting")), "meeting", percent))
-    dealt = dealt.join(found.select("set", "point"), "set")
-    near = stage(linked_within(dealt, percent, verify=False, tasks=_tasks(met.count())))
+    meeting = met.groupBy("meeting").agg(F.count("*").alias("n"), *who).where("n > 1")
+    chosen = stage(meeting.groupBy("n", "h0", "h1").agg(F.min("meeting").alias("meeting")).select("meeting"))
+    rows = stage(met.join(small(chosen, 16), "meeting").select("set", "size", F.col("meeting").cast("string").alias("meeting")))
+
+    dealt = stage(cells(rows, "meeting", percent)).join(sets.select("set", "point"), "set")
+    near = stage(linked_within(dealt, percent, verify=False, tasks=_tasks(rows.count())))
     families = components(near)
-    members = families.select(F.col("node").alias("set"), F.hex("label").alias("family")).join(found.select("set", "size"), "set")
-    dealt = stage(cells(members, "family", percent)).join(found.select("set", "point", "marks"), "set")
-    return stage(linked_within(dealt, percent, verify=True, tasks=_tasks(families.count())))
+    members = stage(families.select(F.col("node").alias("set"), F.hex("label").alias("family")).join(sets.select("set", "row", "size", "point"), "set"))
+    found = stage(whole_sets(docs, members.select("row", "set"), doc, text, words))
+    dealt = stage(cells(members.select("set", "size", "family"), "family", percent))
+    dealt = dealt.join(members.select("set", "point"), "set").join(found, "set")
+    return stage(linked_within(dealt, percent, verify=True, tasks=_tasks(members.count())))
 
 
 def similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
