@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clocks
-from ..functions.cells import MIN_CELL, suppress
-from ..functions.text import col, text
+from ..functions.cells import MIN_CELL, shown, suppress
+from ..functions.text import col, flag, text
 from .order_stats import exact_quantiles
 
 
@@ -197,6 +198,36 @@ def window_coverage(
     return out.withColumn("share", F.try_divide(F.col("n_entities").cast("double"), F.col("cohort_n")))
 
 
+def feasibility_grid(
+    events: DataFrame, cohort: DataFrame, on: str, ts: str, anchor: str, concept: str, windows: Mapping[str, tuple[int, int]], outcomes: Mapping[str, Column],
+    unit: str = "hours", minimum: int = MIN_CELL,
+) -> DataFrame:
+    """Concept x window x outcome: cohort entities with the concept in the window and the outcome observed, small counts hidden.
+
+    Both window ends count.  ``outcomes`` are conditions over cohort columns; ``cohort_n`` is the cohort with the outcome.
+    Events meet the cohort once and are reduced to one row per entity and concept before the grid is added up.
+    """
+    marks = {f"_o{i}": flag(c) for i, c in enumerate(outcomes.values())}
+    known = cohort.select(on, anchor, *[c.alias(k) for k, c in marks.items()])
+    t = F.col(ts)
+    inside = {
+        f"_w{j}": F.max(flag((t >= clocks.plus(anchor, **{unit: lo})) & (t <= clocks.plus(anchor, **{unit: hi})))) for j, (lo, hi) in enumerate(windows.values())
+    }
+    per = events.select(on, concept, ts).join(known, on, "inner").groupBy(on, concept).agg(
+        *[c.alias(k) for k, c in inside.items()], *[F.max(k).alias(k) for k in marks]
+    )
+    wide = per.groupBy(concept).agg(*[F.sum(F.col(w) * F.col(o)).alias(f"{w}{o}") for w in inside for o in marks])
+    sizes = known.agg(*[F.coalesce(F.sum(o), F.lit(0)).alias(o) for o in marks]).first()
+    cells = [
+        F.struct(
+            F.lit(w).alias("window"), F.lit(o).alias("outcome"), F.col(f"_w{j}_o{i}").alias("n_entities"), F.lit(sizes[f"_o{i}"]).cast("long").alias("cohort_n")
+        )
+        for j, w in enumerate(windows) for i, o in enumerate(outcomes)
+    ]
+    long = wide.select(concept, F.explode(F.array(*cells)).alias("c")).select(concept, "c.*")
+    return suppress(long, "n_entities", minimum).withColumn("cohort_n", shown("cohort_n", minimum))
+
+
 def join_key_diagnostic(facts: DataFrame, cohort: DataFrame, rules: Mapping[str, Sequence[str]], entity: str, flags: Mapping[str, Column]) -> DataFrame:
     """Distinct cohort entities reached under each join key, overall and per row condition.
 
@@ -234,6 +265,54 @@ def run_gate(facts: DataFrame, rules: Mapping[str, tuple[str, str, float]]) -> D
     return facts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@dataclass(frozen=True)
+class GateLimits:
+    """Fixed limits of a run: rows, rows per arm, remaining difference, largest weight, share of successful replicates."""
+
+    rows: float = 1000.0
+    arm: float = 100.0
+    smd: float = 0.10
+    weight: float = 50.0
+    success: float = 0.95
+
+
+def study_gate(
+    weighted: DataFrame, balance: DataFrame, intervals: DataFrame, limits: GateLimits | None = None, treat: str = "A", weight: str = "SW_A"
+) -> DataFrame:
+    """Rules over the weighted cohort, the balance after weighting and the bootstrap counts of the outcomes.
+
+    (rule, severity, observed, bound, passes): errors are too few treated or continued rows, weights that are not finite
+    and a difference above the limit; warnings a small cohort, a large weight and an outcome with markedly fewer
+    successful replicates than the best one.  A figure that is missing does not pass.
+    """
+    limits = limits or GateLimits()
+    one, w = F.col(treat) == 1, F.col(weight).cast("double")
+    facts = weighted.agg(
+        F.count("*").alias("n"), F.count_if(one).alias("n_treated"), F.count_if(~one).alias("n_control"), F.max(w).alias("max_weight"),
+        F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf"))).alias("non_finite_weights"),
+    )
+    worst = balance.agg(F.max("after").alias("max_post_smd"))
+    counts = intervals.where("estimand = 'difference'").groupBy("analysis", "outcome").agg(F.min("n_success").alias("k"))
+    success = counts.agg((F.min("k") / F.max("k")).alias("bootstrap_success"))
+    rules = {
+        "n": (facts, "warning", ">=", limits.rows), "n_treated": (facts, "error", ">=", limits.arm), "n_control": (facts, "error", ">=", limits.arm),
+        "max_weight": (facts, "warning", "<=", limits.weight), "non_finite_weights": (facts, "error", "<=", 0.0),
+        "max_post_smd": (worst, "error", "<=", limits.smd), "bootstrap_success": (success, "warning", ">=", limits.success),
+    }
+    out = None
+    for frame in (facts, worst, success):
+        cells = [
+            F.struct(
+                F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.col(name).cast("double").alias("observed"), F.lit(float(bound)).alias("bound"),
+                F.coalesce(F.col(name) <= bound if op == "<=" else F.col(name) >= bound, F.lit(False)).cast("int").alias("passes"),
+            )
+            for name, (source, severity, op, bound) in rules.items() if source is frame
+        ]
+        part = frame.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def suppressed_counts(df: DataFrame, keys: Sequence[str], minimum: int = MIN_CELL) -> DataFrame:
     return suppress(df.groupBy(*keys).agg(F.count("*").alias("n")), "n", minimum)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clocks
 from ..functions import lexicon as lx
 from ..functions.text import col, flag
-from .intervals import clipped_hours, overlap_profile, overlaps
+from .intervals import clipped_hours, covered_until, overlap_profile, overlaps
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -133,16 +133,26 @@ def classify_treatment(
     decision: str = "decision_time",
     landmark: str = "analysis_time0",
     closed: str = "neither",
+    lookback_hours: int | None = None,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """A = 1 without broad overlap in [decision, landmark), subtype and broad hours, in one pass."""
+    """A = 1 without broad overlap in [decision, landmark), subtype and broad hours, in one pass.
+
+    The same pass gives ``has_prior_coverage`` (see ``prior_coverage``) if ``lookback_hours`` is set, and a 0/1 column
+    for each condition in ``also`` over event and window columns.
+    """
     meets = overlaps("coverage_start", "coverage_stop", decision, landmark, closed)
     broad, systemic = F.col(is_broad) & meets, F.col(is_any) & meets
     hours = clipped_hours("coverage_start", "coverage_stop", decision, landmark)
+    flags = {"_broad": broad, "has_any_systemic_72_96": systemic, **(also or {})}
+    if lookback_hours is not None:
+        before = overlaps("coverage_start", "coverage_stop", clocks.plus(decision, hours=-lookback_hours), decision)
+        flags["has_prior_coverage"] = F.col(is_broad) & before
     out = overlap_profile(
         events,
         cohort,
         on,
-        flags={"_broad": broad, "has_any_systemic_72_96": systemic},
+        flags=flags,
         sums={"broad_overlap_hours_72_96": F.when(broad, hours)},
         window_cols=[decision, landmark],
     )
@@ -150,6 +160,45 @@ def classify_treatment(
     return out.withColumn("deescalation_type", treatment_subtype(F.col("A"), F.col("has_any_systemic_72_96")))
 
 
+def classify_by_fill(
+    cohort: DataFrame,
+    events: DataFrame,
+    on: str | Sequence[str],
+    fill_hours: Sequence[int],
+    lookback_hours: int = 24,
+    start: str = "starttime",
+    stop: str = "stoptime",
+    is_broad: str = "is_broad",
+    is_any: str = "is_any",
+    decision: str = "decision_time",
+    landmark: str = "analysis_time0",
+) -> DataFrame:
+    """Cohort x fill: ``fill_hours``, prior coverage and treatment class under each rule on missing stops.
+
+    All fills are alternative stops of the same events, so they share one join and one aggregate.
+    """
+    begin = F.col(start).cast("timestamp_ntz")
+    before = clocks.plus(decision, hours=-lookback_hours)
+    flags, sums = {}, {}
+    for i, hours in enumerate(fill_hours):
+        end = covered_until(start, stop, hours)
+        meets = overlaps(begin, end, decision, landmark)
+        flags |= {
+            f"_prior{i}": F.col(is_broad) & overlaps(begin, end, before, F.col(decision)), f"_broad{i}": F.col(is_broad) & meets, f"_any{i}": F.col(is_any) & meets,
+        }
+        sums[f"_hours{i}"] = F.when(F.col(is_broad) & meets, clipped_hours(begin, end, decision, landmark))
+    wide = overlap_profile(events.where(begin.isNotNull()), cohort, on, flags, sums, window_cols=[decision, landmark])
+    cells = [
+        F.struct(
+            F.lit(hours).alias("fill_hours"), F.col(f"_prior{i}").alias("has_prior_coverage"), F.col(f"_any{i}").alias("has_any_systemic_72_96"),
+            (1 - F.col(f"_broad{i}")).alias("A"), F.col(f"_hours{i}").alias("broad_overlap_hours_72_96"),
+        )
+        for i, hours in enumerate(fill_hours)
+    ]
+    long = wide.select(*cohort.columns, F.explode(F.array(*cells)).alias("_c")).select(*cohort.columns, "_c.*")
+    return long.withColumn("deescalation_type", treatment_subtype(F.col("A"), F.col("has_any_systemic_72_96")))
+
+
 def prior_coverage(
     cohort: DataFrame,
     events: DataFrame,

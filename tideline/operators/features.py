@@ -256,17 +256,15 @@ def add_treatment_intensity(
     broad, systemic = meets & F.col(is_broad), meets & F.col(is_any)
     agent = collapse_spaces(drug)
     return overlap_profile(
-        events,
+        events.where(F.col(is_broad) | F.col(is_any)),
         cohort,
         on,
         flags={k: broad & text(drug).rlike(p) for k, p in classes.items()}
         | {k: systemic & text(drug).rlike(p) for k, p in any_classes.items()},
         sums={"systemic_abx_hours_pre72": F.when(systemic, hours), "broad_abx_hours_pre72": F.when(broad, hours)},
-        distinct={
-            "systemic_abx_agents_pre72": F.when(systemic, agent),
-            "broad_abx_agents_pre72": F.when(broad, agent),
-        },
+        distinct={"systemic_abx_agents_pre72": systemic, "broad_abx_agents_pre72": broad},
         window_cols=[lo, hi],
+        distinct_of=agent,
     )
 
 
@@ -378,13 +376,40 @@ def apply_repair(df: DataFrame, parts: Sequence[str] = ("temperature", "gcs", "f
     return add_organ_scores(out) if "gcs" in parts else out
 
 
-def repair_change(df: DataFrame, old: str, new: str) -> DataFrame:
-    """How many rows moved, after putting the old value on the Celsius scale."""
-    before = F.when(F.col(old) > 60, nb.fahrenheit_to_celsius(old)).otherwise(F.col(old))
-    moved = F.abs(F.col(new) - before)
-    return df.agg(
-        F.count("*").alias("n"),
-        F.count_if(moved > 0.1).alias("n_changed_gt_0_1c"),
-        F.count_if(moved > 0.5).alias("n_changed_gt_0_5c"),
-        F.max(moved).alias("max_abs_change_c"),
+def repaired_beside_old(df: DataFrame) -> tuple[DataFrame, dict[str, dict[str, str]]]:
+    """``apply_repair`` of all parts with the old values kept; per part, the column that holds each old value.
+
+    Organ scores follow the coma scale only, so a part's old columns stand for it in any mix of parts.
+    """
+    scores = [c for c in df.columns if c.endswith(("_score_0_24h", "_score_48_72h")) or c.startswith("sofa_like_")]
+    old: dict[str, dict[str, str]] = {}
+    for part, names in REPAIRED.items():
+        changed = [*names, *(f"{c}_missing" for c in names), *(scores if part == "gcs" else ())]
+        old[part] = {c: f"old_{c}" for c in changed if c in df.columns}
+    kept = df.withColumns({k: F.col(c) for columns in old.values() for c, k in columns.items()})
+    return apply_repair(kept), old
+
+
+def repair_change(df: DataFrame, changed: Mapping[str, tuple[str, str]], keys: Sequence[str], digits: int = 6) -> DataFrame:
+    """Rows whose repaired value differs from the old one: keys, variable, old, new, size of the change (null beside a null).
+
+    ``changed`` maps a variable to its old and new column.  Temperatures above 60 are put on the Celsius scale first.
+    """
+    cells = []
+    for name, (old, new) in changed.items():
+        before = F.col(old).cast("double")
+        if name.startswith("temp"):
+            before = F.when(before > 60, nb.fahrenheit_to_celsius(before)).otherwise(before)
+        cells.append(F.struct(F.lit(name).alias("variable"), F.round(before, digits).alias("old"), F.round(F.col(new).cast("double"), digits).alias("new")))
+    long = df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
+    return long.where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("change", F.round(F.col("new") - F.col("old"), digits))
+
+
+def change_sizes(changes: DataFrame, bounds: tuple[float, float] = (0.1, 0.5)) -> DataFrame:
+    """Per variable: rows changed, those by more than each bound, those that gained or lost a value, the largest change."""
+    moved = F.abs("change")
+    return changes.groupBy("variable").agg(
+        F.count("*").alias("n_changed"),
+        *[F.count_if(moved > b).alias(f"n_changed_gt_{str(b).replace('.', '_')}") for b in bounds],
+        F.count_if(F.col("old").isNull()).alias("n_gained"), F.count_if(F.col("new").isNull()).alias("n_lost"), F.max(moved).alias("max_abs_change"),
     )

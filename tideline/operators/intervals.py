@@ -28,17 +28,22 @@ def prepare_coverage(
     A missing stop becomes start + ``fill_hours``; only then is a stop at or before the start
     replaced by start + ``minimum_hours``.
     """
-    begin = F.col(start).cast("timestamp_ntz")
-    end = F.coalesce(F.col(stop).cast("timestamp_ntz"), clocks.plus(begin, hours=fill_hours))
     return df.withColumns(
         {
-            "coverage_start": begin,
-            "coverage_stop": F.when(end <= begin, clocks.plus(begin, hours=minimum_hours)).otherwise(end),
+            "coverage_start": F.col(start).cast("timestamp_ntz"),
+            "coverage_stop": covered_until(start, stop, fill_hours, minimum_hours),
             "missing_stop_assumed": F.col(stop).isNull().cast("int"),
         }
     )
 
 
+def covered_until(start: str, stop: str, fill_hours: int, minimum_hours: int = 1) -> Column:
+    """Stop of the coverage, for one rule on missing stops."""
+    begin = F.col(start).cast("timestamp_ntz")
+    end = F.coalesce(F.col(stop).cast("timestamp_ntz"), clocks.plus(begin, hours=fill_hours))
+    return F.when(end <= begin, clocks.plus(begin, hours=minimum_hours)).otherwise(end)
+
+
 def overlaps(
     start: Column | str, stop: Column | str, lo: Column | str, hi: Column | str, closed: str = "neither"
 ) -> Column:
@@ -87,18 +92,24 @@ def overlap_profile(
     sums: Mapping[str, Column] | None = None,
     distinct: Mapping[str, Column] | None = None,
     window_cols: Sequence[str] = (),
+    distinct_of: Column | None = None,
 ) -> DataFrame:
     """All windows of one source in one join and one aggregate.
 
-    ``flags``, ``sums`` and ``distinct`` are expressions over event and window columns; the
-    result is the cohort with one column each (0 where the entity has no event).
+    ``flags`` and ``sums`` are expressions over event and window columns; ``distinct`` are conditions under which the
+    values of ``distinct_of`` are counted.  The result is the cohort with one column each (0 where the entity has no event).
+
+    Distinct counts reduce to one row per entity and value first, then to one per entity, so rows are not multiplied by
+    the number of counts.
     """
     keys = [on] if isinstance(on, str) else list(on)
     sums, distinct = sums or {}, distinct or {}
     joined = events.join(cohort.select(*keys, *window_cols), keys, "inner")
-    aggs = [F.max(flag(c)).alias(k) for k, c in flags.items()]
-    aggs += [F.sum(c).alias(k) for k, c in sums.items()]
-    aggs += [F.countDistinct(c).alias(k) for k, c in distinct.items()]
+    aggs = [F.max(flag(c)).alias(k) for k, c in flags.items()] + [F.sum(c).alias(k) for k, c in sums.items()]
+    if distinct:
+        seen = [F.max(flag(c & distinct_of.isNotNull())).alias(k) for k, c in distinct.items()]
+        joined = joined.groupBy(*keys, distinct_of.alias("_value")).agg(*aggs, *seen)
+        aggs = [F.max(k).alias(k) for k in flags] + [F.sum(k).alias(k) for k in (*sums, *distinct)]
     reduced = joined.groupBy(*keys).agg(*aggs)
     fills: dict = {k: 0 for k in [*flags, *distinct]}
     fills.update({k: 0.0 for k in sums})

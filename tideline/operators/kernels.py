@@ -148,54 +148,66 @@ class Series:
         return self.columns if self.design is None else self.design.columns
 
 
-def histogram_sums(batches, series: Series, reps, lo: np.ndarray, hi: np.ndarray, bins: int):
-    """Counts per equal-width bin of [lo, hi] for every (series, replicate, probability), plus the count below lo.
+def ordered_keys(v: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles."""
+    bits = (v + 0.0).view(np.uint64)
+    sign = np.uint64(1 << 63)
+    return np.where(bits & sign, ~bits, bits | sign)
 
-    ``lo`` and ``hi`` have shape (series, replicates, probabilities).
+
+def key_values(keys: np.ndarray) -> np.ndarray:
+    """The doubles behind ``ordered_keys``."""
+    sign = np.uint64(1 << 63)
+    return np.where(keys & sign, keys & ~sign, ~keys).view(np.float64)
+
+
+def bin_widths(lo: np.ndarray, hi: np.ndarray, bins: int) -> np.ndarray:
+    """Keys per bin when the keys from ``lo`` to ``hi`` are dealt into at most ``bins`` bins."""
+    return (hi - lo) // np.uint64(bins) + np.uint64(1)
+
+
+def histogram_sums(batches, series: Series, reps, lo: np.ndarray, hi: np.ndarray, bins: int, live: np.ndarray):
+    """Counts per bin of the keys ``lo`` to ``hi`` for every live (series, replicate, target), plus the count below.
+
+    ``lo``, ``hi`` (keys) and ``live`` have shape (series, replicates, targets); bins hold equally many keys, so a far
+    value costs no more than a few steps of the exponent.
     """
-    n_s, n_r, n_p = lo.shape
-    total = np.zeros((n_r, n_s, n_p, bins + 1))
+    n_s, n_r, n_t = lo.shape
+    width = bin_widths(lo, hi, bins)
+    total = np.zeros((n_r, n_s, n_t, bins + 1))
     for pdf in batches:
         m, raw = _counts(pdf, reps), _read(pdf, series.reads)
         for s in range(n_s):
-            for r in range(n_r):
+            for r in np.flatnonzero(live[s].any(axis=1)):
                 v = series.values(pdf, raw, s, r)
                 use = ~np.isnan(v) & (m[:, r] > 0)
-                v, w = v[use], m[use, r]
-                for k in range(n_p):
-                    a, b = lo[s, r, k], hi[s, r, k]
-                    total[r, s, k, 0] += w[v < a].sum()
-                    inside = (v >= a) & (v <= b)
-                    at = bin_index(v[inside], a, b, bins)
+                key, w = ordered_keys(v[use]), m[use, r]
+                for k in np.flatnonzero(live[s, r]):
+                    a = lo[s, r, k]
+                    total[r, s, k, 0] += w[key < a].sum()
+                    inside = (key >= a) & (key <= hi[s, r, k])
+                    at = ((key[inside] - a) // width[s, r, k]).astype(np.int64)
                     total[r, s, k, 1:] += np.bincount(at, weights=w[inside], minlength=bins)
     yield _emit(reps, total.reshape(n_r, -1))
 
 
-def bin_index(v: np.ndarray, a: float, b: float, bins: int) -> np.ndarray:
-    if not b > a:
-        return np.zeros(len(v), dtype=int)
-    return np.minimum(((v - a) / (b - a) * bins).astype(int), bins - 1)
-
-
-def sliver_rows(batches, series: Series, reps, lo: np.ndarray, hi: np.ndarray, bins: int, first: np.ndarray, last: np.ndarray):
-    """Rows whose bin lies in [first, last] for a (series, replicate, probability)."""
-    n_s, n_r, n_p = lo.shape
+def sliver_rows(batches, series: Series, reps, lo: np.ndarray, hi: np.ndarray, live: np.ndarray):
+    """Distinct values with their counts whose key lies in [lo, hi] of a live (series, replicate, target)."""
+    n_s, n_r, n_t = lo.shape
     for pdf in batches:
         m, raw = _counts(pdf, reps), _read(pdf, series.reads)
         for s in range(n_s):
-            for r in range(n_r):
+            for r in np.flatnonzero(live[s].any(axis=1)):
                 v = series.values(pdf, raw, s, r)
                 use = ~np.isnan(v) & (m[:, r] > 0)
                 v, w = v[use], m[use, r]
-                for k in range(n_p):
-                    a, b = lo[s, r, k], hi[s, r, k]
-                    inside = (v >= a) & (v <= b)
-                    at = bin_index(v[inside], a, b, bins)
-                    keep = (at >= first[s, r, k]) & (at <= last[s, r, k])
+                key = ordered_keys(v)
+                for k in np.flatnonzero(live[s, r]):
+                    keep = (key >= lo[s, r, k]) & (key <= hi[s, r, k])
                     if keep.any():
                         # Equal values leave the task as one row.
-                        found, back = np.unique(v[inside][keep], return_inverse=True)
-                        times = np.bincount(back, w[inside][keep], minlength=len(found)).astype("int64")
+                        found, back = np.unique(v[keep], return_inverse=True)
+                        times = np.bincount(back, w[keep], minlength=len(found)).astype("int64")
                         yield pd.DataFrame({"s": np.int32(s), "r": np.int32(r), "k": np.int32(k), "v": found, "m": times})
 
 
@@ -235,3 +247,126 @@ def effect_sums(
                 "w1": total[r, :, :, 1, 0].ravel(), "wy1": total[r, :, :, 1, 1].ravel(),
             }
         )
+
+
+@dataclass
+class Plan:
+    """One of several models over a table: its design over table columns, its treatment, the 0/1 column of its rows."""
+
+    design: Design
+    treat: str
+    rows: str | None = None
+
+
+class _Table:
+    """Columns of a batch, each converted once for all models."""
+
+    def __init__(self, pdf: pd.DataFrame, reps: np.ndarray | None):
+        self.pdf, self.m, self.held = pdf, _counts(pdf, reps), {}
+
+    def column(self, name: str) -> np.ndarray:
+        if name not in self.held:
+            self.held[name] = self.pdf[name].to_numpy(dtype=float, na_value=np.nan)
+        return self.held[name]
+
+    def use(self, plan: Plan) -> np.ndarray:
+        return np.ones(len(self.pdf), dtype=bool) if plan.rows is None else self.column(plan.rows) == 1
+
+    def raw(self, columns: list[str], use: np.ndarray) -> np.ndarray:
+        return np.column_stack([self.column(c)[use] for c in columns]) if columns else np.zeros((int(use.sum()), 0))
+
+
+def _fits(plans: list[Plan], reps: np.ndarray | None) -> int:
+    return 1 if reps is None else len(reps)
+
+
+def model_moments(batches, plans: list[Plan], centres: list[np.ndarray], reps: np.ndarray | None):
+    """``moment_sums`` of every model and replicate; fit number = model x replicates + replicate."""
+    n_rep, total = _fits(plans, reps), {}
+    for pdf in batches:
+        t = _Table(pdf, reps)
+        for i, plan in enumerate(plans):
+            use = t.use(plan)
+            m, raw, a = t.m[use], t.raw(plan.design.columns, use) - centres[i], t.column(plan.treat)[use]
+            seen = ~np.isnan(raw)
+            x = np.where(seen, raw, 0.0)
+            sums = np.column_stack([m.sum(0), m.T @ a, m.T @ seen, m.T @ x, m.T @ (x * x)])
+            total[i] = total.get(i, 0.0) + sums
+    rows = [(i * n_rep + r, v) for i, s in total.items() for r, v in enumerate(s)]
+    yield pd.DataFrame({"rep": np.array([f for f, _ in rows], "int32"), "vec": [v for _, v in rows]})
+
+
+def model_newton(batches, plans: list[Plan], beta: list[np.ndarray], reps: np.ndarray | None, live: np.ndarray):
+    """``newton_sums`` of every fit still iterating, models and replicates alike, in one pass over the rows."""
+    n_rep, total = _fits(plans, reps), {}
+    for pdf in batches:
+        t, model, use, raw, y = _Table(pdf, reps), None, None, None, None
+        for f in live:
+            i, r = divmod(int(f), n_rep)
+            if i != model:
+                model, use = i, t.use(plans[i])
+                raw, y = t.raw(plans[i].design.columns, use), t.column(plans[i].treat)[use]
+            w = t.m[use, r]
+            z = plans[i].design.matrix(raw, r)
+            eta = np.clip(z @ beta[f], -ETA_LIMIT, ETA_LIMIT)
+            mu = 1.0 / (1.0 + np.exp(-eta))
+            hess = (z * (w * mu * (1.0 - mu))[:, None]).T @ z
+            vec = np.concatenate([z.T @ (w * (y - mu)), hess[np.triu_indices(z.shape[1])], [2.0 * np.sum(w * (np.logaddexp(0.0, eta) - y * eta))]])
+            total[f] = total.get(f, 0.0) + vec
+    yield pd.DataFrame({"rep": np.array(list(total), "int32"), "vec": list(total.values())})
+
+
+def _model_weights(t: _Table, plan: Plan, use: np.ndarray, beta: np.ndarray, share: float, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Treatment, score and stabilised weight of the model's rows."""
+    eta = np.clip(plan.design.matrix(t.raw(plan.design.columns, use), r) @ beta, -ETA_LIMIT, ETA_LIMIT)
+    ps = np.clip(1.0 / (1.0 + np.exp(-eta)), SCORE_FLOOR, SCORE_CEIL)
+    a = t.column(plan.treat)[use]
+    return a, ps, stabilised(a, ps, share)
+
+
+def model_effects(batches, plans: list[Plan], beta: list[np.ndarray], share: np.ndarray, reps: np.ndarray, outcome: str, valid: np.ndarray):
+    """Weighted outcome sums of every fit: w and wy of the control, then of the treated arm."""
+    n_rep, total = _fits(plans, reps), {}
+    for pdf in batches:
+        t = _Table(pdf, reps)
+        for f in np.flatnonzero(valid):
+            i, r = divmod(int(f), n_rep)
+            use = t.use(plans[i])
+            a, _, sw = _model_weights(t, plans[i], use, beta[f], share[f], r)
+            y = t.column(outcome)[use]
+            ok, w = ~np.isnan(y), sw * t.m[use, r]
+            vec = [x for arm in (0, 1) for x in (w[ok & (a == arm)].sum(), (w * np.where(ok, y, 0.0))[a == arm].sum())]
+            total[f] = total.get(f, 0.0) + np.array(vec)
+    rows = [(int(f) // n_rep, int(reps[int(f) % n_rep]), *v) for f, v in total.items()]
+    yield pd.DataFrame(rows, columns=["model", "rep", "w0", "wy0", "w1", "wy1"]).astype({"model": "int32", "rep": "int32"})
+
+
+def model_summaries(batches, plans: list[Plan], beta: list[np.ndarray], share: np.ndarray, outcome: str, checked: list[tuple[list[str], np.ndarray]]):
+    """Sums of every model over its arms (control, treated), and the extremes of weights and scores.
+
+    Per arm: rows, w, w^2, w and wy of rows with an outcome, then wx and wx^2 of the checked columns about the value
+    given for them, which also stands for a missing one.
+    """
+    total, high = {}, {}
+    for pdf in batches:
+        t = _Table(pdf, None)
+        for i, plan in enumerate(plans):
+            use = t.use(plan)
+            if not use.any():
+                continue
+            a, ps, sw = _model_weights(t, plan, use, beta[i], share[i], 0)
+            y = t.column(outcome)[use]
+            ok = ~np.isnan(y)
+            columns, about = checked[i]
+            x = np.nan_to_num(t.raw(columns, use) - about, nan=0.0)
+            vec = []
+            for arm in (0, 1):
+                here = a == arm
+                w = np.where(here, sw, 0.0)
+                vec += [here.sum(), w.sum(), (w * w).sum(), w[ok].sum(), (w * np.where(ok, y, 0.0)).sum(), *(w @ x), *(w @ (x * x))]
+            total[i] = total.get(i, 0.0) + np.array(vec, dtype=float)
+            top = np.array([sw.max(), -ps.min(), ps.max()])
+            high[i] = np.maximum(high.get(i, -np.inf), top)
+    yield pd.DataFrame(
+        {"rep": np.array(list(total), "int32"), "vec": list(total.values())} | {c: [high[i][k] for i in total] for k, c in enumerate(("w_max", "ps_low", "ps_max"))}
+    )

@@ -135,8 +135,8 @@ def prepared_columns(design: kn.Design) -> dict[str, Column]:
 _VEC = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
 
-#: Groups of tasks whose vectors are added before the rest.
-TASK_GROUPS = 32
+#: Vectors that are added in one group.
+FAN_IN = 32
 
 
 def _added(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -147,14 +147,31 @@ def _added(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return listed.select(*keys, total.alias("vec"))
 
 
-def summed_vectors(df: DataFrame, kernel, reps: np.ndarray | None, n_rep: int) -> np.ndarray:
-    """Add the tasks' vectors on Spark, first within groups of tasks; returns (replicates, length)."""
-    parts = df.mapInPandas(kernel, _VEC).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)))
-    rows = _added(_added(parts, ["rep", "part"]), ["rep"]).collect()
+def count_tasks(df: DataFrame) -> int:
+    """Tasks of a scan of ``df`` (of those that have rows, the last one's place)."""
+    return 1 + (df.select(F.spark_partition_id().alias("at")).agg(F.max("at")).first()[0] or 0)
+
+
+def summed_rows(df: DataFrame, kernel, tasks: int | None = None) -> dict[int, np.ndarray]:
+    """Add the tasks' vectors per number on Spark, ``FAN_IN`` at a time.
+
+    ``tasks`` (see ``count_tasks``) sets the number of levels, so a group never holds more than ``FAN_IN`` vectors.
+    """
+    parts = df.mapInPandas(kernel, _VEC).withColumn("part", F.spark_partition_id())
+    left = count_tasks(df) if tasks is None else tasks
+    while left > FAN_IN:
+        parts = _added(parts.withColumn("part", F.expr(f"part div {FAN_IN}")), ["rep", "part"])
+        left = -(-left // FAN_IN)
+    return {row["rep"]: np.array(row["vec"]) for row in _added(parts, ["rep"]).collect()}
+
+
+def summed_vectors(df: DataFrame, kernel, reps: np.ndarray | None, n_rep: int, tasks: int | None = None) -> np.ndarray:
+    """The same as (replicates, length)."""
+    rows = summed_rows(df, kernel, tasks)
     at = {int(r): i for i, r in enumerate(range(n_rep) if reps is None else reps)}
-    out = np.zeros((n_rep, len(rows[0]["vec"]) if rows else 0))
-    for row in rows:
-        out[at[row["rep"]]] = row["vec"]
+    out = np.zeros((n_rep, len(next(iter(rows.values()))) if rows else 0))
+    for rep, vec in rows.items():
+        out[at[rep]] = vec
     return out
 
 
@@ -168,22 +185,22 @@ class Fit:
     extra: dict = field(default_factory=dict)
 
 
-def _iterate(df, design, reps, start, n_rows, live, max_iter, ridge):
-    """Newton from ``start`` for the replicates in ``live``."""
-    beta, p = start.copy(), design.width
-    upper = np.triu_indices(p)
+def newton_steps(sums_of, start: Sequence[np.ndarray], n_rows, live, max_iter: int, ridge: float):
+    """Newton from ``start`` for the fits in ``live``; ``sums_of(beta, live)`` gives their sums, in one scan for all."""
+    beta = [np.array(b, dtype=float) for b in start]
     done = np.zeros(len(beta), dtype=bool)
     last = np.full(len(beta), np.inf)
     live = np.array(sorted(live), dtype=int)
     passes = 0
     while len(live) and passes < max_iter:
-        sums = summed_vectors(df, partial(kn.newton_sums, design=design, beta=beta, reps=reps, live=live), reps, len(beta))
+        sums = sums_of(beta, live)
         passes += 1
         still = []
         for r in live:
-            grad, dev = sums[r, :p].copy(), sums[r, -1]
+            p = len(beta[r])
+            grad, dev = sums[r][:p].copy(), sums[r][-1]
             hess = np.zeros((p, p))
-            hess[upper] = sums[r, p:-1]
+            hess[np.triu_indices(p)] = sums[r][p:-1]
             hess = hess + np.triu(hess, 1).T
             objective = dev
             if ridge:
@@ -203,32 +220,47 @@ def _iterate(df, design, reps, start, n_rows, live, max_iter, ridge):
     return beta, done, passes
 
 
+def newton_fits(sums_of, start: Sequence[np.ndarray], n_rows, keep: np.ndarray, max_iter: int, alpha: float = RIDGE_ALPHA, force_ridge: bool = False):
+    """Coefficients, convergence, method and passes; fits that do not converge get the ridge."""
+    live = [] if force_ridge else list(np.flatnonzero(keep))
+    beta, done, passes = newton_steps(sums_of, start, n_rows, live, max_iter, 0.0)
+    again = [r for r in np.flatnonzero(keep) if not done[r]]
+    method = ["glm"] * len(beta)
+    if again:
+        zero = [np.zeros_like(b) if r in set(again) else b for r, b in enumerate(beta)]
+        ridged, fixed, more = newton_steps(sums_of, zero, n_rows, again, MAX_ITER, alpha)
+        passes += more
+        for r in again:
+            beta[r], done[r], method[r] = ridged[r], fixed[r], "regularized_glm"
+    return beta, done, method, passes
+
+
+def intercept_only(width: int, share: float) -> np.ndarray:
+    """Start at the fit without covariates."""
+    inner = min(max(share, kn.SCORE_FLOOR), kn.SCORE_CEIL)
+    start = np.zeros(width)
+    start[0] = np.log(inner / (1.0 - inner))
+    return start
+
+
 def fit_designs(
     df: DataFrame, design: kn.Design, n_rows: np.ndarray, reps: np.ndarray | None = None, max_iter: int = MAX_ITER,
-    valid: np.ndarray | None = None, alpha: float = RIDGE_ALPHA, force_ridge: bool = False, share: np.ndarray | None = None,
+    valid: np.ndarray | None = None, alpha: float = RIDGE_ALPHA, force_ridge: bool = False, share: np.ndarray | None = None, tasks: int | None = None,
 ) -> Fit:
     """Fit every replicate of ``design``; those that do not converge get the ridge.
 
     ``share`` (treated share per replicate) starts the iteration at the intercept-only fit.
     """
     n_rep = len(n_rows)
+    tasks = count_tasks(df) if tasks is None else tasks
     keep = np.ones(n_rep, dtype=bool) if valid is None else valid
-    start = np.zeros((n_rep, design.width))
-    if share is not None:
-        inner = np.clip(share, kn.SCORE_FLOOR, kn.SCORE_CEIL)
-        start[:, 0] = np.log(inner / (1.0 - inner))
-    live = [] if force_ridge else list(np.flatnonzero(keep))
-    beta, done, passes = _iterate(df, design, reps, start, n_rows, live, max_iter, 0.0)
-    again = [r for r in np.flatnonzero(keep) if not done[r]]
-    method = ["glm"] * n_rep
-    if again:
-        beta[again] = 0.0
-        ridged, fixed, more = _iterate(df, design, reps, beta, n_rows, again, MAX_ITER, alpha)
-        beta[again], done[again] = ridged[again], fixed[again]
-        passes += more
-        for r in again:
-            method[r] = "regularized_glm"
-    return Fit(beta, done, method, passes, reps)
+    start = [np.zeros(design.width) if share is None else intercept_only(design.width, x) for x in (range(n_rep) if share is None else share)]
+
+    def sums_of(beta, live):
+        return summed_vectors(df, partial(kn.newton_sums, design=design, beta=beta, reps=reps, live=live), reps, n_rep, tasks)
+
+    beta, done, method, passes = newton_fits(sums_of, start, n_rows, keep, max_iter, alpha, force_ridge)
+    return Fit(np.array(beta), done, method, passes, reps)
 
 
 def add_scores(df: DataFrame, design: kn.Design, beta: np.ndarray, out: str = "ps_den") -> DataFrame:

@@ -1,4 +1,6 @@
-"""Exact quantiles with linear interpolation that never hold a whole group in one task.
+"""Exact quantiles with linear interpolation that never hold a large group in one task.
+
+Groups are counted first.  Those of up to ``FEW`` times the accuracy rows are aggregated whole; for larger ones:
 
 1. ``percentile_approx`` (a bounded, mergeable sketch) proposes a bracket for each requested rank.
 2. One scan counts rows below each bracket and keeps the distinct values inside it (the sliver), as a stage table.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from ..session import stage_border
 
 ACCURACY = 10_000
+#: Rows of a group that is aggregated whole, per unit of accuracy: 200,000 values at the default.
+FEW = 20
 #: Distinct values of a sliver that one task ranks, and bins into which a longer sliver is cut.
 SLIVER, CUTS = 20_000, 256
 
@@ -112,8 +116,27 @@ def exact_quantiles(
     keys = list(groups) or ["_all"]
     number = F.col(value).cast("double")
     base = df.where(number.isNotNull() & ~F.isnan(number)).select(*([F.col(g) for g in groups] or [F.lit(1).alias("_all")]), number.alias("_v"))
+    limit = FEW * accuracy
+    sizes = stage_border(base.groupBy(*keys).agg(F.count("*").alias("_n")))
+    n_large = sizes.where(F.col("_n") > limit).count()
+    whole = None
+    if n_large < sizes.count() or not n_large:
+        small = base if not n_large else base.join(sizes.where(F.col("_n") > limit).select(*keys), keys, "left_anti")
+        at = small.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        whole = at.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+    if n_large:
+        large = base if whole is None else base.join(sizes.where(F.col("_n") > limit).select(*keys), keys, "left_semi")
+        narrowed = _narrowed_quantiles(large, keys, probs, names, accuracy, bounded_groups or not groups, sliver)
+        whole = narrowed if whole is None else whole.unionByName(narrowed)
+    return whole if groups else whole.drop("_all")
+
+
+def _narrowed_quantiles(
+    base: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str], accuracy: int, bounded_groups: bool, sliver: int
+) -> DataFrame:
+    """Quantiles of groups of any size by verified brackets."""
     sketch = _brackets(base, keys, probs, accuracy)
-    if bounded_groups or not groups:
+    if bounded_groups:
         sketch = F.broadcast(sketch)
     found = stage_border(_sliver(base, sketch, keys, len(probs)))
     values, targets = _cells(found, keys, probs)
@@ -140,8 +163,7 @@ def exact_quantiles(
     picked = ranked.groupBy(*cell).agg(F.first("n").alias("n"), F.first("_from").alias("_from"), hit("_from").alias("_a"), hit("_to").alias("_z"))
     prob = F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")]
     at = picked.select(*keys, "_i", "n", (F.col("_a") + (F.col("_z") - F.col("_a")) * (prob * (F.col("n") - 1) - F.col("_from"))).alias("_y"))
-    out = at.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col("_y"))).alias(name) for i, name in enumerate(names)])
-    return out if groups else out.drop("_all")
+    return at.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col("_y"))).alias(name) for i, name in enumerate(names)])
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column] = (), name: str = "variable", value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..session import stage_border
 from .order_stats import column_quantiles, exact_quantiles, unpivot
 from .weighting import group_labels
 
@@ -61,10 +62,14 @@ def describe_by(df: DataFrame, group: str, value: str, bounded: bool = False) ->
 
 
 def item_summary(df: DataFrame, item: str, entity: str, value: str) -> DataFrame:
-    """Per item: rows, distinct entities, range and percentiles."""
-    basic = df.groupBy(item).agg(
-        F.count(value).alias("n"), F.countDistinct(entity).alias("n_entities"),
-        F.min(value).alias("minimum"), F.max(value).alias("maximum"),
+    """Per item: rows, distinct entities, range and percentiles.
+
+    Rows reduce to one per item and entity first, so the distinct count multiplies no rows.
+    """
+    df = stage_border(df.select(item, entity, value))
+    pairs = df.groupBy(item, entity).agg(F.count(value).alias("n"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    basic = pairs.groupBy(item).agg(
+        F.sum("n").alias("n"), F.count(entity).alias("n_entities"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"),
     )
     probs = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
     names = ["p01", "p05", "p25", "p50", "p75", "p95", "p99"]

@@ -2,7 +2,7 @@
 
 Rows get Poisson(1) counts from a hash of their id, the seed and the replicate number, so a
 replicate is the same whatever the partitioning or task retries.  All replicates of a batch
-share each scan; tasks emit sums, never rows (apart from the quantile slivers).
+share each scan; tasks emit sums, never rows (apart from the quantile slivers, which are bounded).
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from collections.abc import Mapping, Sequence
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage_border
 from . import kernels as kn
-from .logit import BOOTSTRAP_MAX_ITER, TASK_BUDGET, build_design, fit_designs, profile_columns, summed_vectors
+from .logit import BOOTSTRAP_MAX_ITER, TASK_BUDGET, build_design, count_tasks, fit_designs, profile_columns, summed_vectors
 from .weighting import with_contrasts
 
 PAIRS = ((1.0, 99.0), (2.5, 97.5))
 BINS = 2048
+#: Drawn rows of a target that one task ranks.
+SLIVER = 4096
 
 
 def row_hashes(ids: Sequence[str], seed: int) -> dict:
@@ -32,58 +34,71 @@ def row_hashes(ids: Sequence[str], seed: int) -> dict:
 
 
 def replicate_quantiles(
-    table: DataFrame, series: kn.Series, reps: np.ndarray, probs: Sequence[float], lo: np.ndarray, hi: np.ndarray
+    table: DataFrame, series: kn.Series, reps: np.ndarray, probs: Sequence[float], lo: np.ndarray, hi: np.ndarray, tasks: int | None = None
 ) -> np.ndarray:
     """Exact weighted quantiles, shape (series, replicates, probabilities).
 
-    Two histogram passes narrow each rank to a thin bin, a last pass ranks the values in it.
+    The two ranks of every quantile are targets of their own.  A histogram pass cuts the keys that may hold a target
+    into ``BINS`` runs and keeps the run that holds it, again and again, until at most ``SLIVER`` drawn rows are left;
+    a last pass ranks those.  Keys have 64 bits, so six passes end in a single value, however the values are spread.
     ``lo`` and ``hi`` are (series,) bounds of the values.
     """
     n_s, n_r, n_p = series.size, len(reps), len(probs)
-    shape = (n_s, n_r, n_p)
-    a = np.broadcast_to(lo[:, None, None], shape).copy()
-    b = np.broadcast_to(hi[:, None, None], shape).copy()
-    p = np.asarray(probs)[None, None, :]
-    n = None
-    for level in range(2):
-        sums = summed_vectors(table, partial(kn.histogram_sums, series=series, reps=reps, lo=a, hi=b, bins=BINS), reps, n_r)
-        sums = sums.reshape(n_r, n_s, n_p, BINS + 1).transpose(1, 0, 2, 3)
-        below, counts = sums[..., 0], sums[..., 1:]
-        if n is None:
-            n = below + counts.sum(-1)
-            rank_lo, rank_hi = np.floor(p * (n - 1)), np.ceil(p * (n - 1))
-        cum = below[..., None] + np.cumsum(counts, -1)
-        first = (cum > rank_lo[..., None]).argmax(-1)
-        last = (cum > rank_hi[..., None]).argmax(-1)
-        if level == 0:
-            width = (b - a) / BINS
-            # One bin of slack on both sides absorbs rounding at bin edges.
-            a, b = a + (first - 1) * width, a + (last + 2) * width
-    start = np.take_along_axis(np.concatenate([below[..., None], cum], -1), first[..., None], -1)[..., 0]
+    shape = (n_s, n_r, 2 * n_p)
+    a, b = (np.broadcast_to(kn.ordered_keys(np.asarray(x, dtype=float))[:, None, None], shape).copy() for x in (lo, hi))
+    start, left = np.zeros(shape), np.full(shape, np.inf)
+    p, n, rank = np.asarray(probs)[None, None, :], None, None
+    live = np.ones(shape, dtype=bool)
+    while live.any():
+        # Where all targets of a series still share one range (as at first), it is counted once.
+        same = n is None
+        ask = live.copy()
+        if same:
+            ask[..., 1:] = False
+        sums = summed_vectors(table, partial(kn.histogram_sums, series=series, reps=reps, lo=a, hi=b, bins=BINS, live=ask), reps, n_r, tasks)
+        sums = sums.reshape(n_r, n_s, 2 * n_p, BINS + 1).transpose(1, 0, 2, 3)
+        if same:
+            sums = np.broadcast_to(sums[..., :1, :], (*shape, BINS + 1))
+            n = sums[..., 0, :].sum(-1)[..., None]
+            rank = np.concatenate([np.floor(p * (n - 1)), np.ceil(p * (n - 1))], -1)
+        upto = np.cumsum(sums, -1)
+        at = (upto[..., 1:] > rank[..., None]).argmax(-1)
+        width = kn.bin_widths(a, b, BINS)
+        before, after = (np.take_along_axis(upto, at[..., None] + k, -1)[..., 0] for k in (0, 1))
+        low = a + at.astype(np.uint64) * width
+        start, left = np.where(live, before, start), np.where(live, after - before, left)
+        a, b = np.where(live, low, a), np.where(live, np.minimum(b, low + (width - np.uint64(1))), b)
+        live &= (left > SLIVER) & (b > a) & (n > 0)
+    single = b == a
+    value = np.where(single, kn.key_values(a), np.nan)
+    open_ = ~single & (n > 0)
+    if open_.any():
+        found = _ranked_slivers(table, series, reps, a, b, open_, start, rank)
+        value[open_] = found[open_]
+    x, y = value[..., :n_p], value[..., n_p:]
+    return np.where(n > 0, x + (y - x) * (p * (n - 1) - rank[..., :n_p]), np.nan)
+
+
+def _ranked_slivers(table, series, reps, a, b, open_, start, rank) -> np.ndarray:
+    """The value at its rank of every open target; a group holds at most ``SLIVER`` rows."""
     schema = T.StructType(
         [T.StructField(c, T.IntegerType()) for c in "srk"] + [T.StructField("v", T.DoubleType()), T.StructField("m", T.LongType())]
     )
-    kernel = partial(kn.sliver_rows, series=series, reps=reps, lo=a, hi=b, bins=BINS, first=first, last=last)
-    rows = table.mapInPandas(kernel, schema).groupBy("s", "r", "k", "v").agg(F.sum("m").alias("m"))
-    spark = table.sparkSession
-    targets = spark.createDataFrame(
-        [
-            (s, r, k, float(start[s, r, k]), float(rank_lo[s, r, k]), float(rank_hi[s, r, k]))
-            for s in range(n_s) for r in range(n_r) for k in range(n_p)
-        ],
-        "s int, r int, k int, start double, rank_lo double, rank_hi double",
+    rows = table.mapInPandas(partial(kn.sliver_rows, series=series, reps=reps, lo=a, hi=b, live=open_), schema)
+    rows = rows.groupBy("s", "r", "k").agg(F.collect_list(F.struct("v", "m")).alias("held"))
+    targets = table.sparkSession.createDataFrame(
+        [(int(s), int(r), int(k), float(start[s, r, k]), float(rank[s, r, k])) for s, r, k in zip(*np.nonzero(open_))],
+        "s int, r int, k int, start double, rank double",
     )
-    upto = Window.partitionBy("s", "r", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.join(F.broadcast(targets), ["s", "r", "k"]).withColumn("cum", F.col("start") + F.sum("m").over(upto))
-    got = ranked.groupBy("s", "r", "k").agg(
-        F.min(F.when(F.col("cum") > F.col("rank_lo"), F.col("v"))).alias("x"),
-        F.min(F.when(F.col("cum") > F.col("rank_hi"), F.col("v"))).alias("y"),
-    ).toPandas()
-    out = np.full(shape, np.nan)
-    frac = p * (n - 1) - rank_lo
-    s, r, k = (got[c].to_numpy(int) for c in "srk")
-    x, y = got["x"].to_numpy(float), got["y"].to_numpy(float)
-    out[s, r, k] = x + (y - x) * frac[s, r, k]
+    # Drawn rows up to and including each value, until the first beyond the rank.
+    step = lambda acc, x: F.when(acc["upto"] > F.col("rank"), acc).otherwise(
+        F.struct((acc["upto"] + x["m"]).alias("upto"), x["v"].alias("v"))
+    )
+    first = F.struct(F.col("start").alias("upto"), F.lit(None).cast("double").alias("v"))
+    picked = F.aggregate(F.array_sort("held"), first, step)["v"]
+    out = np.full(a.shape, np.nan)
+    for row in rows.join(F.broadcast(targets), ["s", "r", "k"]).select("s", "r", "k", picked.alias("v")).collect():
+        out[row["s"], row["r"], row["k"]] = row["v"]
     return out
 
 
@@ -120,12 +135,13 @@ def bootstrap_table(
     p = 1 + len(used)
     # 0/1 columns are filled with 0 whatever their median is.
     spread = [j for j, zero_one in enumerate(is_binary) if not zero_one] if prepare == "median" else []
-    size = max(1, min(reps, TASK_BUDGET // max(p * p, len(pairs) * 2 * BINS, len(spread) * BINS, 1)))
+    size = max(1, min(reps, TASK_BUDGET // max(p * p, len(pairs) * 4 * BINS, len(spread) * 2 * BINS, 1)))
+    tasks = count_tasks(table)
     strategies = ["stabilized"] + (["overlap"] if overlap else []) + [f"trunc_{lo:g}_{hi:g}" for lo, hi in pairs]
     parts, methods, failed = [], [], 0
     for at in range(0, reps, size):
         batch = np.arange(at, min(at + size, reps))
-        sums = summed_vectors(table, partial(kn.moment_sums, columns=used, centre=centre, reps=batch), batch, len(batch))
+        sums = summed_vectors(table, partial(kn.moment_sums, columns=used, centre=centre, reps=batch), batch, len(batch), tasks)
         k = len(used)
         n, treated = sums[:, 0], sums[:, 1]
         seen, s1, s2 = sums[:, 2 : 2 + k], sums[:, 2 + k : 2 + 2 * k], sums[:, 2 + 2 * k :]
@@ -140,7 +156,7 @@ def bootstrap_table(
             if spread:
                 series = kn.Series([used[j] for j in spread])
                 lo, hi = (np.array([v if v is not None else 0.0 for v in (d[used[j]] for j in spread)]) for d in (prof.low, prof.high))
-                found = replicate_quantiles(table, series, batch, [0.5], lo, hi)[:, :, 0].T
+                found = replicate_quantiles(table, series, batch, [0.5], lo, hi, tasks)[:, :, 0].T
                 fill[:, spread] = np.where(np.isnan(found), 0.0, found)
             gap, lost = fill - centre, n[:, None] - seen
             total = np.maximum(n[:, None], 1.0)
@@ -149,14 +165,14 @@ def bootstrap_table(
             mean = centre + m1
         design = build_design(used, is_binary, fill, mean, sd)
         share = treated / np.maximum(n, 1.0)
-        fit = fit_designs(table, design, n, batch, BOOTSTRAP_MAX_ITER, valid, share=share)
+        fit = fit_designs(table, design, n, batch, BOOTSTRAP_MAX_ITER, valid, share=share, tasks=tasks)
         limits = np.zeros((len(batch), len(pairs), 2))
         if pairs:
             probs = [x / 100.0 for pair in pairs for x in pair]
             weight = kn.Series([], design, fit.beta, share)
             # Stabilised weights are bounded by the score clip.
             bounds = np.array([0.0]), np.array([1.0 / kn.SCORE_FLOOR])
-            limits = replicate_quantiles(table, weight, batch, probs, *bounds)[0].reshape(len(batch), len(pairs), 2)
+            limits = replicate_quantiles(table, weight, batch, probs, *bounds, tasks)[0].reshape(len(batch), len(pairs), 2)
         kernel = partial(
             kn.effect_sums, design=design, beta=fit.beta, prevalence=share, reps=batch, outcomes=names, limits=limits,
             names=["stabilized", "overlap", *[f"trunc_{lo:g}_{hi:g}" for lo, hi in pairs]], valid=valid,

@@ -11,7 +11,7 @@ from ..functions.text import flag
 from ..operators import audits as au
 from ..operators.intervals import overlap_profile, overlaps
 from ..operators.order_stats import exact_quantiles
-from ..session import shared_dir
+from ..session import shared_dir, stage_border
 from ..sources import preflight, tables
 from . import roles as ro
 from .registry import query
@@ -158,6 +158,38 @@ def window_coverage(spark, folder):
     return out.withColumn("share", F.round("share", 6))
 
 
+OBSERVED = {
+    "any": "TRUE", "late_error": "late_errors > 0", "seen_after_landmark": "last_ts > analysis_time0", "large_late_error": "large_errors > 0",
+}
+GRID_WINDOWS = {"0_3d": (0, 3), "6_9d": (6, 9), "pre9d": (0, 9)}
+
+
+@query(
+    "outcome_feasibility",
+    "Q8 Q1",
+    ro.with_sql(
+        ro.LABS_SQL, ro.USERS_SQL,
+        """seen AS (SELECT u.*, l.* EXCLUDE (subject) FROM users u JOIN (SELECT s.subject, max(charttime) AS last_ts,
+          count(*) FILTER (WHERE concept = 'error' AND charttime > analysis_time0) AS late_errors, count(*) FILTER (WHERE concept = 'error' AND valuenum > 100 AND charttime > analysis_time0) AS large_errors
+          FROM users s JOIN labs USING (subject) GROUP BY 1) l USING (subject))""",
+        "grid AS (" + " UNION ALL ".join(
+            f"""SELECT concept, '{w}' AS "window", '{o}' AS outcome, count(DISTINCT CASE WHEN {c} AND charttime >= anchor_time + INTERVAL ({lo}) DAY AND charttime <= anchor_time + INTERVAL ({hi}) DAY THEN subject END) AS k,
+            (SELECT count(*) FROM seen WHERE {c}) AS size FROM seen JOIN labs USING (subject) GROUP BY 1"""
+            for w, (lo, hi) in GRID_WINDOWS.items() for o, c in OBSERVED.items()
+        ) + ")",
+    )
+    + """SELECT concept, "window", outcome, CASE WHEN k >= 11 THEN k END AS n_entities, CASE WHEN size >= 11 THEN size END AS cohort_n, CAST(k < 11 AS INTEGER) AS suppressed FROM grid""",
+)
+def outcome_feasibility(spark, folder):
+    labs, users = ro.labs(spark, folder), ro.users(spark, folder)
+    late = (F.col("concept") == "error") & (F.col("charttime") > F.col("analysis_time0"))
+    facts = labs.join(users.select("subject", "analysis_time0"), "subject").groupBy("subject").agg(
+        F.max("charttime").alias("last_ts"), F.count_if(late).alias("late_errors"), F.count_if(late & (F.col("valuenum") > 100)).alias("large_errors")
+    )
+    seen = stage_border(users.join(facts, "subject"))
+    return au.feasibility_grid(labs, seen, "subject", "charttime", "anchor_time", "concept", GRID_WINDOWS, {o: F.expr(c) for o, c in OBSERVED.items()}, "days")
+
+
 @query(
     "parser_comparison",
     "Q6",

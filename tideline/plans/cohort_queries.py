@@ -37,8 +37,7 @@ def anchor_first_event(spark, folder):
 
 def _flow(spark, folder):
     people, meds = ro.people(spark, folder), ro.meds(spark, folder)
-    covered = co.prior_coverage(people, meds, "subject", lookback_hours=24 * 24)
-    got = co.classify_treatment(covered, meds, "subject")
+    got = co.classify_treatment(people, meds, "subject", lookback_hours=24 * 24)
     steps = {
         "customers with orders": F.lit(True),
         "positive balance": F.col("c_acctbal") > 0,
@@ -362,16 +361,11 @@ def early_late_windows(spark, folder):
 )
 def stop_fill_sensitivity(spark, folder):
     people = ro.people(spark, folder).select("subject", "decision_time", "analysis_time0")
-    out = None
-    for days in (12, 24, 48):
-        meds = ro.meds(spark, folder, days)
-        got = co.classify_treatment(co.prior_coverage(people, meds, "subject", lookback_hours=24 * 24), meds, "subject")
-        row = got.where("has_prior_coverage = 1").agg(
-            F.lit(days).alias("fill_days"), F.count("*").alias("n"), F.sum("A").alias("treated"),
-            F.count_if(F.col("deescalation_type") == lx.NARROWED).alias("narrowed"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    got = co.classify_by_fill(people, ro.meds(spark, folder), "subject", [24 * d for d in (12, 24, 48)], lookback_hours=24 * 24)
+    out = got.where("has_prior_coverage = 1").groupBy("fill_hours").agg(
+        F.count("*").alias("n"), F.sum("A").alias("treated"), F.count_if(F.col("deescalation_type") == lx.NARROWED).alias("narrowed")
+    )
+    return out.select((F.col("fill_hours") / 24).cast("int").alias("fill_days"), "n", "treated", "narrowed")
 
 
 def _groups(spark, folder, source):

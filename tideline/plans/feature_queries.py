@@ -229,27 +229,6 @@ def vital_features(spark, folder):
     )
 
 
-@query(
-    "vital_repair",
-    "C34 F9 F10",
-    ro.with_sql(ro.LABS_SQL, STAYS)
-    + f"""SELECT s.subject, round(max(CASE WHEN concept = 'click' AND {BASE} AND f BETWEEN 30 AND 45 THEN f END), 6) AS new_temp_max_pre72,
-        round(max(CASE WHEN concept = 'purchase' AND {L24} AND o BETWEEN 0.2 AND 1 THEN o END), 6) AS new_fio2_48_72h
-      FROM stays s JOIN (SELECT *, CASE WHEN event_id % 2 = 0 OR valuenum > 60 THEN (valuenum - 32.0) * 5.0 / 9.0 ELSE valuenum END AS f,
-                           CASE WHEN valuenum > 1.5 THEN valuenum / 100.0 ELSE valuenum END AS o FROM labs) l USING (subject) GROUP BY 1""",
-)
-def vital_repair(spark, folder):
-    rows = ro.labs(spark, folder).withColumns(
-        {
-            "domain": F.when(F.col("concept") == "click", "temperature").when(F.col("concept") == "purchase", "fio2").otherwise("gcs"),
-            "component": F.lit("eye"),
-            "label": F.when(F.col("event_id") % 2 == 0, "Temperature Fahrenheit").otherwise("Temperature"),
-        }
-    )
-    out = ft.repair_measures(rows, _stays(spark, folder), "subject")
-    return out.select("subject", *[F.round(c, 6).alias(c) for c in ("new_temp_max_pre72", "new_fio2_48_72h")])
-
-
 @query(
     "fluid_sums",
     "A8 C18",
@@ -536,14 +515,8 @@ def date_level_outcomes(spark, folder):
 )
 def landmark_effect(spark, folder):
     people = ro.people(spark, folder).select("subject", "decision_time", "analysis_time0")
-    meds = ro.meds(spark, folder)
-    got = classify_treatment(people, meds, "subject")
-    inside_horizon = (F.col("starttime") > F.col("analysis_time0")) & (F.col("starttime") <= clocks.plus("analysis_time0", days=60))
-    late = (
-        meds.where("source = 'F'").select("subject", "starttime").join(people.select("subject", "analysis_time0"), "subject")
-        .groupBy("subject").agg(F.max(flag(inside_horizon)).alias("y"))
-    )
-    rows = got.join(late, "subject", "left").fillna(0, subset=["y"])
+    late = (F.col("starttime") > F.col("analysis_time0")) & (F.col("starttime") <= clocks.plus("analysis_time0", days=60))
+    rows = classify_treatment(people, ro.meds(spark, folder), "subject", also={"y": (F.col("source") == "F") & late})
     out = effect_table(rows, {"y": "risk"}, {"crude": None})
     return out.withColumns({c: F.round(c, 6) for c in ("treated", "control", "difference", "ratio")})
 

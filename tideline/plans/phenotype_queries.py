@@ -105,25 +105,31 @@ def drug_group_first_match(spark, folder):
     return got.groupBy("drug_lower", "drug_group").agg(F.count("*").alias("n"))
 
 
+def _either(column: str, words) -> str:
+    return "(" + " OR ".join(f"{column} LIKE '%{w}%'" for w in words) + ")"
+
+
+def _listed(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+MAPPED_SQL = f"""lined AS (SELECT *, trim(lower(drug_name)) AS nm, trim(coalesce(drug_code, '')) AS cd, upper(trim(coalesce(drug_route, ''))) AS rt FROM drug_lines),
+judged AS (SELECT *, cd IN {_listed(lx.NON_IV_CODES)} OR {_either('nm', lx.NON_IV_NAMES)} OR rt IN {_listed(lx.NON_IV_ROUTES)} AS gone,
+  coalesce(CASE cd {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lx.CODE_TO_GROUP.items())} END,
+    CASE {" ".join(f"WHEN {_either('nm', ws)} THEN '{g}'" for g, ws in lx.GROUP_NAMES.items())} END) AS grp FROM lined),
+mapped AS (SELECT *, CASE WHEN NOT gone THEN grp END AS broad_drug_group, CAST(NOT gone AND grp IS NOT NULL AS INTEGER) AS is_broad_spectrum,
+  CAST(NOT gone AND (grp IS NOT NULL OR {_either('nm', lx.NON_BROAD_NAMES)}) AS INTEGER) AS is_systemic_antibiotic FROM judged)"""
+
+
 @query(
     "drug_mapping_counts",
     "P9 A12",
-    ro.with_sql(MEDS, GROUPED)
-    + """SELECT route_lower, coalesce(drug_group, '<none>') AS broad_drug_group, CAST(drug_group IS NOT NULL AS INTEGER) AS is_broad_spectrum,
-          CAST(drug_group IS NOT NULL OR (drug_lower LIKE '%gizmo%' AND NOT (code % 50 = 7 OR route_lower = 'inhal' OR drug_lower LIKE '%old%')) AS INTEGER) AS is_systemic_antibiotic,
-          count(*) AS n FROM grouped GROUP BY ALL""",
+    ro.with_sql(ro.DRUG_LINES_SQL, MAPPED_SQL)
+    + "SELECT drug_name, drug_route, drug_code, broad_drug_group, is_broad_spectrum, is_systemic_antibiotic, count(*) AS n FROM mapped GROUP BY ALL",
 )
 def drug_mapping_counts(spark, folder):
-    gone = (F.col("code") % 50 == 7) | (F.col("route_lower") == "inhal") | F.col("drug_lower").contains("old")
-    got = _grouped(spark, folder)
-    got = got.withColumns(
-        {
-            "broad_drug_group": F.coalesce("drug_group", F.lit("<none>")),
-            "is_broad_spectrum": F.col("drug_group").isNotNull().cast("int"),
-            "is_systemic_antibiotic": flag(~gone & (F.col("drug_group").isNotNull() | contains_any(lower_trim("drug_lower"), ("gizmo",)))),
-        }
-    )
-    return ph.mapping_counts(got, ["route_lower"])
+    rows = ph.classify_drugs(ro.drug_lines(spark, folder), "drug_code", "drug_name", "drug_route")
+    return ph.mapping_counts(rows, ["drug_name", "drug_route", "drug_code"])
 
 
 @query(

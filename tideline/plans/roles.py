@@ -228,6 +228,66 @@ units AS (
 )"""
 
 
+# Real drug names, routes and codes by the noun of the part, its return flag and its number; both engines read these.
+DRUG_NAME = """CASE split_part(lower(p_name), ' ', 2) WHEN 'ring' THEN 'Vancomycin 1 g vial' WHEN 'bolt' THEN 'Zosyn 3.375 g' WHEN 'gear' THEN 'Cefepime inj'
+  WHEN 'anvil' THEN 'ceftazidime-avibactam' WHEN 'plate' THEN 'Ceftriaxone 2 g' WHEN 'widget' THEN 'Vancomycin oral solution' WHEN 'gizmo' THEN 'Norepinephrine 4 mg' ELSE p_name END"""
+DRUG_ROUTE = "CASE l_returnflag WHEN 'R' THEN 'IV' WHEN 'A' THEN CASE WHEN l_linenumber % 3 = 0 THEN ' Oral ' ELSE 'INTRAVENOUS' END ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'INHALATION' END END"
+DRUG_CODE = "CASE p_partkey % 11 WHEN 0 THEN '11124' WHEN 1 THEN '29561' WHEN 2 THEN '313570' WHEN 3 THEN ' 33533 ' WHEN 4 THEN NULL ELSE 'x' END"
+
+
+def drug_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with a real drug name, route and code."""
+    line, order, part = (table(spark, folder, n) for n in ("lineitem", "orders", "part"))
+    rows = line.join(order.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+        part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    return rows.select(
+        F.col("o_custkey").alias("subject"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_linestatus",
+        F.expr(DRUG_NAME).alias("drug_name"), F.expr(DRUG_ROUTE).alias("drug_route"), F.expr(DRUG_CODE).alias("drug_code"),
+    )
+
+
+DRUG_LINES_SQL = f"""
+drug_lines AS (
+  SELECT o.o_custkey AS subject, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_linestatus, {DRUG_NAME} AS drug_name, {DRUG_ROUTE} AS drug_route, {DRUG_CODE} AS drug_code
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+)"""
+
+
+def date_site(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The date-level site played by customers: dates near their first order."""
+    first = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("subject")).agg(F.to_date(F.min("o_orderdate")).alias("adm"))
+    keys = [F.col("subject").cast("string").alias("PATID"), F.concat(F.lit("e"), F.col("subject").cast("string")).alias("ENCOUNTERID")]
+    n = F.col("subject")
+    day = lambda base, days: F.date_add(base, days.cast("int"))
+    lines = drug_lines(spark, folder).join(first, "subject")
+    ordered = lines.withColumn("od", day(F.col("adm"), F.col("l_orderkey") % 16))
+    begun = ordered.withColumn("sd", F.when(F.col("l_linenumber") % 3 != 0, day(F.col("od"), F.col("l_linenumber") % 3)))
+    given = lines.where("l_linestatus = 'O'").withColumn("sd", day(F.col("adm"), F.col("l_suppkey") % 8))
+    text = lambda c, name: c.cast("string").alias(name)
+    return {
+        "encounter": first.select(*keys, text(F.col("adm"), "ADMIT_DATE"), text(F.when(n % 7 != 0, day(F.col("adm"), 4 + n % 23)), "DISCHARGE_DATE")),
+        "death": first.where("subject % 6 = 0").select(keys[0], text(day(F.col("adm"), n % 45), "DEATH_DATE")),
+        "prescribing": begun.select(
+            *keys, text(F.col("od"), "RX_ORDER_DATE"), F.lit("08:30").alias("RX_ORDER_TIME"), text(F.col("sd"), "RX_START_DATE"),
+            text(F.when(F.col("l_linenumber") % 4 != 0, day(F.coalesce("sd", "od"), F.col("l_quantity") % 2)), "RX_END_DATE"),
+            F.col("drug_name").alias("RAW_RX_MED_NAME"), F.col("drug_code").alias("RXNORM_CUI"), F.col("drug_route").alias("RX_ROUTE"),
+        ),
+        "med_admin": given.select(
+            *keys, text(F.col("sd"), "MEDADMIN_START_DATE"), text(F.when(F.col("l_linenumber") % 2 == 0, day(F.col("sd"), F.lit(1))), "MEDADMIN_STOP_DATE"),
+            F.col("drug_name").alias("RAW_MEDADMIN_MED_NAME"), F.col("drug_code").alias("MEDADMIN_CODE"), F.col("drug_route").alias("MEDADMIN_ROUTE"),
+        ),
+    }
+
+
+DATE_SITE_SQL = """
+firsts AS MATERIALIZED (SELECT o_custkey AS subject, CAST(min(o_orderdate) AS DATE) AS adm FROM orders GROUP BY 1),
+encounter AS (SELECT subject, adm, CASE WHEN subject % 7 <> 0 THEN adm + CAST(4 + subject % 23 AS INTEGER) END AS dis, CASE WHEN subject % 6 = 0 THEN adm + CAST(subject % 45 AS INTEGER) END AS died FROM firsts),
+ordered AS (SELECT l.*, f.adm, adm + CAST(l_orderkey % 16 AS INTEGER) AS od FROM drug_lines l JOIN firsts f USING (subject)),
+begun AS (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN od + CAST(l_linenumber % 3 AS INTEGER) END AS sd FROM ordered),
+given AS (SELECT l.*, f.adm, adm + CAST(l_suppkey % 8 AS INTEGER) AS sd FROM drug_lines l JOIN firsts f USING (subject) WHERE l_linestatus = 'O')"""
+
+
 def stamp(c):
     """Timestamps leave the queries as text, equal in every engine."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from ..operators import cohort as co
 from ..operators import outcomes as oc
 from ..operators import phenotype as ph
 from ..operators import reports as rp
+from ..operators import sensitivity as se
 from ..operators import weighting as wt
 from ..operators.intervals import overlap_profile, overlaps
 from ..operators.points import measure, window_measures
@@ -39,6 +40,10 @@ OUTCOMES = {
 }
 
 
+#: Landmark and exposure rules of the robustness runs: the labels are fixed.
+VARIANTS = {"strict landmark, orders": ("strict", "order"), "lenient landmark, orders": ("lenient", "order"), "strict landmark, administrations": ("strict", "admin"), "lenient landmark, administrations": ("lenient", "admin")}
+
+
 @dataclass
 class DateConfig:
     """``landmark``: strict or lenient; ``exposure``: order or admin."""
@@ -92,6 +97,31 @@ def landmark_cohort(t: Mapping[str, DataFrame], rx: DataFrame, cfg: DateConfig)
     )
 
 
+#: Fixed labels of the attrition table, the arms last.
+FLOW_STEPS = (
+    "Encounters", "Broad-spectrum order within 24 h of admission", "Not discharged by the landmark", "Alive at the landmark", "De-escalated or stopped",
+    "Continued broad-spectrum",
+)
+
+
+def flow_table(raw: Mapping[str, DataFrame], cfg: DateConfig | None = None) -> DataFrame:
+    """Attrition of the cohort by nested conditions over one row per encounter, so every source is scanned once."""
+    cfg = cfg or DateConfig()
+    t = canonical_tables(raw)
+    rx = stage_border(prescriptions(t, cfg).where("is_broad"))
+    base = base_encounters(t).withColumn("admit_ts", F.col("admit_date").cast("timestamp_ntz"))
+    anchor = co.first_anchor(rx, base, KEYS, "order_ts", "admit_ts", 0, 24, closed="left", out="anchor_ts")
+    deaths = t["death"].groupBy("patid").agg(F.min(F.col("death_date").try_cast("date")).alias("death_date"))
+    rows = co.add_clocks(base.join(anchor, KEYS, "left").join(deaths, "patid", "left"), "anchor_ts")
+    rows = rows.withColumns({"decision_date": F.to_date("decision_time"), "analysis_date": F.to_date("analysis_time0")})
+    rows = order_exposure(rows, rx.withColumn("is_other", F.lit(False))) if cfg.exposure == "order" else admin_exposure(rows, t, cfg)
+    strict = cfg.landmark == "strict"
+    steps = dict(zip(FLOW_STEPS, (
+        F.lit(True), F.col("anchor_ts").isNotNull(), co.after_landmark("discharge_date", "analysis_date", strict), co.after_landmark("death_date", "analysis_date", strict),
+    )))
+    return co.attrition(rows, steps, {FLOW_STEPS[4]: F.col("A") == 1, FLOW_STEPS[5]: F.col("A") == 0})
+
+
 def order_exposure(cohort: DataFrame, rx: DataFrame) -> DataFrame:
     hit = overlaps("start_day", "end_day", "decision_date", "analysis_date", "both")
     out = overlap_profile(
@@ -195,6 +225,36 @@ def build_cohort(raw: Mapping[str, DataFrame], cfg: DateConfig | None = None) ->
     )
 
 
+def variant_cohorts(raw: Mapping[str, DataFrame], cfg: DateConfig | None = None) -> DataFrame:
+    """One table for all variants: the lenient cohort with ``is_strict``, both exposures (``A_order``, ``A_admin``) and outcomes.
+
+    The strict cohort is a part of the lenient one, so neither is built twice.
+    """
+    cfg = replace(cfg or DateConfig(), landmark="lenient")
+    t = canonical_tables(raw)
+    rx = prescriptions(t, cfg)
+    rx = stage_border(rx.where(F.col("is_broad") | F.col("is_other")).withColumn("is_any", F.col("is_broad") | F.col("is_other")))
+    cohort = landmark_cohort(t, rx, cfg)
+    strict = co.after_landmark("discharge_date", "analysis_date", True) & co.after_landmark("death_date", "analysis_date", True)
+    cohort = stage_border(cohort.withColumn("is_strict", flag(strict)))
+    both = order_exposure(cohort, rx).withColumnRenamed("A", "A_order")
+    both = admin_exposure(both, t, cfg).withColumnRenamed("A", "A_admin")
+    return stage_border(oc.date_level_outcomes(both, rx, KEYS, "analysis_date", "discharge_date", "death_date", "start_day", "end_day"))
+
+
+def robustness(
+    cohorts: DataFrame, binary: Sequence[str], continuous: Sequence[str], outcomes: Mapping[str, str] | None = None,
+    variants: Mapping[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Effects of every variant of landmark and exposure, each with its own score; ``analysis`` names the variant."""
+    rows = []
+    for label, (landmark, exposure) in (variants or VARIANTS).items():
+        part = cohorts.withColumn("A", F.col(f"A_{exposure}"))
+        w = wt.fit_weights(part.where("is_strict = 1") if landmark == "strict" else part, site_b=(binary, continuous))
+        rows.append(wt.effect_table(w.df, outcomes or OUTCOMES, {label: "SW_A"}))
+    return se.union_rows(rows)
+
+
 def results(
     cohort: DataFrame,
     cfg: DateConfig | None = None,

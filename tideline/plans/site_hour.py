@@ -21,7 +21,8 @@ from ..operators import sensitivity as se
 from ..operators import weighting as wt
 from ..operators.intervals import prepare_coverage
 from ..operators.resample import bootstrap_table, interval_table
-from ..session import stage_border
+from ..operators.several import Model
+from ..session import stage_border, stage_counted
 from ..sources.tables import semi_scan
 
 T0 = "analysis_time0"
@@ -121,88 +122,79 @@ def vasopressors(t: Mapping[str, DataFrame], cohort: DataFrame) -> DataFrame:
 
 def lab_rows(t: Mapping[str, DataFrame], cohort: DataFrame) -> DataFrame:
     items = ph.labelled_items(t["d_labitems"], "itemid", "label", lx.LAB_LABELS).select("itemid", "concept")
-    return t["labevents"].join(items, "itemid").select("hadm_id", "concept", "charttime", "valuenum")
+    rows = semi_scan(t["labevents"], cohort, "hadm_id").join(items, "itemid")
+    return rows.select("hadm_id", "concept", "charttime", "valuenum")
 
 
-def charted_rows(t: Mapping[str, DataFrame]) -> DataFrame:
+def charted_rows(t: Mapping[str, DataFrame], cohort: DataFrame) -> DataFrame:
     items = ph.concept_items(t["d_items"], "itemid", "label", {**lx.VITAL_PATTERNS, **lx.BODY_PATTERNS}).select("itemid", "concept")
-    return t["chartevents"].join(items, "itemid").select("stay_id", "concept", "charttime", "valuenum")
+    rows = semi_scan(t["chartevents"], cohort, "stay_id").join(items, "itemid")
+    return rows.select("stay_id", "concept", "charttime", "valuenum")
 
 
-def output_rows(t: Mapping[str, DataFrame]) -> DataFrame:
+def output_rows(t: Mapping[str, DataFrame], cohort: DataFrame) -> DataFrame:
     items = t["d_items"].where(F.lower(text("label")).rlike(lx.URINE_LABEL_PATTERN)).select("itemid")
-    rows = t["outputevents"].join(items, "itemid")
+    rows = semi_scan(t["outputevents"], cohort, "stay_id").join(items, "itemid")
     return rows.select("stay_id", "charttime", F.col("value").try_cast("double").alias("value_num"))
 
 
 def build_cohort(t: Mapping[str, DataFrame], cfg: HourConfig | None = None) -> dict[str, DataFrame]:
-    """Every stage of the cohort as a table: base, anchored, sampled, washed, pre_exposure, cohort.
+    """Every stage of the cohort as a table, and ``flow``, their counts, taken while they are written.
 
     Each source is scanned once; stages that several passes read are written to the shared folder.
     """
     cfg = cfg or HourConfig()
-    base = adult_stays(t)
+    n = {"n": F.count(F.lit(1))}
+    base, n_base = stage_counted(adult_stays(t), **n)
     rx = stage_border(prescriptions(t, base, cfg.stop_fill_hours))
-    started = stage_border(anchored(base, rx, cfg))
+    started, n_started = stage_counted(anchored(base, rx, cfg), **n)
     micro = stage_border(microbiology(t, started))
-    flagged = stage_border(mi.eligibility_flags(micro, started, "hadm_id"))
+    flagged, n_flagged = stage_counted(mi.eligibility_flags(micro, started, "hadm_id"), n=F.count_if(F.col("is_eligible") == 1))
     sampled = flagged.where("is_eligible = 1")
     dx = titled(semi_scan(t["diagnoses_icd"], sampled, "hadm_id"), t["d_icd_diagnoses"])
     px = titled(semi_scan(t["procedures_icd"], sampled, "hadm_id"), t["d_icd_procedures"])
     wide = ft.add_baseline_covariates(sampled, dx, px)
     wide = co.vasopressor_profile(wide, vasopressors(t, sampled), "stay_id", washout_hours=cfg.washout_hours)
-    washed = wide.where(F.col(f"vasopressor_overlap_last{cfg.washout_hours}h_pre72") == 0)
-    wide = ft.add_vital_features(ft.add_lab_features(washed, lab_rows(t, washed)), charted_rows(t))
+    washed, n_washed = stage_counted(wide.where(F.col(f"vasopressor_overlap_last{cfg.washout_hours}h_pre72") == 0), **n)
+    wide = ft.add_vital_features(ft.add_lab_features(washed, lab_rows(t, washed)), charted_rows(t, washed))
     wide = stage_border(wide)
     wide = ft.add_severity(ft.finish_baseline_vitals(ft.finish_baseline_labs(wide)))
-    pre = co.prior_coverage(wide, rx, "hadm_id", lookback_hours=cfg.coverage_lookback_hours).where("has_prior_coverage = 1")
-    out = co.classify_treatment(pre, rx, "hadm_id")
+    out = co.classify_treatment(wide, rx, "hadm_id", lookback_hours=cfg.coverage_lookback_hours).where("has_prior_coverage = 1")
     out = oc.add_mortality(out, T0, cfg.horizon_days)
     out = oc.add_hospital_free_days(out, T0, cfg.horizon_days)
     antibiotics = rx.where(F.col("is_broad") | F.col("is_any"))
     out = oc.add_treatment_burden(out, antibiotics, "hadm_id", T0, cfg.horizon_days)
     out = oc.add_near_discharge(out, T0)
-    out = ft.add_urine_features(out, output_rows(t))
+    out = ft.add_urine_features(out, output_rows(t, washed))
     out = ft.add_treatment_intensity(out, antibiotics)
     out = mi.diagnostic_intensity(micro, out, "hadm_id")
     out = stage_border(ft.add_steroids(out, rx))
     out = ft.finish_urine_features(ft.finish_vital_trajectories(ft.finish_lab_trajectories(out)))
-    out = stage_border(ft.add_organ_scores(out))
+    out, n_out = stage_counted(ft.add_organ_scores(out), **n, treated=F.count_if(F.col("A") == 1), control=F.count_if(F.col("A") == 0))
+    counts = [n_base["n"], n_started["n"], n_flagged["n"], n_washed["n"], n_out["n"], n_out["n"], n_out["treated"], n_out["control"]]
+    flow = base.sparkSession.createDataFrame([(i, step, k) for i, (step, k) in enumerate(zip(FLOW_STEPS, counts, strict=True))], "stage int, step string, n long")
     return {
         "base": base, "anchored": started, "flags": flagged, "sampled": sampled, "washed": washed, "prescriptions": rx,
-        "microbiology": micro, "cohort": out,
+        "microbiology": micro, "cohort": out, "flow": flow,
     }
 
 
-def flow_table(stages: Mapping[str, DataFrame]) -> DataFrame:
-    """Attrition counts of the stage tables, the arms last."""
-    parts = [
-        ("Adult ICU admissions with hospital data", stages["base"], None),
-        ("Early systemic IV broad-spectrum exposure; alive and hospitalized through 96 h", stages["anchored"], None),
-        ("Clinical microbiology sampled and no positive result available by 72 h", stages["sampled"], None),
-        ("No active vasopressor overlap during 66-72 h", stages["washed"], None),
-        ("Systemic IV broad-spectrum coverage during 48-72 h", stages["cohort"], None),
-        ("Final analytic cohort", stages["cohort"], None),
-        ("De-escalated/stopped", stages["cohort"], F.col("A") == 1),
-        ("Continued broad-spectrum", stages["cohort"], F.col("A") == 0),
-    ]
-    rows = [
-        (df if cond is None else df.where(cond)).agg(F.lit(i).alias("stage"), F.lit(name).alias("step"), F.count("*").alias("n"))
-        for i, (name, df, cond) in enumerate(parts)
-    ]
-    return se.union_rows(rows)
-
-
-def stop_fill_table(t: Mapping[str, DataFrame], stages: Mapping[str, DataFrame], cfg: HourConfig) -> DataFrame:
-    """Exposure rebuilt with other fills for missing stops; features stay as they are."""
-    cohort, rows = stages["cohort"], []
+#: Fixed labels of the attrition table, the arms last.
+FLOW_STEPS = (
+    "Adult ICU admissions with hospital data", "Early systemic IV broad-spectrum exposure; alive and hospitalized through 96 h",
+    "Clinical microbiology sampled and no positive result available by 72 h", "No active vasopressor overlap during 66-72 h",
+    "Systemic IV broad-spectrum coverage during 48-72 h", "Final analytic cohort", "De-escalated/stopped", "Continued broad-spectrum",
+)
+
+
+def stop_fill_table(stages: Mapping[str, DataFrame], cfg: HourConfig) -> DataFrame:
+    """Exposure rebuilt with other fills for missing stops, all of them in one join and one fit; features stay as they are."""
     drop = ["A", "has_any_systemic_72_96", "deescalation_type", "broad_overlap_hours_72_96", "has_prior_coverage"]
-    for hours in cfg.stop_fill_alternatives:
-        rx = stage_border(prescriptions(t, stages["base"], hours))
-        kept = co.prior_coverage(cohort.drop(*drop), rx, "hadm_id", lookback_hours=cfg.coverage_lookback_hours)
-        again = co.classify_treatment(kept.where("has_prior_coverage = 1"), rx, "hadm_id")
-        rows.append(se.guarded_summary(again, cfg.score_vars, f"stop fill {hours} h", "death_by_horizon"))
-    return se.union_rows(rows)
+    again = co.classify_by_fill(stages["cohort"].drop(*drop), stages["prescriptions"], "hadm_id", list(cfg.stop_fill_alternatives), cfg.coverage_lookback_hours)
+    again = again.where("has_prior_coverage = 1")
+    kinds = {f"_fill{i}": (F.col("fill_hours") == hours).cast("int") for i, hours in enumerate(cfg.stop_fill_alternatives)}
+    models = [Model.over(f"stop fill {hours} h", cfg.score_vars, rows=f"_fill{i}") for i, hours in enumerate(cfg.stop_fill_alternatives)]
+    return se.summaries(stage_border(again.withColumns(kinds)), models, "death_by_horizon", minimum_rows=0)
 
 
 def excluded_rows(stages: Mapping[str, DataFrame], limit: int = 1000) -> DataFrame:
@@ -224,14 +216,12 @@ def results(t: Mapping[str, DataFrame], stages: Mapping[str, DataFrame], cfg: Ho
     boot = stage_border(boot)
     rows_boot = se.Boot(("hadm_id",), cfg.reps, cfg.seed)
     subsets = {
-        "Narrowed/non-broad only vs continued broad": se.subtype_contrast(cohort, lx.NARROWED),
-        "Stopped all observed systemic antibiotics vs continued broad": se.subtype_contrast(cohort, lx.STOPPED),
-        "Exclude ICU/hospital discharge within 24 h after landmark": cohort.where("near_discharge_24h_after_landmark = 0"),
-        "Strict test-name culture-only": cohort.where("is_strict_eligible = 1"),
-        "Eventual culture-negative from specimens collected by 72 h": cohort.where("is_eventually_negative = 1"),
+        "Narrowed/non-broad only vs continued broad": se.subtype_contrast(lx.NARROWED),
+        "Stopped all observed systemic antibiotics vs continued broad": se.subtype_contrast(lx.STOPPED),
+        **se.named_subsets(),
     }
     return {
-        "cohort_flow": flow_table(stages),
+        "cohort_flow": stages["flow"],
         "microbiology_counts": mi.set_sizes(stages["flags"]),
         "table_one": wt.table_one(df, lx.CONTINUOUS_VARS, lx.BINARY_VARS),
         "table_one_weighted": wt.table_one(df, lx.CONTINUOUS_VARS, lx.BINARY_VARS, weight="SW_A"),
@@ -245,7 +235,7 @@ def results(t: Mapping[str, DataFrame], stages: Mapping[str, DataFrame], cfg: Ho
         "strategies": wt.strategy_table(df, vars_, weights, "death_by_horizon"),
         "progressive": se.progressive_models(cohort, cfg.models, "death_by_horizon", boot=rows_boot),
         "sensitivity": se.sensitivity_set(cohort, subsets, vars_, "death_by_horizon", boot=rows_boot),
-        "stop_fill": stop_fill_table(t, stages, cfg),
+        "stop_fill": stop_fill_table(stages, cfg),
         "durations": rp.duration_summary(df, "antibiotic_days"),
         "subtypes": rp.group_profile(cohort, "deescalation_type", {c: F.avg(c) for c in OUTCOMES}),
         "excluded_rows": excluded_rows(stages),
@@ -271,24 +261,41 @@ def repaired_cohort(t: Mapping[str, DataFrame], cohort: DataFrame) -> DataFrame:
     return stage_border(ft.repair_measures(repair_rows(t), cohort))
 
 
-def vital_ablation(repaired: DataFrame, score_vars: Sequence[str]) -> DataFrame:
-    """Eight scenarios: which vitals are corrected, which leave the score."""
+def vital_ablation(repaired: DataFrame, score_vars: Sequence[str], outcome: str = "death_by_horizon") -> DataFrame:
+    """Eight scenarios over one table: which vitals are corrected, which leave the score."""
+    both, old = ft.repaired_beside_old(repaired)
+    no_fio2 = [v for v in score_vars if not v.startswith("fio2_")]
+    no_gcs = [v for v in score_vars if not v.startswith("gcs_total_")]
+    whole = ("temperature", "gcs", "fio2")
+    # Fixed labels of the scenarios.
     spec = {
         "A_original": ((), score_vars), "B_temperature_only": (("temperature",), score_vars),
         "C_temperature_plus_gcs": (("temperature", "gcs"), score_vars), "D_temperature_plus_fio2": (("temperature", "fio2"), score_vars),
-        "E_all_corrected": (("temperature", "gcs", "fio2"), score_vars),
+        "E_all_corrected": (whole, score_vars), "F_all_corrected_exclude_fio2_ps": (whole, no_fio2),
+        "G_all_corrected_exclude_gcs_ps": (whole, no_gcs), "H_all_corrected_exclude_gcs_fio2_ps": (whole, [v for v in no_fio2 if v in no_gcs]),
     }
-    no_fio2 = [v for v in score_vars if not v.startswith("fio2_")]
-    no_gcs = [v for v in score_vars if not v.startswith("gcs_total_")]
-    whole = ("temperature", "gcs", "fio2")
-    spec |= {
-        "F_all_corrected_exclude_fio2_ps": (whole, no_fio2), "G_all_corrected_exclude_gcs_ps": (whole, no_gcs),
-        "H_all_corrected_exclude_gcs_fio2_ps": (whole, [v for v in no_fio2 if v in no_gcs]),
+    scenarios = {
+        name: ({c: kept for part, columns in old.items() if part not in parts for c, kept in columns.items()}, list(vars_)) for name, (parts, vars_) in spec.items()
+    }
+    return se.ablation(both, scenarios, outcome)
+
+
+def repair_study(
+    repaired: DataFrame, score_vars: Sequence[str], keys: Sequence[str], outcome: str = "death_by_horizon"
+) -> dict[str, DataFrame]:
+    """What a repair changed: rows and sizes of the changes, both fits side by side, the corrected cohort with its own weights.
+
+    ``repaired`` has old and ``new_`` vitals; weights of an earlier fit are replaced by those of the corrected one.
+    """
+    changes = stage_border(ft.repair_change(repaired, {c: (c, f"new_{c}") for names in ft.REPAIRED.values() for c in names}, keys))
+    both, old = ft.repaired_beside_old(repaired)
+    both = stage_border(both)
+    before = {c: kept for columns in old.values() for c, kept in columns.items()}
+    models = [Model.over("original", score_vars, before), Model.over("vital_corrected", score_vars)]
+    corrected = both.drop("ps_den", "ps_num", "SW_A", *before.values())
+    return {
+        "changed_rows": changes,
+        "change_sizes": ft.change_sizes(changes),
+        "comparison": se.summaries(both, models, outcome),
+        "weighted_cohort": wt.fit_weights(corrected, list(score_vars)).df,
     }
-    made: dict[tuple, DataFrame] = {(): repaired}
-    rows = []
-    for name, (parts, vars_) in spec.items():
-        if parts not in made:
-            made[parts] = stage_border(ft.apply_repair(repaired, parts))
-        rows.append(se.summary_row(made[parts], list(vars_), name, "death_by_horizon"))
-    return se.union_rows(rows)

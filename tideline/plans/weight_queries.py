@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..operators import audits as au
+from ..operators import outcomes as oc
 from ..operators import reports as rp
 from ..operators import sensitivity as se
 from ..operators import weighting as wt
 from ..operators.logit import mean_prepared, median_prepared, standardisation_table
 from ..operators.resample import bootstrap_table, interval_table
 from ..session import stage_border
+from . import micro_queries as mq
 from . import roles as ro
+from . import site_date as sd
 from .newton_sql import replicate_score, replicates, score
 from .registry import query
 
@@ -220,28 +224,34 @@ def top_imbalanced(spark, folder):
     return _balance(spark, folder).select("weighting", "variable", "after").orderBy(F.desc("after"), "variable", "weighting").limit(25)
 
 
+COMPARED = {("Deduplicated primary PS" if w == "SW_A" else k): w for k, w in STRATEGY.items()} | {"Quadratic PS sensitivity": "SWQ"}
+
+
 @query(
     "weighting_comparison",
-    "M26 M11 O5",
-    BALANCE_SQL.rstrip()
-    + ", eff AS ("
-    + effects_sql(STRATEGY, {"y": "risk"}, "t")
+    "M26 M11 O5 M29",
+    FITTED.rstrip() + ", " + score("units", CONT, BINS, name="wq", squares=["price"]) + ", " + TRUNC
+    + ", tq AS MATERIALIZED (SELECT t.*, q.SW_A AS SWQ FROM t JOIN (SELECT unit, SW_A FROM wq) q USING (unit))"
+    + f", bal AS ({balance_sql(COMPARED, 'tq')}), eff AS ("
+    + effects_sql(COMPARED, {"y": "risk"}, "tq")
     + "), ess AS ("
     + " UNION ALL ".join(
-        f"SELECT '{k}' AS analysis, round(pow(sum({w}) FILTER (WHERE A = 1), 2) / sum({w} * {w}) FILTER (WHERE A = 1), 4) AS ess_treated, round(pow(sum({w}) FILTER (WHERE A = 0), 2) / sum({w} * {w}) FILTER (WHERE A = 0), 4) AS ess_control, round(max({w}), 6) AS max_weight FROM t"
-        for k, w in STRATEGY.items()
+        f"SELECT '{k}' AS analysis, round(pow(sum({w}) FILTER (WHERE A = 1), 2) / sum({w} * {w}) FILTER (WHERE A = 1), 4) AS ess_treated, round(pow(sum({w}) FILTER (WHERE A = 0), 2) / sum({w} * {w}) FILTER (WHERE A = 0), 4) AS ess_control, round(max({w}), 6) AS max_weight FROM tq"
+        for k, w in COMPARED.items()
     )
-    + """) SELECT e.analysis, treated, control, difference, ratio, m.max_post_smd, CASE WHEN m.max_post_smd > 0 THEN m.worst_balanced_variable END AS worst_balanced_variable, ess_treated, ess_control, max_weight FROM eff e
+    + """) SELECT e.analysis, treated, control, difference, ratio, m.max_post_smd, CASE WHEN m.max_post_smd > 0 THEN m.worst_balanced_variable END AS worst_balanced_variable, ess_treated, ess_control, max_weight,
+      'price_copy=price, closed_copy=closed' AS pruned FROM eff e
       JOIN (SELECT weighting, max(after) AS max_post_smd, arg_max(variable, (after, variable)) AS worst_balanced_variable FROM bal WHERE variable <> 'building' GROUP BY 1) m ON m.weighting = e.analysis
       JOIN ess ON ess.analysis = e.analysis""",
 )
 def weighting_comparison(spark, folder):
-    df, weights = wt.add_strategies(_fitted(spark, folder).df)
-    out = wt.strategy_table(df, COVS, weights, "y")
+    rows = ro.units(spark, folder).withColumns({"price_copy": F.col("price"), "closed_copy": F.col("closed")})
+    out, pruned = se.weighting_comparison(rows, ["unit"], [*CONT, *BINS, "price_copy", "closed_copy"], "y", ["price"])
     digits = {"ess_treated": 4, "ess_control": 4}
     # Overlap weights balance the model columns exactly; rounding noise has no worst column.
     out = out.withColumn("worst_balanced_variable", F.when(F.round("max_post_smd", 6) > 0, F.col("worst_balanced_variable")))
-    return out.withColumns({c: F.round(c, digits.get(c, 6)) for c in out.columns if c not in ("analysis", "worst_balanced_variable")})
+    out = out.withColumns({c: F.round(c, digits.get(c, 6)) for c in out.columns if c not in ("analysis", "worst_balanced_variable")})
+    return out.withColumn("pruned", F.lit(", ".join(f"{b}={a}" for a, b in pruned)))
 
 
 def table_one_sql(w: str) -> str:
@@ -420,86 +430,91 @@ def centred(source: str) -> dict:
     }
 
 
+NEAR = "Exclude ICU/hospital discharge within 24 h after landmark"
+STRICT = "Strict test-name culture-only"
+EVENTUAL = "Eventual culture-negative from specimens collected by 72 h"
 SUBSETS = {
     "urgent_vs_rest": "SELECT * REPLACE (CAST(priority = '1-URGENT' AS INTEGER) AS A) FROM units WHERE priority <> '2-HIGH'",
     "high_vs_rest": "SELECT * REPLACE (CAST(priority = '2-HIGH' AS INTEGER) AS A) FROM units WHERE priority <> '1-URGENT'",
-    "restricted": "SELECT * FROM units WHERE building = 0",
+    NEAR: "SELECT units.* FROM units JOIN (SELECT * FROM clocks WHERE NOT last_time <= analysis_time0 + INTERVAL 24 HOUR) c ON c.subject = units.subject",
+    STRICT: "SELECT units.* FROM units JOIN (SELECT * FROM flags WHERE is_strict_sampled = 1 AND is_strict_positive_by_decision = 0) c ON c.subject = units.subject",
+    EVENTUAL: "SELECT units.* FROM units JOIN (SELECT * FROM flags WHERE is_sampled = 1 AND is_positive_eventually = 0) c ON c.subject = units.subject",
 }
+SHORT = {k: f"k{i}" for i, k in enumerate(SUBSETS)}
+CLOCKS = ro.PEOPLE_SQL.replace("people AS", "clocks AS", 1)
+
+
+def _flagged_units(spark, folder):
+    """Units with the discharge and culture flags of their customer."""
+    near = oc.add_near_discharge(ro.people(spark, folder), "analysis_time0", "last_time", "last_time").select("subject", "near_discharge_24h_after_landmark")
+    cultures = mq.two_clock_eligibility(spark, folder).select("subject", "is_strict_eligible", "is_eventually_negative")
+    return ro.units(spark, folder).join(near, "subject").join(cultures, "subject")
 
 
 @query(
     "subtype_contrasts",
     "M24 M23",
     ro.with_sql(
-        ro.UNITS_SQL, *[f"s_{k} AS MATERIALIZED ({v})" for k, v in SUBSETS.items()], *[score(f"s_{k}", CONT, BINS, name=f"w_{k}") for k in SUBSETS]
+        ro.UNITS_SQL, mq.MICRO, mq.FLAGS, CLOCKS, *[f"s_{SHORT[k]} AS MATERIALIZED ({v})" for k, v in SUBSETS.items()],
+        *[score(f"s_{SHORT[k]}", CONT, BINS, name=f"w_{SHORT[k]}") for k in SUBSETS]
     )
     + "SELECT * FROM ("
     + " UNION ALL ".join(
-        f"SELECT * REPLACE (n_treated::DOUBLE AS n_treated, n_control::DOUBLE AS n_control, n_vars_used::DOUBLE AS n_vars_used), 'ok' AS status FROM ({summary_sql(k, f'w_{k}', centred(f's_{k}'))})"
+        f"SELECT * REPLACE (n_treated::DOUBLE AS n_treated, n_control::DOUBLE AS n_control, n_vars_used::DOUBLE AS n_vars_used), 'ok' AS status FROM ({summary_sql(k, f'w_{SHORT[k]}', centred(f's_{SHORT[k]}'))})"
         for k in SUBSETS
     )
     + " UNION ALL SELECT 'tiny', NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_run' FROM units WHERE unit < 0) LEFT JOIN ("
-    + " UNION ALL ".join(intervals_sql(k, f"s_{k}", CONT, BINS) for k in SUBSETS)
+    + " UNION ALL ".join(intervals_sql(k, f"s_{SHORT[k]}", CONT, BINS) for k in SUBSETS)
     + ") USING (analysis)",
 )
 def subtype_contrasts(spark, folder):
-    u = ro.units(spark, folder)
-    recode = lambda keep, drop: u.where(F.col("priority") != drop).withColumn("A", (F.col("priority") == keep).cast("int"))
+    p = F.col("priority")
     subsets = {
-        "urgent_vs_rest": recode("1-URGENT", "2-HIGH"),
-        "high_vs_rest": recode("2-HIGH", "1-URGENT"),
-        "restricted": u.where("building = 0"),
-        "tiny": u.where("unit < 0"),
+        "urgent_vs_rest": se.Subset(p != "2-HIGH", (p == "1-URGENT").cast("int")),
+        "high_vs_rest": se.Subset(p != "1-URGENT", (p == "2-HIGH").cast("int")),
+        **se.named_subsets(),
+        "tiny": se.Subset(F.col("unit") < 0),
     }
-    out = _summary(se.sensitivity_set(u, subsets, COVS, "y", boot=se.Boot(("unit",), REPS, SEED)))
+    out = _summary(se.sensitivity_set(_flagged_units(spark, folder), subsets, COVS, "y", boot=se.Boot(("unit",), REPS, SEED)))
     return out.withColumns({c: F.col(c).cast("double") for c in ("n_treated", "n_control", "n_vars_used")})
 
 
-SWAPS = {"A_original": ("units", ["price", "balance"]), "B_price_fixed": ("fixed", ["price", "balance"]), "C_without_balance": ("fixed", ["price"])}
-
-
-@query(
-    "ablation",
-    "M31",
-    ro.with_sql(
-        ro.UNITS_SQL, "fixed AS MATERIALIZED (SELECT * REPLACE (CASE WHEN price > 300000 THEN price / 2 ELSE price END AS price) FROM units)",
-        *[score(src, cont, BINS, name=f"w_{k}") for k, (src, cont) in SWAPS.items()],
-    )
-    + " UNION ALL ".join(
-        summary_sql(k, f"w_{k}", {v: c for v, c in centred(src).items() if v in [*cont, *BINS]}) for k, (src, cont) in SWAPS.items()
-    ),
-)
-def ablation(spark, folder):
-    fix = {"price": F.when(F.col("price") > 300000, F.col("price") / 2).otherwise(F.col("price"))}
-    scenarios = {
-        "A_original": ({}, COVS), "B_price_fixed": (fix, COVS), "C_without_balance": (fix, ["price", "closed"]),
-    }
-    return _summary(se.ablation(ro.units(spark, folder), scenarios, "y"))
+_broad = f"regexp_matches(lower(drug_name), '{lx.SITE_B_BROAD_PATTERN}')"
+_systemic = f"NOT regexp_matches(lower(drug_name), '{lx.SITE_B_NON_SYSTEMIC_PATTERN}') AND upper(trim(coalesce(drug_route, ''))) NOT IN ({', '.join(repr(r) for r in lx.SITE_B_BAD_ROUTES)})"
+VARIANTS_SQL = f"""rx AS MATERIALIZED (SELECT subject, adm, od + INTERVAL 510 MINUTE AS order_ts, coalesce(sd, od) AS start_day,
+    coalesce(CASE WHEN l_linenumber % 4 <> 0 THEN coalesce(sd, od) + CAST(l_quantity % 2 AS INTEGER) END, coalesce(sd, od)) AS end_day, {_broad} AND {_systemic} AS is_broad FROM begun),
+anchors AS (SELECT subject, min(order_ts) AS anchor FROM rx WHERE is_broad AND order_ts >= adm AND order_ts < adm + INTERVAL 24 HOUR GROUP BY 1),
+landmarks AS MATERIALIZED (SELECT *, (dis IS NULL OR dis > analysis) AND (died IS NULL OR died > analysis) AS is_strict FROM (
+    SELECT e.*, anchor, anchor + INTERVAL 72 HOUR AS decision_ts, anchor + INTERVAL 96 HOUR AS analysis_ts, CAST(anchor + INTERVAL 72 HOUR AS DATE) AS decision, CAST(anchor + INTERVAL 96 HOUR AS DATE) AS analysis FROM anchors JOIN encounter e USING (subject))
+  WHERE (dis IS NULL OR dis >= analysis) AND (died IS NULL OR died >= analysis)),
+by_order AS (SELECT DISTINCT c.subject FROM landmarks c JOIN rx USING (subject) WHERE is_broad AND start_day <= analysis AND end_day >= decision),
+by_admin AS (SELECT DISTINCT c.subject FROM landmarks c JOIN given g USING (subject) WHERE {_broad} AND {_systemic} AND g.sd < analysis_ts
+    AND coalesce(CASE WHEN l_linenumber % 2 = 0 THEN g.sd + 1 END, g.sd) + INTERVAL 86399 SECOND >= decision_ts),
+variants AS MATERIALIZED (SELECT c.*, subject AS unit, CASE WHEN subject IN (SELECT subject FROM by_order) THEN 0 ELSE 1 END AS A_order, CASE WHEN subject IN (SELECT subject FROM by_admin) THEN 0 ELSE 1 END AS A_admin,
+    CASE WHEN died BETWEEN analysis AND analysis + 30 THEN 1 ELSE 0 END AS death_30d, CASE WHEN subject % 10 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS building,
+    CASE WHEN died BETWEEN analysis AND analysis + 30 THEN 0.0 ELSE 30.0 - CASE WHEN dis IS NULL THEN 0.0 ELSE least(30.0, greatest(0.0, dis - analysis)) END END::DOUBLE AS hospital_free_days_30d
+  FROM landmarks c JOIN customer ON c_custkey = subject)"""
+_variant = lambda landmark, exposure: f"(SELECT unit, A_{exposure} AS A, balance, building, death_30d, hospital_free_days_30d FROM variants{' WHERE is_strict' if landmark == 'strict' else ''})"
+_numbered = {k: (i, *v) for i, (k, v) in enumerate(sd.VARIANTS.items())}
+DATE_OUTCOMES = {"death_30d": "risk", "hospital_free_days_30d": "mean"}
 
 
 @query(
     "robustness_variants",
     "M27",
     ro.with_sql(
-        ro.UNITS_SQL,
-        "s_base AS MATERIALIZED (SELECT * FROM units WHERE start > TIMESTAMP '1996-01-01')",
-        "s_lenient AS MATERIALIZED (SELECT * FROM units WHERE start >= TIMESTAMP '1995-06-01')",
-        "s_admin AS MATERIALIZED (SELECT * REPLACE (1 - building AS A) FROM units WHERE start > TIMESTAMP '1996-01-01')",
-        *[score(f"s_{k}", CONT, BINS, name=f"w_{k}", fill="median") for k in ("base", "lenient", "admin")],
+        ro.DRUG_LINES_SQL, ro.DATE_SITE_SQL, VARIANTS_SQL, *[f"v{i} AS MATERIALIZED {_variant(mark, by)}" for i, mark, by in _numbered.values()],
+        *[score(f"v{i}", ["balance"], ["building"], name=f"wv{i}", fill="median") for i, *_ in _numbered.values()],
     )
-    + " UNION ALL ".join(effects_sql({k: "SW_A"}, {"y": "risk", "yc": "mean"}, f"w_{k}") for k in ("base", "lenient", "admin")),
+    + " UNION ALL ".join(effects_sql({k: "SW_A"}, DATE_OUTCOMES, f"wv{i}") for k, (i, *_) in _numbered.items()),
 )
 def robustness_variants(spark, folder):
-    u = ro.units(spark, folder)
-    strict = u.where("start > timestamp_ntz'1996-01-01'")
-    variants = {
-        "base": strict, "lenient": u.where("start >= timestamp_ntz'1995-06-01'"), "admin": strict.withColumn("A", 1 - F.col("building"))
-    }
-    rows = []
-    for label, df in variants.items():
-        w = wt.fit_weights(stage_border(df), site_b=(BINS, CONT))
-        rows.append(wt.effect_table(w.df, {"y": "risk", "yc": "mean"}, {label: "SW_A"}))
-    return se.union_rows(rows).withColumns({c: F.round(c, 6) for c in EFFECT_COLS})
+    cust = ro.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("patid"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).alias("balance"),
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"),
+    )
+    cohorts = stage_border(sd.variant_cohorts(ro.date_site(spark, folder)).join(cust, "patid"))
+    return sd.robustness(cohorts, ["building"], ["balance"], DATE_OUTCOMES).withColumns({c: F.round(c, 6) for c in EFFECT_COLS})
 
 
 # ---- bootstrap ----
@@ -564,6 +579,17 @@ def bootstrap_median_fill(spark, folder):
     return _rounded_boot(_boot(spark, folder, prepare="median", binary=BINS))
 
 
+@query(
+    "bootstrap_median_strategies",
+    "M20 M19",
+    ro.with_sql(ro.UNITS_SQL, replicates("units", "unit", SEED, REPS), replicate_score("units", CONT, BINS, SEED, REPS, fill="median")).rstrip() + BOOT_T
+    + "\nSELECT rep, analysis, outcome, kind, round(treated, 6) AS treated, round(control, 6) AS control, round(difference, 6) AS difference, round(ratio, 6) AS ratio FROM ("
+    + boot_sql(BOOT_W, {"y": "risk", "yc": "mean"}, "v") + ")",
+)
+def bootstrap_median_strategies(spark, folder):
+    return _rounded_boot(_boot(spark, folder, prepare="median", binary=BINS, pairs=((1.0, 99.0), (2.5, 97.5)), overlap=True))
+
+
 @query(
     "bootstrap_ci",
     "M21 M17",
@@ -647,21 +673,29 @@ def outcome_summary(spark, folder):
     return out.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
-GATE = {"n_treated": ("n_treated", ">=", 1000.0), "max_weight": ("max_weight", "<=", 50.0), "min_score": ("ps_min", ">=", 0.5)}
+GATES = {"design": au.GateLimits(), "tight": au.GateLimits(rows=10**9, arm=10**9, smd=0.0, weight=1.0, success=1.01)}
+_gate = lambda tag, g: f"""SELECT '{tag}' AS limits, rule, severity, observed, bound, CAST(CASE WHEN rule IN ('max_post_smd', 'max_weight', 'non_finite_weights') THEN observed <= bound ELSE observed >= bound END AS INTEGER) AS passes FROM (
+  SELECT 'n' AS rule, 'warning' AS severity, n::DOUBLE AS observed, {float(g.rows)}::DOUBLE AS bound FROM gate_facts UNION ALL SELECT 'n_treated', 'error', n_treated, {float(g.arm)} FROM gate_facts
+  UNION ALL SELECT 'n_control', 'error', n_control, {float(g.arm)} FROM gate_facts UNION ALL SELECT 'max_weight', 'warning', round(max_weight, 6), {g.weight} FROM gate_facts
+  UNION ALL SELECT 'non_finite_weights', 'error', bad, 0.0 FROM gate_facts UNION ALL SELECT 'max_post_smd', 'error', (SELECT max(after) FROM bal WHERE weighting = 'Primary stabilized IPTW'), {g.smd}
+  UNION ALL SELECT 'bootstrap_success', 'warning', (SELECT min(k) / max(k) FROM gate_boot), {g.success})"""
 
 
 @query(
     "run_gate",
     "Q20",
-    FITTED
-    + """, f AS (SELECT count(*) FILTER (WHERE A = 1) AS n_treated, max(SW_A) AS max_weight, min(ps_den) AS ps_min FROM w)
-      SELECT 'n_treated' AS rule, n_treated::DOUBLE AS observed, 1000.0::DOUBLE AS bound, CAST(n_treated >= 1000 AS INTEGER) AS passes FROM f
-      UNION ALL SELECT 'max_weight', round(max_weight, 6), 50.0, CAST(max_weight <= 50 AS INTEGER) FROM f UNION ALL SELECT 'min_score', round(ps_min, 6), 0.5, CAST(ps_min >= 0.5 AS INTEGER) FROM f""",
+    "WITH gate_boot AS MATERIALIZED (SELECT outcome, count(difference) AS k FROM ("
+    + BOOT + boot_sql({"stabilized": "SW_A"}, {"y": "risk", "yc": "mean"}, "w") + ") GROUP BY 1),\n"
+    + BALANCE_SQL.removeprefix("WITH ").rstrip()
+    + ", gate_facts AS MATERIALIZED (SELECT count(*) AS n, count(*) FILTER (WHERE A = 1) AS n_treated, count(*) FILTER (WHERE A = 0) AS n_control, max(SW_A) AS max_weight, count(*) FILTER (WHERE NOT isfinite(SW_A)) AS bad FROM w)\n"
+    + " UNION ALL ".join(_gate(tag, g) for tag, g in GATES.items()),
 )
 def run_gate(spark, folder):
-    df = _fitted(spark, folder).df
-    facts = df.agg(F.count_if(F.col("A") == 1).alias("n_treated"), F.max("SW_A").alias("max_weight"), F.min("ps_den").alias("ps_min"))
-    return au.run_gate(facts, GATE).withColumn("observed", F.round("observed", 6))
+    df = stage_border(_fitted(spark, folder).df)
+    balance = stage_border(wt.balance_table(df, [*COVS, "building"]))
+    intervals = stage_border(interval_table(_boot(spark, folder), REPS))
+    rows = [au.study_gate(df, balance, intervals, g).withColumn("limits", F.lit(tag)) for tag, g in GATES.items()]
+    return se.union_rows(rows).withColumn("observed", F.round("observed", 6))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Hot entities: AQE splits an oversized join partition by map output, so copies of one row
 # are split too.  Forcing it allows the extra shuffle between the split join and the
@@ -68,3 +68,10 @@ def stage_border(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stage_border`` with aggregates of the rows taken while they are written (no scan of their own)."""
+    seen = Observation()
+    out = stage_border(df.observe(seen, *[c.alias(k) for k, c in counts.items()]))
+    return out, seen.get
