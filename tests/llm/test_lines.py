@@ -32,7 +32,7 @@ def brute(docs):
         const = {}
         for at in range(L.DEPTH, leaf[0]):
             n, token = max((n, t) for t, n in Counter(m[at] for m in members).items())
-            if 2 * n >= len(members):
+            if 2 * n >= len(members) and n >= 2:
                 const[at] = token
         for m in members:
             if sum(m[at] == t for at, t in const.items()) >= L.AGREEMENT * (leaf[0] - L.DEPTH):
@@ -89,3 +89,10 @@ def test_edges(spark):
 def test_line_repeated_in_one_document_stays(spark):
     df = spark.createDataFrame([(1, "a b c d e f g\na b c d e f g\nother line"), (2, "x")], "doc_id long, text string")
     assert {r["n_dropped"] for r in L.drop_recurring(df).collect()} == {0}
+
+
+def test_two_lines_that_share_little_stay_apart(spark):
+    """In a leaf of two lines a token of one of them alone is no constant."""
+    docs = [(1, "alpha beta gamma delta x zq zr aq ar"), (2, "alpha beta gamma delta x aq ar zq zr"), (3, "one two three four a b c d e"), (4, "one two three four a b c d f")]
+    got = {r["doc_id"]: r["text"] for r in L.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[2] == docs[1][1] and got[4] == ""

@@ -2,7 +2,7 @@
 
 A line is parsed at fixed depth: first by its number of tokens, then by its leading tokens.  Tokens with a digit are
 variable fields.  In a leaf with several different lines, a position behind the leading tokens is constant if one token
-stands there in at least half of the leaf's lines, else variable; lines that agree with enough of these constants share
+stands there in at least half of the leaf's lines and in two of them at least, else variable; lines that agree with enough of these constants share
 the leaf's template, every other line is a template of its own.  A template that occurs in several documents is dropped
 everywhere but at its first occurrence (least id, then row, then line).
 
@@ -57,7 +57,7 @@ def recurring_lines(
     different = stage(wide.join(small(mixed, 32), "leaf", "left_semi").groupBy("leaf", "k1", "k2").agg(F.first("tail").alias("tail")))
     counted = different.select("leaf", F.posexplode("tail").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("c"))
     best = counted.groupBy("leaf", "at").agg(F.max(F.struct("c", "token")).alias("best"))
-    const = best.join(mixed, "leaf").select("leaf", "at", F.when(2 * F.col("best.c") >= F.col("lines"), F.col("best.token")).alias("token"))
+    const = best.join(mixed, "leaf").select("leaf", "at", F.when((2 * F.col("best.c") >= F.col("lines")) & (F.col("best.c") >= 2), F.col("best.token")).alias("token"))
     whole = const.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("all")).select("leaf", F.col("all.token").alias("template"))
     agree = F.aggregate(F.zip_with("tail", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     # Templates of the tree: the lines that agree with the constants of their leaf.

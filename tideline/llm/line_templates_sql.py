@@ -22,7 +22,7 @@ t_best AS (
   SELECT n, lead, lines, spot, token, c FROM t_counted
   QUALIFY row_number() OVER (PARTITION BY n, lead, spot ORDER BY c DESC, token DESC) = 1
 ),
-t_const AS (SELECT n, lead, spot, token FROM t_best WHERE 2 * c >= lines),
+t_const AS (SELECT n, lead, spot, token FROM t_best WHERE 2 * c >= lines AND c >= 2),
 t_general AS (
   SELECT d.n, d.lead, d.parts FROM t_different d JOIN t_const k ON d.n = k.n AND d.lead = k.lead AND d.parts[k.spot] = k.token
   GROUP BY d.n, d.lead, d.parts HAVING count(*) >= {AGREEMENT} * (d.n - {DEPTH})
