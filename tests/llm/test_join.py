@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tideline.llm import count_tree, ngram_join
+from tideline.llm import count_tree, meeting_cells, ngram_join
 
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,12 +73,12 @@ def test_components_match_brute_force(spark):
 
 
 def test_cells_of_large_groups_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 12)
+    monkeypatch.setattr(meeting_cells, "BLOCK_ROWS", 12)
     docs = crowd(90)
     assert found(spark, docs) == brute(docs)
     # Blocks by the elements held, not by rows.
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 10**6)
-    monkeypatch.setattr(ngram_join, "BLOCK_MARKS", 900)
+    monkeypatch.setattr(meeting_cells, "BLOCK_ROWS", 10**6)
+    monkeypatch.setattr(meeting_cells, "BLOCK_MARKS", 900)
     assert found(spark, docs) == brute(docs)
 
 

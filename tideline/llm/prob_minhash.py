@@ -2,16 +2,13 @@
 
 1. Each document gets a content key (its words in order) and ProbMinHash bands of its distinct five-word shingles.
    Documents with one content key are copies; only one of them goes on.
-2. Contents that share a band key are candidates.  Within a bucket every content meets one pivot P, the one with the
-   fewest shingles, and the pair is verified by the Jaccard similarity of the whole shingle sets.  Contents linked to P
-   are one class.
-3. A content Y that is not linked to P may still be linked to another content M of the bucket.  Y and M share at most
-   |Y and P| shingles of P, and M has at least as many shingles as P; so a linked Y and M share a certain number of
-   shingles that P lacks.  Pairs are therefore sought by those shingles alone, of which near copies have few, and of
-   them only a prefix in a common order (as many as could all be missing but one).  No pair is tried without one.
-4. These pairs are verified too; links give connected components.
+2. Contents that share a band key and can be of linked sizes meet.  Those whose sets the bound by count vectors leaves
+   together make families (``meeting_cells``).
+3. The whole sets of a family's members are verified by their Jaccard similarity; a content that is already connected to
+   another is not compared with it, so a crowd of near copies costs a spanning forest of links, never all pairs.
+4. Links give connected components.
 
-So a group of copies costs one comparison per content and pivot, and no linked pair of a bucket is lost.
+No linked pair of a bucket is lost, and a family may add links that no bucket held.
 
 Defined cases: null and empty texts are copies of each other; other texts without words are copies if equal; a text of
 fewer than five words is one shingle; a row with a null id is a document as any other, classes take the least id that is
@@ -29,43 +26,44 @@ from pyspark.sql import functions as F
 
 from . import prob_sketch
 from .common import row_key, small, stage
+from .meeting_cells import distinct_meetings, family_links, met_links
 from .textkit import plain_word_keys
 
+#: Modules that tasks need.
+SHIPPED = ("textkit", "count_tree", "meeting_cells", "prob_sketch", "prob_minhash")
 SIMILARITY = 0.8
 #: Characters whose documents a task sketches at once.
 SKETCH_CHARS = 1_500_000
 
 
 def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, row, content, bands, size) of every row."""
+    """(doc, row, content, bands, size, point) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held = batch["text"].str.len().fillna(0).cumsum() // SKETCH_CHARS
             for _, part in batch.groupby(held, sort=False):
-                contents, bands, sizes = prob_sketch.sketch(part["text"].tolist())
-                yield pd.DataFrame({"doc": part["doc"], "row": part["row"], "content": contents, "bands": bands, "size": sizes})
+                contents, bands, sizes, points = prob_sketch.sketch(part["text"].tolist())
+                yield pd.DataFrame({"doc": part["doc"], "row": part["row"], "content": contents, "bands": bands, "size": sizes, "point": points})
 
     cols = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    return cols.mapInPandas(run, f"doc {docs.schema[doc].dataType.simpleString()}, row long, content binary, bands array<long>, size long")
+    return cols.mapInPandas(run, f"doc {docs.schema[doc].dataType.simpleString()}, row long, content binary, bands array<long>, size long, point binary")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
-    """(content, marks) of the wanted (row, content): the rows are found again in the table by their key."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """(set, marks) of the wanted (row, set): the rows are found again in the table by their key, contents by their name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = batch["text"].str.len().fillna(0).cumsum() // SKETCH_CHARS
-            for _, part in batch.groupby(held, sort=False):
-                rows = []
-                for content, t in zip(part["content"], part["text"], strict=True):
-                    keys = plain_word_keys(t)
-                    if prob_sketch.content_key(t, keys) == bytes(content):
-                        rows.append((content, prob_sketch.distinct(keys).view(np.int64)))
-                yield pd.DataFrame(rows, columns=["content", "marks"])
+            rows = []
+            for content, t in zip(batch["set"], batch["text"], strict=True):
+                keys = plain_word_keys(t)
+                if prob_sketch.content_key(t, keys) == bytes(content):
+                    rows.append((content, prob_sketch.distinct(keys).tobytes()))
+            yield pd.DataFrame(rows, columns=["set", "marks"])
 
     texts = docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    return texts.join(wanted, "row").select("content", "text").mapInPandas(run, "content binary, marks array<long>")
+    return texts.join(small(wanted, 100), "row").select("set", "text").mapInPandas(run, "set binary, marks binary").dropDuplicates(["set"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -88,34 +86,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sketched: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
     """Verified links (a, b) between contents; they connect all contents that linked pairs within buckets connect."""
-    contents = sketched.groupBy("content").agg(F.min(F.struct("row", "size", "bands")).alias("one")).select("content", "one.*")
-    members = stage(contents.where("bands is not null").select("content", "row", "size", F.explode("bands").alias("bucket")))
-    pivots = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("size", "content")).alias("pivot")).where("n > 1")
-    members = stage(members.join(pivots, "bucket").select("content", "row", F.col("pivot.content").alias("pivot")).distinct())
-    sets = shingle_sets(docs, members.select("row", "content").distinct(), doc, text)
-    # Rows equal in id and text are found again under one key: then one set of a content stands for all.
-    repeated = not sketched.groupBy("row").count().where("count > 1").isEmpty()
-    texts = stage(sets.dropDuplicates(["content"]) if repeated else sets)
-    one = texts.select(F.col("content").alias("a"), F.col("marks").alias("x"))
-    two = texts.select(F.col("content").alias("b"), F.col("marks").alias("y"))
-
-    pairs = members.where("content <> pivot").select(F.col("content").alias("a"), F.col("pivot").alias("b"))
-    shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    # Shingles outside the pivot that a linked pair of its bucket must share at least; none if the pivot is linked.
-    owed = F.ceil(similarity / (1.0 + similarity) * both - F.col("shared") - 1e-9)
-    met = pairs.join(one, "a").join(two, "b").withColumn("shared", shared).withColumn("linked", F.col("shared") >= similarity * (both - F.col("shared")))
-    rest = F.array_except("x", "y")
-    # Marks stand in one order in every set, so a prefix of the rest is a prefix in the common order.
-    first = F.when(F.col("linked"), rest).otherwise(F.slice(rest, 1, F.greatest(F.size(rest) - F.greatest(owed, F.lit(1)) + 1, F.lit(0)).cast("int")))
-    met = stage(met.select("a", "b", "linked", first.alias("rest")))
-    near = met.where("linked").select("a", "b")
-
-    unsettled = met.where("not linked").select("b").distinct()
-    spread = stage(met.join(unsettled, "b", "left_semi").select("a", "b", "linked", F.explode("rest").alias("mark")).select("a", "linked", F.xxhash64("b", "mark").alias("key")))
-    outside = spread.where("not linked").select("key", F.col("a").alias("o"))
-    found = outside.join(spread, "key").where("o <> a").select(F.least("o", "a").alias("a"), F.greatest("o", "a").alias("b")).distinct()
-    again = stage(found).join(one, "a").join(two, "b").where(shared >= similarity * (both - shared)).select("a", "b")
-    return near.unionByName(again)
+    percent = round(100 * similarity)
+    one = sketched.where("bands is not null").groupBy("content").agg(F.min(F.struct("row", "size", "bands", "point")).alias("one"))
+    contents = stage(one.select(F.col("content").alias("set"), "one.*"))
+    rows = distinct_meetings(contents.select("set", "size", F.explode("bands").alias("key")), percent)
+    families = components(met_links(rows, contents.select("set", "point"), percent))
+    members = families.select(F.col("node").alias("set"), F.hex("label").alias("family"))
+    members = stage(members.join(contents.select("set", "row", "size", "point"), "set"))
+    return family_links(members, whole_sets(docs, members.select("row", "set"), doc, text), percent)
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 
+from .count_tree import point
 from .textkit import SHINGLE_WORDS, code_points, mix, plain_word_keys, shingles, uniform
 
 BANDS, ROWS = 25, 5
@@ -58,8 +59,8 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], list[np.ndarray | None], list[int]]:
-    """Content keys, band keys and numbers of distinct shingles of a few documents; no bands for a text without words."""
+def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], list[np.ndarray | None], list[int], list[bytes | None]]:
+    """Content keys, band keys, numbers and points of distinct shingles of a few documents; no bands and point without words."""
     contents, parts, who, sizes = [], [], [], [0] * len(texts)
     for i, t in enumerate(texts):
         keys = plain_word_keys(t)
@@ -69,9 +70,12 @@ def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tup
             who.append(i)
             sizes[i] = len(parts[-1])
     found: list[np.ndarray | None] = [None] * len(texts)
+    points: list[bytes | None] = [None] * len(texts)
     if parts:
         doc = np.repeat(np.arange(len(parts)), [len(m) for m in parts])
         sign = signatures(np.concatenate(parts), np.ones(len(doc)), doc, len(parts), bands * rows)
         for i, b in zip(who, band_keys(sign, bands), strict=True):
             found[i] = b
-    return contents, found, sizes
+        for i, marks in zip(who, parts, strict=True):
+            points[i] = point(marks)
+    return contents, found, sizes, points

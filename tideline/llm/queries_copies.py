@@ -20,7 +20,7 @@ def op1_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op5_prob_minhash")
 def op5_prob_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document; the class id is the least document id in it."""
-    ship(spark, "textkit", "prob_sketch", "prob_minhash")
+    ship(spark, *prob_minhash.SHIPPED)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return prob_minhash.near_duplicates(docs).select("doc_id", "class_id", "kept")
 
@@ -57,6 +57,6 @@ FROM said LEFT JOIN sizes USING (doc_id)
 @llm_query("op13_ngram_join", JOIN_SQL)
 def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of three-word shingles."""
-    ship(spark, "textkit", "count_tree", "prob_minhash", "prob_sketch", "ngram_join")
+    ship(spark, *prob_minhash.SHIPPED, "ngram_join")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return ngram_join.similar(docs).select("doc_id", "n_shingles", "component_id")
