@@ -10,7 +10,9 @@ from tools.check import TABLES, canonical
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "anchor_first_event", "treatment_classes", "two_clock_eligibility", "linkage_rules", "lab_trajectory_features", "touched_days",
-    "decode_time_fields", "iptw_logit", "bootstrap_strategies", "item_summary",
+    "decode_time_fields", "iptw_logit", "bootstrap_strategies", "item_summary", "bootstrap_median_strategies", "subtype_contrasts", "weighting_comparison",
+    "vital_repair", "vital_change", "run_gate", "robustness_variants", "drug_mapping_counts", "outcome_feasibility", "date_site_bundle", "date_site_flow",
+    "category_flags",
 ]
 
 
@@ -73,3 +75,12 @@ def test_hot_entity_join_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["attrition_flow", "stop_fill_sensitivity", "landmark_effect", "overlap_hours_agents"])
+def test_one_scan_of_the_facts_and_no_expand(spark, name):
+    """However many windows, fills and counts a query has, the interval source is read and joined once."""
+    plan = catalog.QUERIES[name].build(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line and "l_orderkey" in line]
+    assert len(scans) == 1, plan
+    assert "Expand" not in plan

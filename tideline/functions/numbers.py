@@ -102,14 +102,6 @@ def body_mass_index(weight_kg: Column | str, height: Column | str) -> Column:
     return F.try_divide(col(weight_kg), F.pow(col(height) / 100.0, F.lit(2.0)))
 
 
-def logistic(c: Column | str) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-clip(c, -35.0, 35.0)))
-
-
-def ratio(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def finite(c: Column | str) -> Column:
     """NaN and infinities become null."""
     x = col(c).cast("double")

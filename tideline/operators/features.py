@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clocks
 from ..functions import lexicon as lx
 from ..functions import numbers as nb
-from ..functions.text import collapse_spaces, flag, text
+from ..functions.text import col, collapse_spaces, flag, text
 from .cohort import with_flag_from
 from .intervals import clipped_hours, overlap_profile, overlaps
 from .order_stats import column_medians
@@ -41,6 +41,13 @@ def late_window(ts: str, decision: str, hours: int = 24) -> Column:
     return inside(ts, clocks.plus(decision, hours=-hours), decision)
 
 
+def category_flags(unit: Column | str = "first_careunit", race: Column | str = "race", gender: Column | str = "gender") -> dict[str, Column]:
+    """0/1 flags by parts of the care unit's name (not exclusive), race and sex; a missing text has none."""
+    where = F.lower(text(unit))
+    flags = {"sex_male": col(gender) == "M", "race_white": F.lower(text(race)).contains("white")}
+    return {k: flag(c) for k, c in (flags | {k: where.rlike(p) for k, p in lx.CARE_UNITS.items()}).items()}
+
+
 def add_baseline_covariates(cohort: DataFrame, diagnoses: DataFrame, procedures: DataFrame, on: str = "hadm_id") -> DataFrame:
     """Demographics, care-unit flags and title flags.  Title flags are not limited in time."""
     title = text("long_title_lower")
@@ -52,16 +59,13 @@ def add_baseline_covariates(cohort: DataFrame, diagnoses: DataFrame, procedures:
     vented = procedures.where(title.rlike(lx.VENTILATION_TITLES))
     names = ["comorb", "heart_failure", "chronic_kidney"]
     out = with_flag_from(cohort.join(dx, on, "left").fillna(0, subset=names), vented, on, "vent_proc")
-    unit = F.lower(text("first_careunit"))
     waited = nb.clip(clocks.hours_between("admittime", "intime"), -24.0, 24.0 * 30)
     return out.withColumns(
         {
             "age": F.col("anchor_age").cast("double"),
-            "sex_male": flag(F.col("gender") == "M"),
-            "race_white": flag(F.lower(text("race")).contains("white")),
             "hours_admit_to_icu": F.coalesce(waited, F.lit(0.0)),
         }
-        | {k: flag(unit.rlike(p)) for k, p in lx.CARE_UNITS.items()}
+        | category_flags()
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import contains_any, flag, icd_normalised, lower_trim
+from ..functions.text import flag, icd_normalised
 from ..operators import audits as au
+from ..operators import features as ft
 from ..operators import phenotype as ph
 from . import roles as ro
 from .registry import query
@@ -245,19 +246,24 @@ def name_include_exclude(spark, folder):
     return ro.table(spark, folder, "part").groupBy("p_type").agg(F.count_if(keep).alias("n_kept"), F.count("*").alias("n"))
 
 
+# Care unit, race and sex of an order; both engines read these.
+UNIT_CASE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'Medical/Surgical ICU' WHEN '2-HIGH' THEN 'Coronary Care Unit' WHEN '3-MEDIUM' THEN 'Neuro Surgical ICU' WHEN '4-NOT SPECIFIED' THEN 'Cardiac Vascular' END"
+RACE_CASE = "CASE o_custkey % 4 WHEN 0 THEN 'WHITE - OTHER' WHEN 1 THEN 'Black' WHEN 2 THEN 'white' END"
+SEX_CASE = "CASE o_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END"
+_unit_flag = lambda p: f"CASE WHEN regexp_matches(lower(unit), '{p}') THEN 1 ELSE 0 END"
+
+
 @query(
     "category_flags",
     "P16",
-    """SELECT o_orderpriority, max(CASE WHEN lower(o_orderpriority) LIKE '%high%' THEN 1 ELSE 0 END) AS is_high,
-         max(CASE WHEN regexp_matches(lower(o_orderpriority), 'urgent|high') THEN 1 ELSE 0 END) AS is_hot,
-         max(CASE WHEN regexp_matches(lower(o_orderpriority), 'specified|low') THEN 1 ELSE 0 END) AS is_cold, count(*) AS n
-       FROM orders GROUP BY 1""",
+    f"""SELECT unit, race, sex, CASE WHEN sex = 'M' THEN 1 ELSE 0 END AS sex_male, CASE WHEN lower(race) LIKE '%white%' THEN 1 ELSE 0 END AS race_white,
+         {", ".join(f"{_unit_flag(p)} AS {k}" for k, p in lx.CARE_UNITS.items())}, count(*) AS n
+       FROM (SELECT {UNIT_CASE} AS unit, {RACE_CASE} AS race, {SEX_CASE} AS sex FROM orders) GROUP BY ALL""",
 )
 def category_flags(spark, folder):
-    name = F.lower(F.coalesce("o_orderpriority", F.lit("")))
-    flags = {"is_high": name.contains("high"), "is_hot": name.rlike("urgent|high"), "is_cold": name.rlike("specified|low")}
-    order = ro.table(spark, folder, "orders")
-    return order.groupBy("o_orderpriority").agg(*[F.max(flag(c)).alias(k) for k, c in flags.items()], F.count("*").alias("n"))
+    rows = ro.table(spark, folder, "orders").select(F.expr(UNIT_CASE).alias("unit"), F.expr(RACE_CASE).alias("race"), F.expr(SEX_CASE).alias("sex"))
+    flags = ft.category_flags("unit", "race", "sex")
+    return rows.withColumns(flags).groupBy("unit", "race", "sex", *flags).agg(F.count("*").alias("n"))
 
 
 @query(
