@@ -2,9 +2,9 @@
 
 A line is parsed at fixed depth: first by its number of tokens, then by its leading tokens.  Tokens with a digit are
 variable fields.  In a leaf with several different lines, a position behind the leading tokens is constant if one token
-stands there in at least half of the leaf's lines and in two of them at least, else variable; lines that agree with enough of these constants share
-the leaf's template, every other line is a template of its own.  A template that occurs in several documents is dropped
-everywhere but at its first occurrence (least id, then row, then line).
+stands there in at least half of the leaf's lines and in two of them at least, else variable; lines that agree with
+enough of these constants share the leaf's template, every other line is a template of its own.  A template that occurs
+in several documents is dropped everywhere but at its first occurrence (least id, then row, then line).
 
 Only lines of leaves with different lines are cut into token rows, and each different line once, so a line that stands
 in a third of all documents is one row by then.

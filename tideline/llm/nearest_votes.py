@@ -28,8 +28,14 @@ THRESHOLD = 0.5
 RESULT = "score double, predicted int, evidence array<struct<doc_id:long,cosine:double,share:double>>"
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, doc: str = "doc_id", text: str = "text") -> vote_index.VoteModel:
-    """Learns from about ``per_label`` rows of each class; only they reach the driver, as keys and counts of their terms."""
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, doc: str = "doc_id", text: str = "text",
+    calibrated: int = vote_index.CALIBRATED,
+) -> vote_index.VoteModel:
+    """Learns from about ``per_label`` rows of each class; only they reach the driver, as keys and counts of their terms.
+
+    ``calibrated`` of them choose the number of voters and calibrate the votes.
+    """
     sample = stage(labelled_sample(docs, labels, label, per_label, doc, text))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
         total += weight
         examples.append((who, which, np.frombuffer(times, f"u{len(times) // max(len(which), 1) or 1}"), label, weight))
     idf = 1.0 + np.log((1.0 + total) / (1.0 + seen))
-    return vote_index.VoteModel(terms, idf, examples)
+    return vote_index.VoteModel(terms, idf, examples, calibrated).forget()
 
 
 def score(docs: DataFrame, model: vote_index.VoteModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

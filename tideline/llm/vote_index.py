@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -17,6 +18,8 @@ TOGETHER = 64
 #: Examples that may vote, and the numbers of voters that leave-one-out votes choose from.
 NEIGHBOURS = 15
 VOTERS = (3, 5, 8, 11, NEIGHBOURS)
+#: Examples whose leave-one-out votes choose the number of voters and calibrate, drawn by their ids.
+CALIBRATED = 2_000
 #: Added to the cosine distance before it is inverted to a vote's weight.
 SOFTEN = 0.05
 
@@ -44,8 +47,11 @@ def unit(which: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
 class VoteIndex:
     """Distinct vectors as postings by term; the commonest terms as dense rows, since nearly every text meets them."""
 
-    def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray, float, float, int]]) -> None:
-        """vectors: term positions, weights, weight of label 1, weight of label 0, example id; sorted by it."""
+    def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray, float, float, int]], weights: Callable | None = None) -> None:
+        """vectors: term positions, weights, weight of label 1, weight of label 0, example id; sorted by it.
+
+        ``weights`` turns positions and the second entry into weights, so that they need not exist for all vectors at once.
+        """
         self.vectors = sorted(vectors, key=lambda v: v[4])
         self.n = len(self.vectors)
         self.yes = np.array([v[2] for v in self.vectors])
@@ -61,9 +67,10 @@ class VoteIndex:
         self.dense = np.zeros((len(common), self.n))
         held[common] = 0
         self.start = np.concatenate([[0], np.cumsum(held)])
-        self.who, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
+        self.who, self.weight = np.empty(self.start[-1], np.min_scalar_type(max(self.n - 1, 0))), np.empty(self.start[-1])
         free = self.start[:-1].copy()
         for i, (which, weight, *_) in enumerate(self.vectors):
+            weight = weights(which, weight) if weights else weight
             row = self.row[which]
             self.dense[row[row >= 0], i] = weight[row >= 0]
             which, weight = which[row < 0], weight[row < 0]
@@ -141,8 +148,10 @@ class VoteModel:
     Terms and their counts travel to the tasks, which build the index from them: weights would be several times as large.
     """
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int, float]]) -> None:
-        """examples: id, term positions, their counts, label, weight of the example."""
+    def __init__(
+        self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int, float]], calibrated: int = CALIBRATED
+    ) -> None:
+        """examples: id, term positions, their counts, label, weight of the example; ``calibrated`` of them choose the voters."""
         self.terms, self.idf = terms, idf
         examples = sorted(examples, key=lambda e: e[0])
         groups: dict = {}
@@ -160,29 +169,36 @@ class VoteModel:
         self.prior = (yes + 0.5) / (total + 1.0)
         self.blank = (none_yes + self.prior) / (none_total + 1.0)
         self.examples = list(groups.values())
-        self.index = self._index()
+        self._held = None
         place = {name: i for i, name in enumerate(groups)}
-        held = [(place[name], *e[1:]) for e, name in sorted(zip(examples, names, strict=True), key=lambda x: (x[0][0] * 2654435761) % 2**32) if len(e[1])][:2000]
+        held = [(place[name], *e[1:]) for e, name in sorted(zip(examples, names, strict=True), key=lambda x: (x[0][0] * 2654435761) % 2**32) if len(e[1])][:calibrated]
         self.voters, self.slope, self.offset = self._calibrate(held)
 
-    def _index(self) -> VoteIndex:
-        # Examples stand in the order of their ids, which the index keeps.
-        index = VoteIndex(len(self.terms), [(e[0], unit(e[0], e[1], self.idf)[1], *e[2:]) for e in self.examples])
-        index.vectors = []
-        return index
+    @property
+    def index(self) -> VoteIndex:
+        """Built where it is first needed; examples stand in the order of their ids, which it keeps."""
+        if self._held is None:
+            self._held = VoteIndex(len(self.terms), self.examples, lambda which, times: unit(which, times, self.idf)[1])
+            self._held.vectors = []
+        return self._held
+
+    def forget(self) -> VoteModel:
+        """Lets go of the index, which is several times as large as the examples."""
+        self._held = None
+        return self
 
     def __getstate__(self) -> dict:
         which, times, yes, no, ids = ([e[i] for e in self.examples] for i in range(5))
         sizes = [len(w) for w in which]
         flat = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (which, times)]
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")} | {"packed": (*flat, sizes, yes, no, ids)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_held", "examples")} | {"packed": (*flat, sizes, yes, no, ids)}
 
     def __setstate__(self, state: dict) -> None:
         which, times, sizes, *rest = state.pop("packed")
         self.__dict__.update(state)
         cuts = np.cumsum(sizes)[:-1] if sizes else []
         self.examples = [(w, n, *r) for w, n, *r in zip(np.split(which, cuts), np.split(times, cuts), *rest, strict=True)] if sizes else []
-        self.index = self._index()
+        self._held = None
 
     def _calibrate(self, held: list) -> tuple[int, float, float]:
         """Voters, slope and offset with the least log loss, on leave-one-out votes of a fixed part of the examples."""
