@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_border
 from . import kernels as kn
-from .logit import BOOTSTRAP_MAX_ITER, MAX_ITER, TASK_BUDGET, _added, build_design, count_tasks, intercept_only, newton_fits, summed_rows
+from .logit import BOOTSTRAP_MAX_ITER, FAN_IN, MAX_ITER, TASK_BUDGET, _added, build_design, count_tasks, intercept_only, newton_fits, summed_rows
 from .resample import interval_table, row_hashes
 from .weighting import with_contrasts
 
@@ -178,8 +178,8 @@ def model_rows(df: DataFrame, fits: Fits, outcome: str, tasks: int) -> list[dict
     parts = stage_border(df.mapInPandas(kernel, "rep int, vec array<double>, w_max double, ps_low double, ps_max double").withColumn("part", F.spark_partition_id()))
     top = {r["rep"]: r for r in parts.groupBy("rep").agg(*[F.max(c).alias(c) for c in ("w_max", "ps_low", "ps_max")]).collect()}
     sums, left = parts.select("rep", "vec", "part"), tasks
-    while left > 32:
-        sums, left = _added(sums.withColumn("part", F.expr("part div 32")), ["rep", "part"]), -(-left // 32)
+    while left > FAN_IN:
+        sums, left = _added(sums.withColumn("part", F.expr(f"part div {FAN_IN}")), ["rep", "part"]), -(-left // FAN_IN)
     out = []
     for r in _added(sums, ["rep"]).collect():
         i = r["rep"]
