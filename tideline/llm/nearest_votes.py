@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vote_index
@@ -64,7 +64,23 @@ def fit(
         total += weight
         examples.append((who, which, np.frombuffer(times, f"u{len(times) // max(len(which), 1) or 1}"), label, weight))
     idf = 1.0 + np.log((1.0 + total) / (1.0 + seen))
-    return vote_index.VoteModel(terms, idf, examples, calibrated).forget()
+    model = vote_index.VoteModel(terms, idf, examples, calibrated)
+    return model.calibrate(left_out_votes(docs.sparkSession, model))
+
+
+def left_out_votes(spark: SparkSession, model: vote_index.VoteModel) -> np.ndarray:
+    """Leave-one-out votes of the held examples, in their order; tasks build the index, the driver never does."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "votes": list(shared.value.left_out(batch["id"].tolist()))})
+
+    out = np.empty((len(model.held), len(vote_index.VOTERS)))
+    for row in spark.range(len(model.held)).mapInPandas(vote, "id long, votes array<double>").collect():
+        out[row["id"]] = row["votes"]
+    shared.unpersist()
+    return out
 
 
 def score(docs: DataFrame, model: vote_index.VoteModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -171,8 +171,9 @@ class VoteModel:
         self.examples = list(groups.values())
         self._held = None
         place = {name: i for i, name in enumerate(groups)}
-        held = [(place[name], *e[1:]) for e, name in sorted(zip(examples, names, strict=True), key=lambda x: (x[0][0] * 2654435761) % 2**32) if len(e[1])][:calibrated]
-        self.voters, self.slope, self.offset = self._calibrate(held)
+        #: (vector, label, weight) of the examples that calibrate.
+        self.held = [(place[name], e[3], e[4]) for e, name in sorted(zip(examples, names, strict=True), key=lambda x: (x[0][0] * 2654435761) % 2**32) if len(e[1])][:calibrated]
+        self.voters, self.slope, self.offset = NEIGHBOURS, 1.0, 0.0
 
     @property
     def index(self) -> VoteIndex:
@@ -182,11 +183,6 @@ class VoteModel:
             self._held.vectors = []
         return self._held
 
-    def forget(self) -> VoteModel:
-        """Lets go of the index, which is several times as large as the examples."""
-        self._held = None
-        return self
-
     def __getstate__(self) -> dict:
         which, times, yes, no, ids = ([e[i] for e in self.examples] for i in range(5))
         sizes = [len(w) for w in which]
@@ -200,26 +196,31 @@ class VoteModel:
         self.examples = [(w, n, *r) for w, n, *r in zip(np.split(which, cuts), np.split(times, cuts), *rest, strict=True)] if sizes else []
         self._held = None
 
-    def _calibrate(self, held: list) -> tuple[int, float, float]:
-        """Voters, slope and offset with the least log loss, on leave-one-out votes of a fixed part of the examples."""
-        if not held:
-            return NEIGHBOURS, 1.0, 0.0
-        label, one = np.array([e[3] for e in held], float), np.array([e[4] for e in held])
-        near = self.index.nearest_all([unit(e[1], e[2], self.idf) for e in held], NEIGHBOURS + 1)
-        best = None
-        for voters in VOTERS:
-            found = []
-            for e, (at, cosine) in zip(held, near, strict=True):
-                # The example's own vector votes only if other examples share it.
-                lone = (at == e[0]) & (self.index.total[at] - e[4] <= 1e-9)
-                at, cosine = at[~lone][:voters], cosine[~lone][:voters]
-                found.append(self.index.vote(at, cosine, self.prior, e[0], e[3], e[4]))
-            slope, offset = fit_platt(np.array(found), label, one)
-            p = squash(slope, offset, np.array(found))
-            loss = -float(np.sum(one * np.log(np.where(label == 1, p, 1 - p))))
-            if best is None or loss < best[0] - 1e-9:
-                best = (loss, voters, slope, offset)
-        return best[1:]
+    def left_out(self, some: list[int]) -> np.ndarray:
+        """Leave-one-out votes of some of the held examples, a column for each number of voters."""
+        rows = [self.held[i] for i in some]
+        near = self.index.nearest_all([unit(*self.examples[v][:2], self.idf) for v, *_ in rows], NEIGHBOURS + 1)
+        out = np.empty((len(rows), len(VOTERS)))
+        for i, ((v, label, one), (at, cosine)) in enumerate(zip(rows, near, strict=True)):
+            # The example's own vector votes only if other examples share it.
+            lone = (at == v) & (self.index.total[at] - one <= 1e-9)
+            at, cosine = at[~lone], cosine[~lone]
+            out[i] = [self.index.vote(at[:k], cosine[:k], self.prior, v, label, one) for k in VOTERS]
+        return out
+
+    def calibrate(self, votes: np.ndarray) -> VoteModel:
+        """Takes the number of voters, slope and offset with the least log loss on the held examples' votes."""
+        if len(self.held):
+            label, one = np.array([e[1] for e in self.held], float), np.array([e[2] for e in self.held])
+            best = None
+            for k, voters in enumerate(VOTERS):
+                slope, offset = fit_platt(votes[:, k], label, one)
+                p = squash(slope, offset, votes[:, k])
+                loss = -float(np.sum(one * np.log(np.where(label == 1, p, 1 - p))))
+                if best is None or loss < best[0] - 1e-9:
+                    best = (loss, voters, slope, offset)
+            self.voters, self.slope, self.offset = best[1:]
+        return self
 
     def score_all(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float, float]]]]:
         """For each text the calibrated score, and the three nearest examples: id, cosine, share of label 1."""
