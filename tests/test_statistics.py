@@ -213,3 +213,11 @@ def test_small_cohort_is_fitted_without_a_row_guard(spark, frame):
     got = se.guarded_summary(few, ["x2"], "few", "y", boot=se.Boot(("id",), 20, 1)).first()
     assert got["status"] == "ok" and got["n"] == 80 and got["rd_lower_95"] <= got["rd_upper_95"] and got["rr_lower_95"] <= got["rr_upper_95"]
     assert se.sensitivity_set(few, {"few": few}, ["x2"], "y").first()["status"] == "not_run"
+
+
+def test_worst_column_of_differences_that_are_equal_as_reported(spark):
+    rows = [("w", "balance", 0.0000052), ("w", "price", 0.0000049), ("w", "zip", 0.0000031), ("v", "price", 0.3), ("v", "balance", 0.4)]
+    table = spark.createDataFrame(rows, "weighting string, variable string, after double")
+    got = {r["weighting"]: (r["max_post_smd"], r["worst_balanced_variable"]) for r in wt.worst_balance(table, 6).collect()}
+    assert got == {"w": (0.000005, "price"), "v": (0.4, "balance")}
+    assert {r["worst_balanced_variable"] for r in wt.worst_balance(table).collect()} == {"balance"}
