@@ -1,5 +1,7 @@
 """A sample of registered queries against DuckDB, and the shape of their plans."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -84,3 +86,23 @@ def test_one_scan_of_the_facts_and_no_expand(spark, name):
     scans = [line for line in plan.splitlines() if "Relation [" in line and "l_orderkey" in line]
     assert len(scans) == 1, plan
     assert "Expand" not in plan
+
+
+@pytest.mark.parametrize("name", ["coverage_prepare", "agent_route_counts", "diagnostic_intensity"])
+def test_tasks_do_not_grow_with_the_input(spark, monkeypatch, name):
+    """Shuffle partitions and parts of files follow from the input's size, so more input gives more tasks, not larger ones."""
+    from tideline import session
+
+    monkeypatch.setattr(session, "INPUT_BYTES", 8 << 10)
+    monkeypatch.setattr(session, "TASK_BYTES", 16 << 10)
+    catalog.QUERIES[name].build(spark, FOLDER)
+    bytes_read = sum(os.path.getsize(f"{FOLDER}/{t}.parquet") for t in ("customer", "supplier", "part", "orders", "lineitem", "events"))
+    rows = catalog.QUERIES[name].build(spark, FOLDER)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    want = str(-(-bytes_read // (8 << 10)))
+    assert exchanges and all(f", {want})" in line or f", {want}," in line for line in exchanges), exchanges
+    scan = spark.read.parquet(f"{FOLDER}/lineitem.parquet").rdd.getNumPartitions()
+    assert scan == -(-os.path.getsize(f"{FOLDER}/lineitem.parquet") // (16 << 10))
+    monkeypatch.undo()
+    session.size_shuffles(spark, FOLDER, ())
