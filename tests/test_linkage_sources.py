@@ -114,3 +114,22 @@ def test_parity_and_gate(spark):
     facts = spark.createDataFrame([(0.2, 10.0)], "smd double, w double")
     gate = {r["rule"]: r["passes"] for r in au.run_gate(facts, {"smd": ("smd", "<=", 0.1), "weight": ("w", "<=", 50)}).collect()}
     assert gate == {"smd": 0, "weight": 1}
+
+
+def test_nearest_follow_reads_days_across_runs_and_spreads_a_row_twice(spark):
+    rng = random.Random(9)
+    day = lambda: date(1969, 12, 20) + timedelta(days=rng.randrange(40))
+    rows = [(rng.choice([1, 2, None]), day()) for _ in range(80)]
+    follow = [(rng.choice([1, 2, 3]), day() if rng.random() < 0.9 else None, rng.choice([True, False, None])) for _ in range(12)]
+    r, f = spark.createDataFrame(rows, "k int, specimen_date date"), spark.createDataFrame(follow, "k int, d date, ok boolean")
+    for most in (0, 1, 7, 30):
+        out = lk.nearest_follow(r, f, ["k"], "d", most, {"ok_days": F.col("ok"), "days": F.lit(True)})
+        for x in out.collect():
+            gaps = {ok: [(d - x.specimen_date).days for k, d, o in follow if k == x.k and d is not None and 0 <= (d - x.specimen_date).days <= most and (o or not ok)] for ok in (True, False)}
+            assert (x.ok_days, x.days) == (min(gaps[True], default=None), min(gaps[False], default=None))
+    assert out.count() == len(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # However long the window, a follow-up row is spread over two runs.
+    assert plan.count("Generate explode(array(") == 1 and plan.count("Join") == 1
+    with pytest.raises(ValueError):
+        lk.nearest_follow(r, f, ["k"], "d", 31, {"days": F.lit(True)})

@@ -1,8 +1,8 @@
 """Record linkage between culture rows and later result rows.
 
-No join here emits pairs within a patient.  Follow-up rows are first reduced to distinct
-(keys, date) facts, each date is spread over the few culture dates it can serve (0..k days
-before), and the culture side joins those unique keys one to one.
+No join here emits pairs within a patient.  Follow-up rows are reduced to one row per keys and
+run of k + 1 days, whose days are the bits of a number per fact; each row serves its own run and
+the one before.  The culture side joins those unique keys one to one and reads its own k + 1 bits.
 """
 
 from __future__ import annotations
@@ -15,28 +15,38 @@ from pyspark.sql import functions as F
 from ..functions.text import flag
 
 
-def served_dates(
-    follow: DataFrame, keys: Sequence[str], date: str, max_days: int, facts: Mapping[str, Column], served: str = "specimen_date"
+def nearest_follow(
+    rows: DataFrame, follow: DataFrame, keys: Sequence[str], date: str, max_days: int, facts: Mapping[str, Column], served: str = "specimen_date"
 ) -> DataFrame:
-    """Smallest day offset per (keys, served date) and fact; null where the fact never holds.
+    """Adds to ``rows`` the days (0..``max_days``) from their served date to the nearest follow-up row with each fact.
 
-    ``facts`` are conditions on follow-up rows.
+    Null where no follow-up row of the same keys has the fact in time.  ``facts`` are conditions on follow-up rows.
     """
-    reduced = follow.where(F.col(date).isNotNull()).groupBy(*keys, date).agg(
-        *[F.max(flag(c)).alias(k) for k, c in facts.items()]
-    )
-    spread = reduced.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(max_days + 1)])))
-    return spread.groupBy(*keys, F.date_sub(F.col(date), F.col("_k")).alias(served)).agg(
-        *[F.min(F.when(F.col(k) == 1, F.col("_k"))).alias(k) for k in facts]
+    span = max_days + 1
+    if 2 * span > 62:
+        raise ValueError("a window has at most 30 days")
+    day, own = F.unix_date(F.col(date).cast("date")), F.unix_date(F.col(served).cast("date"))
+    # A follow-up day serves the dates of its own run of ``span`` days and of the run before.
+    first = day - F.pmod(day, F.lit(span))
+    spread = follow.where(F.col(date).isNotNull()).select(
+        *keys, day.alias("_day"), F.explode(F.array(first, first - span)).alias("_run"), *[c.alias(k) for k, c in facts.items()]
     )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_day") - F.col("_run"))
+    runs = spread.groupBy(*keys, "_run").agg(*[F.bit_or(F.when(F.col(k), bit)).alias(k) for k in facts])
+    met = rows.withColumn("_run", own - F.pmod(own, F.lit(span))).join(runs, [*keys, "_run"], "left")
+    found = {}
+    for k in facts:
+        late = F.call_function("shiftright", F.col(k), own - F.col("_run")).bitwiseAND(F.lit((1 << span) - 1))
+        # The bits below the lowest one that is set.
+        found[k] = F.when(late != 0, F.bit_count(late.bitwiseAND(-late) - 1))
+    return met.withColumns(found).drop("_run").select(*rows.columns, *facts)
 
 
 def exists_flags(
     cultures: DataFrame, follow: DataFrame, keys: Sequence[str], date: str, max_days: int, facts: Mapping[str, Column]
 ) -> DataFrame:
     """Per culture row: does a follow-up row with each fact fall 0..max_days after its specimen date."""
-    cover = served_dates(follow.dropna(subset=list(keys)), keys, date, max_days, facts)
-    out = cultures.join(cover, [*keys, "specimen_date"], "left")
+    out = nearest_follow(cultures, follow.dropna(subset=list(keys)), keys, date, max_days, facts)
     return out.withColumns({k: F.col(k).isNotNull().cast("int") for k in facts})
 
 
@@ -44,12 +54,10 @@ def exists_null_tolerant(
     cultures: DataFrame, follow: DataFrame, patient: str, encounter: str, date: str, max_days: int, out: str
 ) -> DataFrame:
     """As above on the patient, with an encounter that matches or is missing on either side."""
-    always = {"_hit": F.lit(True)}
-    exact = served_dates(follow.dropna(subset=[patient, encounter]), [patient, encounter], date, max_days, always)
-    loose = served_dates(
-        follow.dropna(subset=[patient]), [patient], date, max_days, {"_any": F.lit(True), "_open": F.col(encounter).isNull()}
+    joined = nearest_follow(cultures, follow.dropna(subset=[patient, encounter]), [patient, encounter], date, max_days, {"_hit": F.lit(True)})
+    joined = nearest_follow(
+        joined, follow.dropna(subset=[patient]), [patient], date, max_days, {"_any": F.lit(True), "_open": F.col(encounter).isNull()}
     )
-    joined = cultures.join(exact, [patient, encounter, "specimen_date"], "left").join(loose, [patient, "specimen_date"], "left")
     hit = (
         F.col("_hit").isNotNull()
         | F.col("_open").isNotNull()
@@ -93,9 +101,7 @@ def linked_units(cultures: DataFrame, follow: DataFrame, unit_cols: Sequence[str
         usable = follow.dropna(subset=[k for k in keys if k != "specimen_source"])
         if level == "specimen":
             usable = usable.where(F.col("specimen_source") != MISSING)
-        cover = served_dates(usable, keys, "result_date", 7, facts)
-        cover = cover.withColumnsRenamed({k: f"{level}_{k}" for k in facts})
-        out = out.join(cover, [*keys, "specimen_date"], "left")
+        out = nearest_follow(out, usable, keys, "result_date", 7, {f"{level}_{k}": c for k, c in facts.items()})
     flags = {}
     for rule, (level, days, nonblank) in RULES.items():
         for short in TYPES:
@@ -188,15 +194,11 @@ def timestamp_rule_totals(cultures: DataFrame, siblings: DataFrame, max_days: in
         .withColumn("_time", F.lit(1))
     )
     by_date = same_day.select("patid", "encounterid", "specimen_date").distinct().withColumn("_date", F.lit(1))
-    by_order = served_dates(
-        siblings.dropna(subset=["patid", "encounterid", "order_date"]), ["patid", "encounterid", "order_date"], "result_date",
-        max_days, {"_order": F.lit(True)},
-    )
-    got = (
-        units.join(by_time, ["patid", "encounterid", "specimen_date", "specimen_time"], "left")
-        .join(by_date, ["patid", "encounterid", "specimen_date"], "left")
-        .join(by_order, ["patid", "encounterid", "order_date", "specimen_date"], "left")
+    got = units.join(by_time, ["patid", "encounterid", "specimen_date", "specimen_time"], "left").join(
+        by_date, ["patid", "encounterid", "specimen_date"], "left"
     )
+    ordered = siblings.dropna(subset=["patid", "encounterid", "order_date"])
+    got = nearest_follow(got, ordered, ["patid", "encounterid", "order_date"], "result_date", max_days, {"_order": F.lit(True)})
     rules = {
         "same_specimen_date_time": F.col("_time") == 1,
         "same_specimen_date": F.col("_date") == 1,
