@@ -202,7 +202,7 @@ REFIT = {"original": "A_original", "vital_corrected": "E_all_corrected"}
     + " UNION ALL ".join(summary_sql(label, f"w_{k[0]}", _about(f"s_{k[0]}", SCORE_VARS)) for label, k in REFIT.items()),
 )
 def vital_refit(spark, folder):
-    return _summary(sh.repair_study(_vital_units(spark, folder), SCORE_VARS, ["unit"], "y")["comparison"])
+    return _summary(sh.repair_study(_vital_units(spark, folder), SCORE_VARS, ["unit"], "y", ["comparison"])["comparison"])
 
 
 @query(
@@ -212,5 +212,5 @@ def vital_refit(spark, folder):
     + "SELECT unit, round(ps_den, 6) AS ps_den, round(pn, 6) AS ps_num, round(SW_A, 6) AS SW_A FROM w_E, (SELECT avg(A) AS pn FROM s_E)",
 )
 def vital_refit_weights(spark, folder):
-    df = sh.repair_study(_vital_units(spark, folder), SCORE_VARS, ["unit"], "y")["weighted_cohort"]
+    df = sh.repair_study(_vital_units(spark, folder), SCORE_VARS, ["unit"], "y", ["weighted_cohort"])["weighted_cohort"]
     return df.select("unit", *[F.round(c, 6).alias(c) for c in ("ps_den", "ps_num", "SW_A")])

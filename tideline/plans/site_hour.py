@@ -280,22 +280,28 @@ def vital_ablation(repaired: DataFrame, score_vars: Sequence[str], outcome: str
     return se.ablation(both, scenarios, outcome)
 
 
+#: Tables of ``repair_study``.
+STUDY = ("changed_rows", "change_sizes", "comparison", "weighted_cohort")
+
+
 def repair_study(
-    repaired: DataFrame, score_vars: Sequence[str], keys: Sequence[str], outcome: str = "death_by_horizon"
+    repaired: DataFrame, score_vars: Sequence[str], keys: Sequence[str], outcome: str = "death_by_horizon", wanted: Sequence[str] = STUDY
 ) -> dict[str, DataFrame]:
     """What a repair changed: rows and sizes of the changes, both fits side by side, the corrected cohort with its own weights.
 
     ``repaired`` has old and ``new_`` vitals; weights of an earlier fit are replaced by those of the corrected one.
+    Only the tables in ``wanted`` are computed.
     """
-    changes = stage_border(ft.repair_change(repaired, {c: (c, f"new_{c}") for names in ft.REPAIRED.values() for c in names}, keys))
     both, old = ft.repaired_beside_old(repaired)
     both = stage_border(both)
     before = {c: kept for columns in old.values() for c, kept in columns.items()}
-    models = [Model.over("original", score_vars, before), Model.over("vital_corrected", score_vars)]
-    corrected = both.drop("ps_den", "ps_num", "SW_A", *before.values())
-    return {
-        "changed_rows": changes,
-        "change_sizes": ft.change_sizes(changes),
-        "comparison": se.summaries(both, models, outcome),
-        "weighted_cohort": wt.fit_weights(corrected, list(score_vars)).df,
-    }
+    out = {}
+    if "changed_rows" in wanted or "change_sizes" in wanted:
+        changes = stage_border(ft.repair_change(repaired, {c: (c, f"new_{c}") for names in ft.REPAIRED.values() for c in names}, keys))
+        out |= {"changed_rows": changes, "change_sizes": ft.change_sizes(changes)}
+    if "comparison" in wanted:
+        out["comparison"] = se.summaries(both, [Model.over("original", score_vars, before), Model.over("vital_corrected", score_vars)], outcome)
+    if "weighted_cohort" in wanted:
+        corrected = both.drop("ps_den", "ps_num", "SW_A", *before.values())
+        out["weighted_cohort"] = wt.fit_weights(corrected, list(score_vars)).df
+    return {k: out[k] for k in wanted}
