@@ -240,3 +240,15 @@ def test_python_tasks_read_the_columns_of_the_models_alone(spark):
     finally:
         sv.summed_rows = original
     assert seen and not any("note" in c or "id" in c for c in seen)
+
+
+def test_staged_tables_hold_what_the_models_read(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.random() < 0.5), float(rng.normal()), int(rng.random() < 0.3), "long text") for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, A int, x double, y int, note string")
+    staged = []
+    monkeypatch.setattr(se, "stage_border", lambda t: staged.append(t.columns) or stage_border(t))
+    se.ablation(df, {"all": ({}, ["x"]), "doubled": ({"x": F.col("x") * 2}, ["x"])}, "y").collect()
+    got = se.sensitivity_set(df, {"even": se.Subset(F.col("id") % 2 == 0)}, ["x"], "y", boot=se.Boot(("id",), 2, 1)).collect()
+    assert got[0]["n"] == 120
+    assert [sorted(c) for c in staged] == [["A", "_swap1_x", "x", "y"], ["A", "_rows0", "id", "x", "y"]]

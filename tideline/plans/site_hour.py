@@ -293,8 +293,11 @@ def repair_study(
     Only the tables in ``wanted`` are computed.
     """
     both, old = ft.repaired_beside_old(repaired)
-    both = stage_border(both)
     before = {c: kept for columns in old.values() for c, kept in columns.items()}
+    if "weighted_cohort" not in wanted:
+        read = dict.fromkeys(["A", outcome, *score_vars, *before.values()])
+        both = both.select(*[c for c in read if c in both.columns])
+    both = stage_border(both) if "comparison" in wanted or "weighted_cohort" in wanted else both
     out = {}
     if "changed_rows" in wanted or "change_sizes" in wanted:
         changes = stage_border(ft.repair_change(repaired, {c: (c, f"new_{c}") for names in ft.REPAIRED.values() for c in names}, keys))
