@@ -28,17 +28,29 @@ BLANK, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 FIELD = "<*>"
 
 
-def tokens(line: Column) -> Column:
-    """Tokens of a line that has one, fields with digits masked."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, WORD, F.lit(FIELD))).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\n\x0b\f\r")), BLANK)
+#: A whole token with a digit: ``WORD`` without its retries from every letter of a token that has none.
+_MASKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: What a line has that is not its tokens with one space between them already.
+_ODD = r"[0-9\x09-\x0D]|\x20(?:\x20|\z)|\A\x20"
+
+
+def spelled(line: Column) -> Column:
+    """Tokens of a line with one space between them, fields with digits masked.
+
+    Tokens hold no blank, so equal texts are equal tokens and no array is made of them here.
+    """
+    masked = F.regexp_replace(F.regexp_replace(line, _MASKED, FIELD), BLANK, " ")
+    return F.when(line.rlike(_ODD), F.trim(masked)).otherwise(line)
 
 
 def parsed_lines(docs: DataFrame, doc: str, text: str, depth: int) -> DataFrame:
-    """(doc, row, line, parts, leaf) of every line with a token."""
-    lines = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "said"))
-    cut = lines.where(F.col("said").rlike(r"[^\x20\x09-\x0D]")).select("doc", "row", "line", tokens(F.col("said")).alias("parts"))
-    return cut.withColumn("leaf", F.xxhash64(F.size("parts"), F.slice("parts", 1, depth)))
+    """(doc, row, line, said, n, leaf) of every line with a token: its tokens, how many, and the leaf of the tree."""
+    # The key is made below the explode, once a document and not once a line.
+    keyed = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("row"), F.split(text, "\n").alias("all"))
+    lines = keyed.select("doc", "row", F.posexplode("all").alias("line", "said"))
+    cut = lines.where(F.ltrim("said", F.lit(" \t\n\x0b\f\r")) != "").withColumn("said", spelled(F.col("said")))
+    cut = cut.withColumn("n", F.octet_length("said") - F.octet_length(F.replace("said", F.lit(" "), F.lit(""))) + 1)
+    return cut.withColumn("leaf", F.xxhash64("n", F.substring_index("said", " ", depth)))
 
 
 def recurring_lines(
@@ -47,14 +59,16 @@ def recurring_lines(
 ) -> DataFrame:
     """(row, drops): positions of the lines to drop, for the rows that have some."""
     parsed = parsed_lines(docs, doc, text, depth)
-    own = (F.xxhash64("parts").alias("k1"), F.xxhash64(F.lit(1), "parts").alias("k2"))
-    lines = stage(parsed.select("doc", "row", "line", "leaf", *own, F.size("parts").alias("n")))
+    own = (F.xxhash64("said").alias("k1"), F.xxhash64(F.lit(1), "said").alias("k2"))
+    lines = stage(parsed.select("doc", "row", "line", "leaf", *own, "n"))
     leaves = lines.where(F.col("n") >= min_tokens).groupBy("leaf", "k1", "k2").agg(F.count("*").alias("c")).groupBy("leaf").agg(F.count("*").alias("lines"))
     mixed = stage(leaves.where("lines > 1"))
 
-    tail = F.slice("parts", depth + 1, F.greatest(F.size("parts") - depth, F.lit(0))).alias("tail")
-    wide = parsed.where(F.size("parts") >= min_tokens).select("leaf", *own, tail)
-    different = stage(wide.join(small(mixed, 32), "leaf", "left_semi").groupBy("leaf", "k1", "k2").agg(F.first("tail").alias("tail")))
+    # Mixed leaves have lines of enough tokens only; a condition on ``n`` here would be pushed below the steps and repeat them.
+    wide = parsed.select("leaf", "said").join(small(mixed, 32), "leaf", "left_semi")
+    different = wide.select("leaf", *own, "said").groupBy("leaf", "k1", "k2").agg(F.first("said").alias("said"))
+    parts = F.split("said", " ")
+    different = stage(different.select("leaf", "k1", "k2", F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0))).alias("tail")))
     counted = different.select("leaf", F.posexplode("tail").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("c"))
     best = counted.groupBy("leaf", "at").agg(F.max(F.struct("c", "token")).alias("best"))
     const = best.join(mixed, "leaf").select("leaf", "at", F.when((2 * F.col("best.c") >= F.col("lines")) & (F.col("best.c") >= 2), F.col("best.token")).alias("token"))
