@@ -133,6 +133,28 @@ def test_nearest_is_exact():
         assert np.allclose(cosine, want) and np.allclose(dense[at] @ query, cosine)
 
 
+def test_index_of_counts_is_small_and_agrees_with_weights():
+    pick = np.random.default_rng(7)
+    idf = pick.uniform(1, 9, 400)
+    counted = []
+    for i in range(500):
+        which = np.sort(pick.choice(400, pick.integers(1, 20), replace=False))
+        counted.append((which, pick.integers(1, 300, len(which)).astype(np.uint16), float(i % 2), float(1 - i % 2), i))
+    index = vote_index.VoteIndex(400, counted, idf)
+    assert index.who.itemsize + index.entry.itemsize == 4  # bytes of a posting
+    dense = np.zeros((500, 400))
+    for row, (which, times, *_) in zip(dense, counted):
+        row[which] = vote_index.unit(which, times, idf)[1]
+    texts = [vote_index.unit(w, n, idf) for w, n, *_ in counted[:: 2]]
+    found = index.nearest_all(texts, 15)
+    for (which, weight), (at, cosine) in zip(texts, found):
+        cosines = dense[:, which] @ weight
+        want = np.sort(cosines[cosines > 0])[::-1][:15]
+        assert np.allclose(cosine, want, rtol=0, atol=1e-11) and np.allclose(cosines[at], cosine, rtol=0, atol=1e-11)
+    # A text's cosines do not depend on the texts beside it.
+    assert all(np.array_equal(index.nearest(*t)[1], c) for t, (_, c) in zip(texts, found))
+
+
 def test_vectors_hold_all_terms_of_the_sample(spark):
     """Evidence is the exact cosine over every term of the labelled texts, of whichever label and however rare."""
     learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 0][:12]

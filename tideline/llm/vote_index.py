@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
 import numpy as np
 
 from .textkit import plain_keys_and_heads
@@ -14,7 +12,7 @@ HEADS = (4, 5, 6, 7)
 #: Terms that more than this share of the vectors have are dense rows, the commonest so many at most; the others are postings.
 COMMON, MAX_DENSE = 0.1, 1_000
 #: Texts that are scored at once.
-TOGETHER = 64
+TOGETHER = 128
 #: Examples that may vote, and the numbers of voters that leave-one-out votes choose from.
 NEIGHBOURS = 15
 VOTERS = (3, 5, 8, 11, NEIGHBOURS)
@@ -31,11 +29,12 @@ def features(text: str | None) -> np.ndarray:
 
 def vector(text: str | None, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and weights of the text's unit TF-IDF vector over sorted ``terms``."""
-    keys = features(text)
+    keys, times = np.unique(features(text), return_counts=True)
     if not len(keys) or not len(terms):
         return np.empty(0, np.int64), np.empty(0)
     at = np.minimum(np.searchsorted(terms, keys), len(terms) - 1)
-    return unit(*np.unique(at[terms[at] == keys], return_counts=True), idf)
+    known = terms[at] == keys
+    return unit(at[known], times[known], idf)
 
 
 def unit(which: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +46,11 @@ def unit(which: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
 class VoteIndex:
     """Distinct vectors as postings by term; the commonest terms as dense rows, since nearly every text meets them."""
 
-    def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray, float, float, int]], weights: Callable | None = None) -> None:
+    def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray, float, float, int]], idf: np.ndarray | None = None) -> None:
         """vectors: term positions, weights, weight of label 1, weight of label 0, example id; sorted by it.
 
-        ``weights`` turns positions and the second entry into weights, so that they need not exist for all vectors at once.
+        With ``idf`` the second entry is the terms' counts: a posting then is a vector and a count in a few bytes, and its
+        weight is made of them where it is summed.
         """
         self.vectors = sorted(vectors, key=lambda v: v[4])
         self.n = len(self.vectors)
@@ -67,27 +67,53 @@ class VoteIndex:
         self.dense = np.zeros((len(common), self.n))
         held[common] = 0
         self.start = np.concatenate([[0], np.cumsum(held)])
-        self.who, self.weight = np.empty(self.start[-1], np.min_scalar_type(max(self.n - 1, 0))), np.empty(self.start[-1])
+        most = max((int(v[1].max(initial=0)) for v in self.vectors), default=0) if idf is not None else 0
+        self.who = np.empty(self.start[-1], np.min_scalar_type(max(self.n - 1, 0)))
+        self.entry = np.empty(self.start[-1], np.float64 if idf is None else np.min_scalar_type(most))
+        self.idf, self.scale = idf, np.ones(self.n)
+        #: Weight of a count before the term's and the vector's factors.
+        self.damped = 1.0 + np.log(np.maximum(np.arange(most + 1), 1))
+        #: Room for the postings of a text, or each text would ask the system for new pages.
+        self.spare = np.empty(0, np.intp), np.empty(0)
         free = self.start[:-1].copy()
-        for i, (which, weight, *_) in enumerate(self.vectors):
-            weight = weights(which, weight) if weights else weight
+        for i, (which, entry, *_) in enumerate(self.vectors):
+            weight = entry
+            if idf is not None:
+                weight = self.damped[entry] * idf[which]
+                self.scale[i] = 1.0 / np.sqrt(np.sum(weight**2))
+                weight = weight * self.scale[i]
             row = self.row[which]
             self.dense[row[row >= 0], i] = weight[row >= 0]
-            which, weight = which[row < 0], weight[row < 0]
-            self.who[free[which]], self.weight[free[which]] = i, weight
+            which, entry = which[row < 0], entry[row < 0]
+            self.who[free[which]], self.entry[free[which]] = i, entry
             free[which] += 1
 
     def cosines(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Cosines of a few unit vectors with all vectors of the index; no term and no vector is left out."""
-        out, common = np.zeros((len(texts), self.n)), np.zeros((len(texts), len(self.dense)))
-        for score, part, (which, weight) in zip(out, common, texts, strict=True):
+        common, lists = np.zeros((len(texts), len(self.dense))), []
+        for part, (which, weight) in zip(common, texts, strict=True):
             row = self.row[which]
-            part[row[row >= 0]] = weight[row >= 0]
-            which, weight = which[row < 0], weight[row < 0]
-            first, sizes = self.start[which], self.start[which + 1] - self.start[which]
-            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            score += np.bincount(self.who[at], np.repeat(weight, sizes) * self.weight[at], minlength=self.n)
-        out += common @ self.dense
+            rare = row < 0
+            part[row[~rare]] = weight[~rare]
+            lists.append((which[rare], weight[rare]))
+        out = common @ self.dense
+        for score, (which, weight) in zip(out, lists, strict=True):
+            if len(which):
+                first, end = self.start[which], self.start[which + 1]
+                # Postings of a term lie together: copying runs is cheaper than an index of all of them.
+                runs = [slice(a, z) for a, z in zip(first.tolist(), end.tolist(), strict=True)]
+                sizes = end - first
+                if sizes.sum() > len(self.spare[0]):
+                    self.spare = np.empty(2 * sizes.sum(), np.intp), np.empty(2 * sizes.sum())
+                who, value = (room[: sizes.sum()] for room in self.spare)
+                np.concatenate([self.who[r] for r in runs], out=who)
+                if self.idf is None:
+                    np.concatenate([self.entry[r] for r in runs], out=value)
+                else:
+                    self.damped.take(np.concatenate([self.entry[r] for r in runs]), out=value, mode="clip")
+                    weight = weight * self.idf[which]
+                value *= np.repeat(weight, sizes)
+                score += np.bincount(who, value, minlength=self.n) * self.scale
         # Sums differ in their last bits by the texts beside them; equal texts get equal cosines.
         return np.round(out, 12, out=out)
 
@@ -179,7 +205,7 @@ class VoteModel:
     def index(self) -> VoteIndex:
         """Built where it is first needed; examples stand in the order of their ids, which it keeps."""
         if self._held is None:
-            self._held = VoteIndex(len(self.terms), self.examples, lambda which, times: unit(which, times, self.idf)[1])
+            self._held = VoteIndex(len(self.terms), self.examples, self.idf)
             self._held.vectors = []
         return self._held
 
