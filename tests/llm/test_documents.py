@@ -155,6 +155,27 @@ def test_index_of_counts_is_small_and_agrees_with_weights():
     assert all(np.array_equal(index.nearest(*t)[1], c) for t, (_, c) in zip(texts, found))
 
 
+def test_index_deals_like_vectors_into_groups():
+    """Terms that are common among like vectors only are dense rows there, not postings; the neighbours stay exact."""
+    pick = np.random.default_rng(11)
+    idf = pick.uniform(1, 9, 5 * 60 + 40)
+    counted = []
+    for i in range(600):
+        own = np.sort(np.concatenate([60 * (i % 5) + pick.choice(60, 20, replace=False), 300 + pick.choice(40, 1)]))
+        counted.append((own, pick.integers(1, 5, len(own)).astype(np.uint16), float(i % 2), float(1 - i % 2), i))
+    counted += [(c[0], c[1], 1.0, 0.0, 600 + n) for n, c in enumerate(counted[:40])]  # ties
+    index = vote_index.VoteIndex(len(idf), counted, idf)
+    assert len(index.who) < 0.2 * sum(len(c[0]) for c in counted)
+    dense = np.zeros((len(counted), len(idf)))
+    for row, (which, times, *_) in zip(dense, counted):
+        row[which] = vote_index.unit(which, times, idf)[1]
+    texts = [vote_index.unit(w, n, idf) for w, n, *_ in counted[::3]] + [(np.arange(len(idf)), np.full(len(idf), 0.01)), (np.array([7]), np.ones(1)), (np.empty(0, int), np.empty(0))]
+    for (which, weight), (at, cosine) in zip(texts, index.nearest_all(texts, 15), strict=True):
+        cosines = np.round(dense[:, which] @ weight, 9)
+        want = sorted((-c, i) for i, c in enumerate(cosines) if c > 0)[:15]
+        assert at.tolist() == [i for _, i in want] and np.allclose(cosine, [-c for c, _ in want], rtol=0, atol=2e-9)
+
+
 def test_vectors_hold_all_terms_of_the_sample(spark):
     """Evidence is the exact cosine over every term of the labelled texts, of whichever label and however rare."""
     learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 0][:12]

@@ -70,7 +70,8 @@ def fit(
 
 def left_out_votes(spark: SparkSession, model: vote_index.VoteModel) -> np.ndarray:
     """Leave-one-out votes of the held examples, in their order; tasks build the index, the driver never does."""
-    shared = spark.sparkContext.broadcast(model)
+    # Scores use the same copy: a task's process builds the index once.
+    shared = model.shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,18 +80,18 @@ def left_out_votes(spark: SparkSession, model: vote_index.VoteModel) -> np.ndarr
     out = np.empty((len(model.held), len(vote_index.VOTERS)))
     for row in spark.range(len(model.held)).mapInPandas(vote, "id long, votes array<double>").collect():
         out[row["id"]] = row["votes"]
-    shared.unpersist()
     return out
 
 
 def score(docs: DataFrame, model: vote_index.VoteModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score, predicted and evidence to ``docs``; input columns of these names give way."""
     # Bounded: the sample's terms and distinct vectors.
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model)
+    fitted = model.voters, model.slope, model.offset
 
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known = shared.value.fitted(*fitted)
         for batch in batches:
             found = known.score_all(batch.tolist())
             evidence = [[{"doc_id": i, "cosine": c, "share": s} for i, c, s in e] for _, e in found]
