@@ -96,6 +96,7 @@ def score(docs: DataFrame, model: vote_index.VoteModel, text: str = "text", thre
             found = known.score_all(batch.tolist())
             evidence = [[{"doc_id": i, "cosine": c, "share": s} for i, c, s in e] for _, e in found]
             yield pd.DataFrame({"score": [p for p, _ in found], "predicted": [int(p >= threshold) for p, _ in found], "evidence": evidence})
+        vote_index.give_back()
 
     docs = docs.drop(*[c for c in ("score", "predicted", "evidence") if c in docs.columns and c != text])
     return docs.withColumn("_vote", judge(F.col(text))).select(*docs.columns, "_vote.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+
 import numpy as np
 
 from .textkit import plain_keys_and_heads
@@ -67,6 +69,13 @@ def unit(which: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
     return which, weight / np.sqrt(np.sum(weight**2)) if len(weight) else weight
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: a waiting process would keep it from the executor."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def like_groups(unit_rows: np.ndarray, groups: int, rounds: int = 5) -> np.ndarray:
     """A group for each column of unit length: k-means by cosine, started from columns far from each other."""
     centres = unit_rows[:, :1]
@@ -387,6 +396,7 @@ class VoteModel:
                 # A task needs no examples beside the index but those that calibrate.
                 used = {v for v, *_ in self.held}
                 self.examples = [(e[0].copy(), e[1].copy()) if i in used else () for i, e in enumerate(self.examples)]
+                give_back()
         return self._held
 
     def __getstate__(self) -> dict:
