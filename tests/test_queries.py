@@ -42,6 +42,22 @@ def test_entry_and_contract(spark):
     assert set(catalog.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_contrasts_draw_the_replicates_of_the_study(spark, monkeypatch):
+    from tideline.operators import sensitivity as se
+    from tideline.plans import site_hour
+
+    drawn = []
+
+    def limits(df, fits, outcome, ids, reps, seed, tasks):
+        drawn.append(reps)
+        return spark.createDataFrame([], "analysis int, estimand string, lower_95 double, upper_95 double")
+
+    monkeypatch.setattr(se, "model_intervals", limits)
+    catalog.QUERIES["subtype_contrasts"].build(spark, FOLDER)
+    assert drawn == [site_hour.HourConfig.reps] == [1000]
+    assert catalog.QUERIES["subtype_contrasts"].sql.count("unnest(range(1000))") == 5
+
+
 def test_scan_reads_only_needed_columns(spark):
     plan = catalog.QUERIES["overlap_halfopen"].build(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     reads = [line for line in plan.splitlines() if "ReadSchema" in line]

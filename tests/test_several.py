@@ -242,6 +242,45 @@ def test_python_tasks_read_the_columns_of_the_models_alone(spark):
     assert seen and not any("note" in c or "id" in c for c in seen)
 
 
+def test_replicates_together_are_those_taken_one_by_one():
+    """Missing values, values that some replicates clip, squares and restricted rows; runs of rows shorter than a batch."""
+    from tideline.operators import kernels as kn
+    from tideline.operators.logit import build_design
+
+    rng = np.random.default_rng(6)
+    n, reps = 400, np.arange(3, 23)
+    d = pd.DataFrame({"x": rng.normal(5, 2, n), "z": rng.exponential(1, n), "b": rng.integers(0, 2, n) * 1.0, "A": rng.integers(0, 2, n) * 1.0, "k": rng.integers(0, 2, n) * 1.0})
+    d["y"] = np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 2, n))
+    d.loc[:3, "x"] = [300.0, -200.0, 1e5, 21.1]
+    d.loc[::9, "z"] = np.nan
+    d["_h1"], d["_h2"] = rng.integers(0, 2**32, n), rng.integers(0, 2**32, n)
+    mean = np.column_stack([rng.normal(5, 0.1, len(reps)), rng.normal(1, 0.1, len(reps)), np.zeros(len(reps))])
+    sd = np.column_stack([rng.normal(2, 0.1, len(reps)), rng.normal(1, 0.1, len(reps)), np.ones(len(reps))])
+    flags = [False, False, True]
+    plans = [kn.Plan(build_design(["x", "z", "b"], flags, mean + 0.1, mean, sd, squares), "A", rows) for squares, rows in (((), None), ((1,), "k"), ((), "k"))]
+    beta = [rng.normal(0, 0.3, p.design.width) for p in plans for _ in reps]
+    live = np.sort(rng.choice(len(beta), 40, replace=False))
+    share, valid = rng.random(len(beta)), rng.random(len(beta)) < 0.8
+    whole, kn.BLOCK = kn.BLOCK, 16 * len(reps)
+    try:
+        newton = pd.concat(kn.model_newton(iter([d[:150], d[150:]]), plans, beta, reps, live)).set_index("rep")["vec"]
+        effects = pd.concat(kn.model_effects(iter([d]), plans, beta, share, reps, "y", valid)).set_index(["model", "rep"])
+    finally:
+        kn.BLOCK = whole
+    assert set(newton.index) == set(live) and len(effects) == valid.sum()
+    for f in range(len(beta)):
+        i, r = divmod(f, len(reps))
+        part = d if plans[i].rows is None else d[d["k"] == 1]
+        one = kn.Design(*[x[[r]] if isinstance(x, np.ndarray) and x.ndim == 2 else x for x in vars(plans[i].design).values()])
+        if f in newton.index:
+            want = next(kn.newton_sums(iter([part]), one, np.array([beta[f]]), reps[[r]], np.array([0])))["vec"].iloc[0]
+            assert np.allclose(newton[f], want, rtol=1e-10, atol=1e-9)
+        if valid[f]:
+            none = np.zeros((1, 0, 2))
+            want = next(kn.effect_sums(iter([part]), one, np.array([beta[f]]), share[[f]], reps[[r]], ["y"], none, ["stabilized", "overlap"], np.array([True])))
+            assert np.allclose(effects.loc[(i, reps[r])], want[want["analysis"] == "stabilized"][["w0", "wy0", "w1", "wy1"]].iloc[0].astype(float), rtol=1e-10)
+
+
 def test_staged_tables_hold_what_the_models_read(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, int(rng.random() < 0.5), float(rng.normal()), int(rng.random() < 0.3), "long text") for i in range(240)]
