@@ -48,6 +48,39 @@ def test_near_copies_on_a_large_host_keep_their_text(spark):
         assert all(out[i].startswith(f"page {i} has its own words") for i in range(60))
 
 
+NOTICE = "we use small files on your device to remember what you like and to count our readers"
+TEASER = "how the long bridge over the wide river was built again in only nine months"
+
+
+def news(n):
+    """Articles, the later ones with the site's notice among their paragraphs, the earlier ones with it beside them."""
+    out = []
+    for i in range(n):
+        own = [f"story {i} part {j} " + " ".join(f"w{i}x{j}x{k}" for k in range(10)) for j in range(3)]
+        shared = "a sentence that the editors put into all their stories and that is their text"
+        told = [own[0], NOTICE, "All accepted", own[1], shared, own[2]] if 3 * i >= 2 * n else [own[0], own[1], shared, own[2]]
+        beside = "" if 3 * i >= 2 * n else f"<div class='cookie-notice'><p>{NOTICE}</p><p>All accepted</p></div>"
+        menu = f"<aside><a>{TEASER}</a></aside>"
+        html = f"<body>{menu}{beside}<article>{''.join(f'<p>{t}</p>' for t in told)}</article></body>"
+        out.append((i, f"http://n.example/{i}", html, "\n".join(t for t in told if t not in (NOTICE, "All accepted"))))
+    return out
+
+
+def test_boilerplate_within_articles_goes_and_article_text_stays(spark):
+    rows = news(12)
+    # The article that the menus tell of, on its own page and on a near copy; another host has the notice in articles alone.
+    for i in (50, 51):
+        rows.append((i, f"http://n.example/{i}", f"<body><article><h1>{TEASER}</h1><p>the bridge itself</p></article><p>{i}</p></body>", f"{TEASER}\nthe bridge itself"))
+    rows += [(60 + i, f"http://o.example/{i}", f"<article><p>other {i}</p><p>{NOTICE}</p><p>end {i}</p></article>", f"other {i}\n{NOTICE}\nend {i}") for i in range(6)]
+    rows.append(rows[11])
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    for part in (1_000_000, 100):
+        out = H.main_texts(df, part_tokens=part).collect()
+        assert sorted((r["page_id"], r["text"]) for r in out) == sorted((r[0], r[3]) for r in rows)
+        repeated = {r["page_id"]: r["n_repeated"] for r in out}
+        assert repeated[11] >= len(NOTICE.split()) and repeated[60] == 0
+
+
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array_matches_brute_force(raw):
